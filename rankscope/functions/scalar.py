@@ -62,107 +62,106 @@ def nbytes(count, type_size) -> Column:
 
 # --- call families and event predicates --------------------------------------
 
-def call_name(code="call_code") -> Column:
+def _values(codes) -> str:
+    return ", ".join(map(str, codes))
+
+
+_FIRST = min(S.CALLS)
+_NAMES = "array(" + ", ".join(f"'{S.CALLS[c]}'" for c in sorted(S.CALLS)) + ")"
+
+
+def call_name(code: str = "call_code") -> Column:
     """Name of a call code, ``UNKNOWN_<n>`` outside the known range."""
-    first = min(S.CALLS)
-    names = F.array(*[F.lit(S.CALLS[c]) for c in sorted(S.CALLS)])
-    c = _col(code).cast("int")
-    return F.coalesce(F.get(names, c - first), F.concat(F.lit("UNKNOWN_"), c.cast("string")))
+    return F.expr(f"coalesce(get({_NAMES}, cast({code} as int) - {_FIRST}), "
+                  f"concat('UNKNOWN_', cast({code} as string)))")
+
 
+def call_code(name: str = "call") -> Column:
+    """Code of a call name; the number itself for ``UNKNOWN_<n>``, null for other text."""
+    at = f"array_position({_NAMES}, {name})"
+    return F.expr(f"cast(if({at} > 0, {at} + {_FIRST - 1}, "
+                  f"try_cast(nullif(regexp_extract({name}, '^UNKNOWN_(-?[0-9]+)$', 1), '') as bigint)) as int)")
 
-def call_code(name) -> Column:
-    """Code of a call name; null for unknown names."""
-    first = min(S.CALLS)
-    names = F.array(*[F.lit(S.CALLS[c]) for c in sorted(S.CALLS)])
-    return F.nullif(F.array_position(names, _col(name)), F.lit(0).cast("long")).cast("int") \
-        + F.lit(first - 1)
 
+def is_send_like(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.SEND_LIKE)})")
 
-def is_send_like(code="call_code") -> Column:
-    return _col(code).isin(S.SEND_LIKE)
 
+def is_recv_like(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.RECV_LIKE)})")
 
-def is_recv_like(code="call_code") -> Column:
-    return _col(code).isin(S.RECV_LIKE)
 
+def is_completion(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.COMPLETION)})")
 
-def is_completion(code="call_code") -> Column:
-    return _col(code).isin(S.COMPLETION)
 
+def is_sync(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.SYNC)})")
 
-def is_sync(code="call_code") -> Column:
-    return _col(code).isin(S.SYNC)
 
+def is_rooted(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.ROOTED)})")
 
-def is_rooted(code="call_code") -> Column:
-    return _col(code).isin(S.ROOTED)
 
+def is_global(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.GLOBAL)})")
 
-def is_global(code="call_code") -> Column:
-    return _col(code).isin(S.GLOBAL)
 
+def is_collective(code: str = "call_code") -> Column:
+    return F.expr(f"{code} in ({_values(S.ROOTED + S.GLOBAL)})")
 
-def is_collective(code="call_code") -> Column:
-    return _col(code).isin(S.ROOTED + S.GLOBAL)
 
+def is_barrier(code: str = "call_code") -> Column:
+    return F.expr(f"{code} = {S.BARRIER}")
 
-def is_barrier(code="call_code") -> Column:
-    return _col(code) == S.BARRIER
 
+_SMALL = f"""case when {{0}} in ({_values(S.COMPLETION)}) then 'completion'
+  when {{0}} in ({_values(S.SYNC)}) then 'synchronisation'
+  when {{0}} in ({S.BCAST}, {S.REDUCE}, {S.ALLREDUCE}) then 'collective' else 'point-to-point' end"""
+_LARGE = f"concat(if({{0}} = {S.SENDRECV}, 'sendrecv_part_', 'collective_part_'), {{1}})"
 
-def small_category(code="call_code") -> Column:
-    c = _col(code)
-    return (F.when(c.isin(S.COMPLETION), "completion")
-             .when(c.isin(S.SYNC), "synchronisation")
-             .when(c.isin(S.BCAST, S.REDUCE, S.ALLREDUCE), "collective")
-             .otherwise("point-to-point"))
 
+def small_category(code: str = "call_code") -> Column:
+    return F.expr(_SMALL.format(code))
 
-def large_category(code="call_code", part="part") -> Column:
-    stem = F.when(_col(code) == S.SENDRECV, "sendrecv_part_").otherwise("collective_part_")
-    return F.concat(stem, _col(part).cast("string"))
 
+def large_category(code: str = "call_code", part: str = "part") -> Column:
+    return F.expr(_LARGE.format(code, part))
 
-def category(code="call_code", part="part") -> Column:
-    return F.when(_col(part) == 0, small_category(code)).otherwise(large_category(code, part))
 
+def category(code: str = "call_code", part: str = "part") -> Column:
+    return F.expr(f"if({part} = 0, {_SMALL.format(code)}, {_LARGE.format(code, part)})")
 
-def visual_category(code="call_code") -> Column:
+
+def visual_category(code: str = "call_code") -> Column:
     """Display family; unlike ``small_category`` a barrier is a collective here."""
-    c = _col(code)
-    return (F.when(c.isin(13, 14, 15, 16, 17, 23), "p2p_block")
-             .when(c.isin(18, 19, 20, 21, 22), "p2p_nonblock")
-             .when(c.isin(S.COMPLETION), "state")
-             .when(c.isin(S.ROOTED + S.GLOBAL + [S.BARRIER]), "collective")
-             .when(c.isin(S.INIT, S.FINALIZE), "lifecycle")
-             .otherwise("unknown"))
+    return F.expr(f"""case when {code} in (13, 14, 15, 16, 17, 23) then 'p2p_block'
+      when {code} in (18, 19, 20, 21, 22) then 'p2p_nonblock'
+      when {code} in ({_values(S.COMPLETION)}) then 'state'
+      when {code} in ({_values(S.ROOTED + S.GLOBAL)}, {S.BARRIER}) then 'collective'
+      when {code} in ({S.INIT}, {S.FINALIZE}) then 'lifecycle' else 'unknown' end""")
 
 
-def lingers(code="call_code") -> Column:
+def lingers(code: str = "call_code") -> Column:
     """Calls that stay visible for the longer of the two activity windows."""
-    return _col(code).isin(S.ROOTED + S.GLOBAL + S.SYNC)
+    return F.expr(f"{code} in ({_values(S.ROOTED + S.GLOBAL + S.SYNC)})")
 
 
 def is_real_payload() -> Column:
-    return (F.col("bytes") > 0) & ~F.col("synthetic_empty")
+    return F.expr("bytes > 0 and not synthetic_empty")
 
 
 def is_canonical_transfer() -> Column:
     """One row per transfer: each kind of call is counted on a single side only."""
-    code, part = F.col("call_code"), F.col("part")
-    crosses = F.col("sender") != F.col("receiver")
-    return is_real_payload() & (
-        code.isin(S.SEND_LIKE)
-        | ((code == S.SENDRECV) & (part == 1))
-        | (crosses & (code.isin(S.BCAST, S.REDUCE)
-                      | ((code == S.GATHER) & (part == 1))
-                      | ((code == S.SCATTER) & (part == 2)))))
+    return F.expr(f"""bytes > 0 and not synthetic_empty and (
+      call_code in ({_values(S.SEND_LIKE)}) or (call_code = {S.SENDRECV} and part = 1)
+      or (sender <> receiver and (call_code in ({S.BCAST}, {S.REDUCE})
+          or (call_code = {S.GATHER} and part = 1) or (call_code = {S.SCATTER} and part = 2))))""")
 
 
-def collective_root(code="call_code") -> Column:
-    c = _col(code)
-    return (F.when(c.isin(S.BCAST, S.SCATTER), F.col("sender"))
-             .when(c.isin(S.REDUCE, S.GATHER), F.col("receiver")))
+def collective_root(code: str = "call_code") -> Column:
+    return F.expr(f"""case when {code} in ({S.BCAST}, {S.SCATTER}) then sender
+      when {code} in ({S.REDUCE}, {S.GATHER}) then receiver end""")
 
 
 # --- text --------------------------------------------------------------------
@@ -176,60 +175,56 @@ def short_call(call) -> Column:
     return F.replace(_col(call), F.lit("MPI_"), F.lit(""))
 
 
-def fixed(value, digits: int, ties: str = "even") -> Column:
-    """Fixed-point text of a double, rounded on its exact binary value.
+def _fixed(value: str, digits: int, ties: str = "even") -> str:
+    v = f"cast({value} as double)"
+    x = f"abs({v})"
+    scale = 10 ** digits
+    k = f"cast(floor({x} * {scale}D) as double)"
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    above = f"(({high} * {2 * scale}D - ({k} * 2 + 1)) + ({x} - {high}) * {2 * scale}D)"
+    tie = "true" if ties == "up" else f"pmod({k}, 2D) = 1D"
+    rounded = f"({k} + if({above} > 0 or ({above} = 0 and {tie}), 1D, 0D)) / {scale}D"
+    return (f"if({x} < {10 ** (12 - digits)}D, concat(if({v} < 0, '-', ''), "
+            f"format_string('%.{digits}f', {rounded})), format_string('%.{digits}f', {v}))")
+
+
+def fixed(value: str, digits: int, ties: str = "even") -> Column:
+    """Fixed-point text of a double expression, rounded on its exact binary value.
 
     Spark formats the shortest decimal of a double, which rounds 0.15 up although the stored
     value is below the tie. The sign of ``x * 2 * 10^d - (2k + 1)`` is evaluated without
     rounding error by splitting x into two halves, and exact ties go to the even neighbour or
     up. Values too large for that split have no fraction left to round.
     """
-    v = _col(value).cast("double")
-    x = F.abs(v)
-    scale = float(10 ** digits)
-    k = F.floor(x * scale).cast("double")
-    split = x * F.lit(134217729.0)
-    high = split - (split - x)
-    low = x - high
-    above = (high * (2 * scale) - (k * 2 + 1)) + low * (2 * scale)
-    tie_up = F.lit(True) if ties == "up" else (F.pmod(k, F.lit(2.0)) == 1.0)
-    rounded = k + F.when((above > 0) | ((above == 0) & tie_up), 1.0).otherwise(0.0)
-    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    small = F.concat(sign, F.format_string(f"%.{digits}f", rounded / scale))
-    return F.when(x < 1e12 / scale, small).otherwise(F.format_string(f"%.{digits}f", v))
-
-
-def percent(ratio) -> Column:
+    return F.expr(_fixed(value, digits, ties))
+
+
+def percent(ratio: str) -> Column:
     """A ratio as a percentage with one digit."""
-    return F.concat(fixed(_col(ratio) * 100.0, 1), F.lit("%"))
+    return F.expr(f"concat({_fixed(f'{ratio} * 100D', 1)}, '%')")
 
 
-def format_bytes(n) -> Column:
+def format_bytes(n: str) -> Column:
     """Size in 1024 steps up to TB: no digits for bytes, else two, one or none by magnitude."""
-    value = F.coalesce(_col(n).cast("double"), F.lit(0.0))
-    size = F.abs(value)
-    sign = F.when(value < 0, "-").otherwise("")
-    out = F.when(size < 1024, F.concat(sign, fixed(size, 0, "up"), F.lit(" B")))
+    value = f"coalesce(cast({n} as double), 0D)"
+    branches = [f"when abs({value}) < 1024 then concat({_fixed(f'abs({value})', 0, 'up')}, ' B')"]
     for i, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
-        scaled = size / float(1024 ** i)
-        text = (F.when(scaled < 10, fixed(scaled, 2, "up"))
-                 .when(scaled < 100, fixed(scaled, 1, "up"))
-                 .otherwise(fixed(scaled, 0, "up")))
-        text = F.concat(sign, text, F.lit(" " + unit))
-        out = out.when(scaled < 1024, text) if unit != "TB" else out.otherwise(text)
-    return out
+        scaled = f"(abs({value}) / {1024 ** i}D)"
+        text = (f"concat(case when {scaled} < 10 then {_fixed(scaled, 2, 'up')} "
+                f"when {scaled} < 100 then {_fixed(scaled, 1, 'up')} "
+                f"else {_fixed(scaled, 0, 'up')} end, ' {unit}')")
+        branches.append(f"else {text}" if unit == "TB" else f"when {scaled} < 1024 then {text}")
+    return F.expr(f"concat(if({value} < 0, '-', ''), case {' '.join(branches)} end)")
 
 
-def format_time(seconds) -> Column:
+def format_time(seconds: str) -> Column:
     """Duration in the unit that suits its magnitude."""
-    s = F.coalesce(_col(seconds).cast("double"), F.lit(0.0))
-    a = F.abs(s)
-    return (F.when(a < 1e-9, F.concat(fixed(s, 3, "up"), F.lit(" s")))
-             .when(a < 1e-6, F.concat(fixed(s * 1e9, 1, "up"), F.lit(" ns")))
-             .when(a < 1e-3, F.concat(fixed(s * 1e6, 1, "up"), F.lit(" µs")))
-             .when(a < 1, F.concat(fixed(s * 1e3, 2, "up"), F.lit(" ms")))
-             .when(a < 60, F.concat(fixed(s, 3, "up"), F.lit(" s")))
-             .otherwise(F.concat(fixed(s / 60, 2, "up"), F.lit(" min"))))
+    s = f"coalesce(cast({seconds} as double), 0D)"
+    steps = [("1e-9D", "", 3, "s"), ("1e-6D", " * 1e9D", 1, "ns"), ("1e-3D", " * 1e6D", 1, "µs"),
+             ("1D", " * 1e3D", 2, "ms"), ("60D", "", 3, "s")]
+    branches = " ".join(f"when abs({s}) < {edge} then concat({_fixed(f'({s}{factor})', d, 'up')}, ' {unit}')"
+                        for edge, factor, d, unit in steps)
+    return F.expr(f"case {branches} else concat({_fixed(f'({s} / 60D)', 2, 'up')}, ' min') end")
 
 
 def heat(n, biggest) -> Column:

@@ -71,6 +71,12 @@ def phase_at(phase_table: DataFrame, t: float) -> DataFrame:
     return phase_table.filter((F.col("t_start") <= t) & (F.col("t_end") >= t))
 
 
+def phases_at(phase_table: DataFrame, moments: DataFrame) -> DataFrame:
+    """Phases that contain the moments ``t`` of their run; a run has at most 40 phases."""
+    return phase_table.join(moments.select("run_id", "t"), "run_id") \
+        .filter(F.col("t").between(F.col("t_start"), F.col("t_end")))
+
+
 def chunks_for_time(chunks: DataFrame, t: float) -> DataFrame:
     """Chunk ids to read for a moment: the first chunk ending at or after it, and the one before."""
     target = F.coalesce(F.min(F.when(F.col("t_end") >= t, F.col("chunk_id"))), F.max("chunk_id"))

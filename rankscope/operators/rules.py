@@ -41,10 +41,10 @@ def pattern_rules() -> list[Rule]:
     moving, sized = c("canonical_events") > 0, c("canonical_bytes") > 0
     return [
         Rule("dense-communication", ("links",), many & (density >= 0.5),
-             ("Communication graph is dense (pair density ", fx.fixed(density, 3),
+             ("Communication graph is dense (pair density ", fx.fixed("pair_density", 3),
               "), suggesting all-to-all or highly connected traffic."), shape),
         Rule("sparse-communication", ("links",), many & (density > 0.0) & (density <= 0.1),
-             ("Communication graph is sparse (pair density ", fx.fixed(density, 3),
+             ("Communication graph is sparse (pair density ", fx.fixed("pair_density", 3),
               "), suggesting nearest-neighbour or structured exchange."), shape),
         Rule("small-message-dominated", ("totals",), (c("small1k_ratio") >= 0.5) & moving,
              ("A large fraction of canonical transfers are under 1KB (",
@@ -84,7 +84,7 @@ def issue_rules() -> list[Rule]:
         """The four timing rules share threshold, score and layout."""
         denominator = "canonical_events" if group == "p2p" else "collective_events"
         return Rule(kind, ("totals", group), (c(denominator) > 0) & (c(ratio) > 0.05),
-                    (f"Detected ", number(count), head, fx.fixed(time, 3), tail),
+                    ("Detected ", number(count), head, fx.fixed(time, 3), tail),
                     {count: c(count), fraction: c(ratio), lost: c(time)},
                     capped(c(ratio) * 4.0))
 

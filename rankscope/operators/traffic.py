@@ -181,13 +181,12 @@ def rank_balance(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _call_map() -> Column:
     """Non-zero per-call counters as a map in name order."""
-    entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
-                        for c in CANONICAL_CALLS])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+    entries = ", ".join(f"struct('{c}' as key, {c} as value)" for c in CANONICAL_CALLS)
+    return F.expr(f"map_from_entries(filter(array({entries}), e -> e.value > 0))")
 
 
 def _call_counters() -> list[Column]:
-    return [n_if(F.col("call_code") == S.CODE[c]).alias(c) for c in CANONICAL_CALLS]
+    return [F.expr(f"count_if(call_code = {S.CODE[c]}) as {c}") for c in CANONICAL_CALLS]
 
 
 def links(events: DataFrame) -> DataFrame:

@@ -108,7 +108,8 @@ def summary_table(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _per_rank(value: str) -> Column:
-    return F.concat(F.lit("(Avg per rank: "), fx.fixed(fx.safe_div(value, "total_ranks"), 1), F.lit(")"))
+    average = f"coalesce(try_divide(cast({value} as double), total_ranks), 0D)"
+    return F.concat(F.lit("(Avg per rank: "), fx.fixed(average, 1), F.lit(")"))
 
 
 def analysis_summary_table(trace: Trace) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankscope import functions as fx
-from rankscope import schema as S
-from rankscope.session import spread
 
 RUN_ID = "derived"
 RANKS = 64
@@ -18,15 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived_runs(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit(RUN_ID).alias("run_id"), F.lit(RANKS).alias("total_ranks"))
+    return spark.range(1).selectExpr(f"'{RUN_ID}' as run_id", f"{RANKS} as total_ranks")
 
 
-def _pick(slot: Column, choices: dict[tuple, Column], default: Column) -> Column:
-    out = None
-    for slots, value in choices.items():
-        hit = slot.isin(*slots)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(default)
+# Records an order line can give: which rank records, who sends to whom, and when.
+# 0 send, 1 receive, 2 wait, 3/4 and 5/6 the two sides of an exchange, 7/8 gather, 9/10 scatter.
+_SLOTS = """case when code = 23 then array(3, 4, 5, 6) when code = 30 then array(7, 8)
+  when code = 31 then array(9, 10)
+  when h % 11 <> 0 and code >= 18 then array(0, 1, 2) when h % 11 <> 0 then array(0, 1)
+  when code >= 18 then array(0, 2) else array(0) end"""
 
 
 def _messages(lineitem: DataFrame) -> DataFrame:
@@ -35,95 +33,59 @@ def _messages(lineitem: DataFrame) -> DataFrame:
     Record columns are computed from the slot after the explode, so a query that needs three
     of them computes three of them.
     """
-    days = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("long")
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    base = spread(lineitem.select(
-        (F.col("l_suppkey") % 64).alias("s"),
-        (F.col("l_partkey") % 64).alias("r"),
-        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 101).alias("h"),
-        ((line * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("lid"),
-        F.col("l_quantity").cast("long").alias("qty"),
-        (days * 1000000 + line % 1000000).alias("us")))
-    h, qty = F.col("h"), F.col("qty")
-    bound = [(20, 13), (24, 15), (28, 16), (32, 17), (60, 18), (64, 19), (68, 20), (72, 21),
-             (92, 23), (97, 30)]
-    code = None
-    for edge, value in bound:
-        code = F.when(h < edge, value) if code is None else code.when(h < edge, value)
-    msg = base.select(
-        "s", "r", "h", "lid", "us",
-        (F.col("us") + ((h * 7) % 13 - 4) * 400).alias("us2"),
-        code.otherwise(31).alias("code"),
-        F.when(h % 11 == 0, 7).otherwise((h % 3).cast("int")).alias("mtag"),
-        F.when(h % 5 == 0, 1).otherwise(0).alias("mcomm"),
-        F.when(h % 10 == 0, qty * qty * qty * 1000)
-         .when(h % 10 < 5, qty).otherwise(qty * qty * 8).alias("nb"),
-        F.when(F.col("s") == F.col("r") % 4, 64).otherwise(0).alias("fan"))
-    code = F.col("code")
-    answered, waited = h % 11 != 0, code >= 18
-    slots = (F.when(code == 23, F.array(*map(F.lit, (3, 4, 5, 6))))
-              .when(code == 30, F.array(*map(F.lit, (7, 8))))
-              .when(code == 31, F.array(*map(F.lit, (9, 10))))
-              .when(answered & waited, F.array(*map(F.lit, (0, 1, 2))))
-              .when(answered, F.array(*map(F.lit, (0, 1))))
-              .when(waited, F.array(*map(F.lit, (0, 2))))
-              .otherwise(F.array(F.lit(0))))
-    slot = F.col("slot")
-    s, r, root = F.col("s"), F.col("r"), F.col("r") % 4
-    nb, fan = F.col("nb"), F.col("nb") * F.col("fan")
-    waits = F.get(F.array(*map(F.lit, (24, 25, 33, 34, 35, 36, 37, 38))), (h % 8).cast("int"))
-    volume = _pick(slot, {(8, 9): fan}, nb)
-    return msg.withColumn("slot", F.explode(slots)).select(
-        (_pick(slot, {(1, 5, 6): F.col("us2"), (2,): F.col("us") + 900}, F.col("us")) * 1000)
-        .alias("epoch_ns"),
-        (F.col("lid") * 8 + _pick(slot, {(1,): F.lit(1), (2,): F.lit(2), (5, 6): F.lit(3)}, F.lit(0)))
-        .alias("event_id"),
-        _pick(slot, {(1, 5, 6): r}, s).cast("int").alias("rank_recording"),
-        _pick(slot, {(1,): F.when(h < 32, 14).otherwise(22), (2,): waits}, code).alias("call_code"),
-        F.when(slot < 7, F.col("mcomm")).otherwise(0).alias("comm"),
-        F.when(slot < 7, F.col("mtag")).otherwise(0).alias("tag"),
-        _pick(slot, {(4, 5): r, (8, 9, 10): root}, s).cast("int").alias("sender"),
-        _pick(slot, {(0, 1, 3, 6): r, (7, 8, 9): root}, s).cast("int").alias("receiver"),
-        _pick(slot, {(2,): F.lit(1).cast("long")}, volume).alias("cnt"),
-        _pick(slot, {(2,): F.lit(0).cast("long")}, volume).alias("bytes"),
-        _pick(slot, {(0, 1, 2): F.lit(0), (3, 5, 7, 9): F.lit(1)}, F.lit(2)).alias("part"))
+    base = lineitem.selectExpr(
+        "l_suppkey % 64 as s", "l_partkey % 64 as r",
+        "(l_orderkey * 31 + l_linenumber * 17) % 101 as h",
+        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as lid",
+        "cast(l_quantity as bigint) as qty",
+        "datediff(l_shipdate, date'1992-01-01') * 1000000L + (l_orderkey * 8 + l_linenumber) % 1000000 as us")
+    msg = base.selectExpr(
+        "s", "r", "h", "lid", "us", "us + ((h * 7) % 13 - 4) * 400 as us2",
+        """case when h < 20 then 13 when h < 24 then 15 when h < 28 then 16 when h < 32 then 17
+             when h < 60 then 18 when h < 64 then 19 when h < 68 then 20 when h < 72 then 21
+             when h < 92 then 23 when h < 97 then 30 else 31 end as code""",
+        "if(h % 11 = 0, 7, cast(h % 3 as int)) as mtag", "if(h % 5 = 0, 1, 0) as mcomm",
+        """case when h % 10 = 0 then qty * qty * qty * 1000 when h % 10 < 5 then qty
+             else qty * qty * 8 end as nb""",
+        "if(s = r % 4, 64, 0) as fan")
+    volume = "case when slot in (8, 9) then nb * fan else nb end"
+    return msg.selectExpr("*", f"explode({_SLOTS}) as slot").selectExpr(
+        "case when slot in (1, 5, 6) then us2 when slot = 2 then us + 900 else us end * 1000 as epoch_ns",
+        "lid * 8 + case when slot = 1 then 1 when slot = 2 then 2 when slot in (5, 6) then 3 else 0 end as event_id",
+        "cast(case when slot in (1, 5, 6) then r else s end as int) as rank_recording",
+        """case when slot = 1 then if(h < 32, 14, 22)
+             when slot = 2 then get(array(24, 25, 33, 34, 35, 36, 37, 38), cast(h % 8 as int))
+             else code end as call_code""",
+        "if(slot < 7, mcomm, 0) as comm", "if(slot < 7, mtag, 0) as tag",
+        "cast(case when slot in (4, 5) then r when slot >= 8 then r % 4 else s end as int) as sender",
+        """cast(case when slot in (0, 1, 3, 6) then r when slot in (7, 8, 9) then r % 4
+             else s end as int) as receiver""",
+        f"if(slot = 2, 1L, {volume}) as cnt", f"if(slot = 2, 0L, {volume}) as bytes",
+        "case when slot <= 2 then 0 when slot in (3, 5, 7, 9) then 1 else 2 end as part")
 
 
 def _collectives(orders: DataFrame) -> DataFrame:
     """Every 64th order is one collective over all ranks."""
-    ok, k, m = F.col("ok"), F.col("k"), F.col("m")
-    days = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("long")
-    grp = orders.filter(F.col("o_orderkey") % 64 == 1).select(
-        F.col("o_orderkey").alias("ok"), (days * 1000000).alias("us"),
-        F.expr("(o_orderkey div 64) % 5").alias("m"), (F.col("o_custkey") % 4).alias("root"),
-        (F.col("o_orderkey") % 97 + 1).alias("c"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RANKS - 1).cast("long"))).alias("k"))
-    codes = F.get(F.array(*map(F.lit, (26, 27, 28, 29, 32))), m.cast("int"))
-    parts = F.when(m == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
-    size = F.when(m == 0, 0).when(F.col("part") == 2, F.col("c") * 64).otherwise(F.col("c"))
-    return grp.withColumn("part", F.explode(parts)).select(
-        ((F.col("us") + ((ok * 13 + k * 29) % 23) * 200) * 1000).alias("epoch_ns"),
-        (ok * 64 + k).alias("event_id"),
-        k.cast("int").alias("rank_recording"), codes.alias("call_code"),
-        F.lit(0).alias("comm"), F.lit(0).alias("tag"),
-        F.when(m == 1, F.col("root")).otherwise(k).cast("int").alias("sender"),
-        F.when(m == 2, F.col("root")).otherwise(k).cast("int").alias("receiver"),
-        size.cast("long").alias("cnt"), (size * 8).cast("long").alias("bytes"),
-        F.col("part"))
+    return (orders.filter("o_orderkey % 64 = 1").selectExpr(
+                "o_orderkey as ok", "datediff(o_orderdate, date'1992-01-01') * 1000000L as us",
+                "(o_orderkey div 64) % 5 as m", "o_custkey % 4 as root", "1 + o_orderkey % 97 as c",
+                f"explode(sequence(0L, {RANKS - 1}L)) as k")
+            .selectExpr("*", "explode(if(m = 4, array(1, 2), array(0))) as part")
+            .selectExpr("*", "case when m = 0 then 0L when part = 2 then c * 64 else c end as size")
+            .selectExpr(
+                "(us + ((ok * 13 + k * 29) % 23) * 200) * 1000 as epoch_ns", "ok * 64 + k as event_id",
+                "cast(k as int) as rank_recording",
+                "get(array(26, 27, 28, 29, 32), cast(m as int)) as call_code", "0 as comm", "0 as tag",
+                "cast(if(m = 1, root, k) as int) as sender", "cast(if(m = 2, root, k) as int) as receiver",
+                "size as cnt", "size * 8 as bytes", "part"))
 
 
 def _bookends(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    ends = spark.range(RANKS).withColumn("code", F.explode(F.array(F.lit(S.INIT), F.lit(S.FINALIZE))))
-    first = F.col("code") == S.INIT
-    zero = F.lit(0).cast("long")
-    return ends.select(
-        (F.when(first, k * 37 + 600_000_000).otherwise(k * 53 + 4_000_000_000) * 1000).alias("epoch_ns"),
-        F.when(first, F.lit(-1).cast("long")).otherwise(F.lit(9_000_000_000_000_000_000)).alias("event_id"),
-        k.cast("int").alias("rank_recording"), F.col("code").alias("call_code"),
-        F.lit(0).alias("comm"), F.lit(0).alias("tag"), k.cast("int").alias("sender"),
-        k.cast("int").alias("receiver"), zero.alias("cnt"), zero.alias("bytes"),
-        F.lit(0).alias("part"))
+    return spark.range(RANKS).selectExpr("id as k", "explode(array(39, 40)) as call_code").selectExpr(
+        "if(call_code = 39, 600000000 + k * 37, 4000000000 + k * 53) * 1000 as epoch_ns",
+        "if(call_code = 39, -1L, 9000000000000000000L) as event_id", "cast(k as int) as rank_recording",
+        "call_code", "0 as comm", "0 as tag", "cast(k as int) as sender", "cast(k as int) as receiver",
+        "0L as cnt", "0L as bytes", "0 as part")
 
 
 def derive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +97,11 @@ def derive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived trace in the layout of the ``events`` table."""
-    time = (F.col("epoch_ns") - ORIGIN_NS) / F.lit(1e9)
+    time = F.expr(f"(epoch_ns - {ORIGIN_NS}L) / 1e9D")
     return derive_records(spark, sf_dir).select(
-        F.lit(RUN_ID).alias("run_id"), "rank_recording",
-        F.col("rank_recording").alias("section_pos"),
-        F.when(F.col("part") > 0, 1).otherwise(0).alias("rec_kind"),
-        F.col("event_id").alias("rec_pos"), "part", "event_id", "call_code",
-        fx.call_name().alias("call"), "comm", "tag", "sender", "receiver", "cnt", "bytes",
-        fx.category().alias("category"),
-        ((F.col("part") > 0) & (F.col("cnt") <= 0) & (F.col("bytes") <= 0)).alias("synthetic_empty"),
+        F.expr(f"'{RUN_ID}' as run_id"), "rank_recording", F.col("rank_recording").alias("section_pos"),
+        F.expr("if(part > 0, 1, 0) as rec_kind"), F.col("event_id").alias("rec_pos"), "part",
+        "event_id", "call_code", fx.call_name().alias("call"), "comm", "tag", "sender", "receiver",
+        "cnt", "bytes", fx.category().alias("category"),
+        F.expr("part > 0 and cnt <= 0 and bytes <= 0 as synthetic_empty"),
         time.alias("local_time"), "epoch_ns", time.alias("time"))

@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ranksc
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,13 +30,3 @@ def broadcast_within(df: DataFrame, bound: DataFrame, max_rows: int = MAX_BROADC
     """
     few = bound.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores; a no-op on large inputs.
-
-    A column-pruned scan of one row group would run everything downstream in a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
