@@ -205,15 +205,18 @@ def percent(ratio: str) -> Column:
 
 
 def format_bytes(n: str) -> Column:
-    """Size in 1024 steps up to TB: no digits for bytes, else two, one or none by magnitude."""
+    """Size in 1024 steps up to TB: no digits for bytes, else two, one or none by magnitude.
+
+    A size over a power of two times at most 100 is exact, so halves can be rounded up directly.
+    """
     value = f"coalesce(cast({n} as double), 0D)"
-    branches = [f"when abs({value}) < 1024 then concat({_fixed(f'abs({value})', 0, 'up')}, ' B')"]
+    size = f"abs({value})"
+    branches = [f"when {size} < 1024 then format_string('%.0f B', floor({size} + 0.5D) * 1D)"]
     for i, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
-        scaled = f"(abs({value}) / {1024 ** i}D)"
-        text = (f"concat(case when {scaled} < 10 then {_fixed(scaled, 2, 'up')} "
-                f"when {scaled} < 100 then {_fixed(scaled, 1, 'up')} "
-                f"else {_fixed(scaled, 0, 'up')} end, ' {unit}')")
-        branches.append(f"else {text}" if unit == "TB" else f"when {scaled} < 1024 then {text}")
+        scaled = f"{size} / {1024 ** i}D"
+        for limit, digits in ((10, 2), (100, 1), (1024 if unit != "TB" else None, 0)):
+            text = f"format_string('%.{digits}f {unit}', floor({scaled} * {10 ** digits} + 0.5D) / {10 ** digits}D)"
+            branches.append(f"when {scaled} < {limit} then {text}" if limit else f"else {text}")
     return F.expr(f"concat(if({value} < 0, '-', ''), case {' '.join(branches)} end)")
 
 

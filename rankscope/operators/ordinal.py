@@ -41,23 +41,41 @@ def _slice_number() -> Column:
             .otherwise(n + position(F.col("time") - F.col("t0"), F.col("t_span")))
 
 
+def may_hold_hot_keys(df: DataFrame, hot_rows: int) -> bool:
+    """False when the optimizer's size estimate leaves no room for a key of ``hot_rows`` rows.
+
+    Only saves the counting pass on small inputs; results do not depend on it.
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return True
+    return size >= 16 * hot_rows
+
+
 def number_rows(df: DataFrame, keys: list[str],
                 finish: Callable[[DataFrame], DataFrame] = lambda d: d,
-                within: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                within: list[str] | None = None, hot_rows: int = HOT_ROWS,
+                order: list[Column] | None = None) -> DataFrame:
     """Add ``ordinal`` (from 0) per ``keys + within`` in timeline order, then apply ``finish``.
 
+    ``order`` may replace the timeline order by one that also starts with epoch and time.
     Ordinary keys go through one exchange on ``keys``, which ``finish`` can reuse for a
     grouping on ``keys`` plus the ordinal. Keys above ``hot_rows`` are cut into time slices:
     rows are numbered inside their slice and the rows of earlier slices are added from a small
     table of counts. Without such keys adaptive execution drops that half of the plan.
     """
     part = keys + (within or [])
-    plan = F.broadcast(hot_keys(df, keys, hot_rows))
-    order = S.timeline_order()
+    order = S.timeline_order() if order is None else order
+
+    def straight(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*order)
+        return rows.repartition(*keys).withColumn("ordinal", F.row_number().over(w).cast("long") - 1)
 
-    cold = df.join(plan.select(*keys), keys, "left_anti").repartition(*keys)
-    cold = cold.withColumn("ordinal", F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-                           .cast("long") - 1)
+    if not may_hold_hot_keys(df, hot_rows):
+        return finish(straight(df))
+    plan = F.broadcast(hot_keys(df, keys, hot_rows))
+    cold = straight(df.join(plan.select(*keys), keys, "left_anti"))
 
     hot = df.join(plan, keys).withColumn("slice", _slice_number()) \
             .drop("slices", "e0", "e_span", "t0", "t_span")

@@ -172,16 +172,22 @@ def translate_ranks(events: DataFrame, comm_members: DataFrame,
 
 
 def complete_requests(posted: DataFrame, completions: DataFrame,
-                      comm_members: DataFrame | None = None) -> DataFrame:
+                      comm_members: DataFrame | None = None,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Transfer events of nonblocking requests, stamped with the time they completed.
 
     A handle may be reused once it completed, so the i-th post of a handle belongs to its i-th
     completion. Requests that were cancelled or never completed leave no event.
     """
     key = ["run_id", "rank", "handle"]
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("t"))
-    p = posted.withColumn("turn", turn).withColumnRenamed("t", "posted_time")
-    c = completions.withColumn("turn", turn).withColumnRenamed("t", "local_time")
+
+    def turns(rows: DataFrame) -> DataFrame:
+        timed = rows.withColumn("epoch_ns", F.lit(None).cast("long")).withColumn("time", F.col("t"))
+        return number_rows(timed, key, hot_rows=hot_rows, order=[F.col("time")]) \
+            .drop("epoch_ns", "time").withColumnRenamed("ordinal", "turn")
+
+    p = turns(posted).withColumnRenamed("t", "posted_time")
+    c = turns(completions).withColumnRenamed("t", "local_time")
     done = p.join(c, key + ["turn"]).filter(~F.coalesce("cancelled", F.lit(False)))
     source = F.col("status_source")
     if comm_members is not None:

@@ -44,20 +44,24 @@ def broken_bookends(events: DataFrame, runs: DataFrame) -> DataFrame:
     return rank_spine(runs).join(ends, ["run_id", "rank"], "left").filter(~good)
 
 
-def expect_rows(events: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Expectations whose number of matching rows differs.
+def expect_rows(events: DataFrame, expectations: list[dict]) -> DataFrame:
+    """Expectations whose number of matching rows differs, per run.
 
-    ``expectations`` holds ``n`` and any event columns; a null column matches everything.
+    Each expectation has ``n``, an optional ``label`` and the column values a row must have.
+    All are counted in one pass.
     """
-    fields = [c for c in expectations.columns if c not in ("n", "label", "run_id")]
-    numbered = expectations.withColumn("expectation", F.xxhash64(*expectations.columns))
-    e = numbered.select("run_id", "expectation", *[F.col(c).alias(f"want_{c}") for c in fields])
-    cond = events["run_id"] == e["run_id"]
-    for f in fields:
-        cond = cond & (e[f"want_{f}"].isNull() | (events[f] == e[f"want_{f}"]))
-    found = events.join(F.broadcast(e), cond).groupBy("expectation").agg(F.count(F.lit(1)).alias("found"))
-    return (numbered.join(found, "expectation", "left").fillna(0, ["found"])
-            .filter(F.col("found") != F.col("n")).drop("expectation"))
+    def matches(expected: dict) -> Column:
+        cond = F.lit(True)
+        for name, value in expected.items():
+            if name not in ("n", "label"):
+                cond = cond & F.col(name).eqNullSafe(F.lit(value))
+        return cond
+
+    counts = [F.count_if(matches(e)).alias(f"found{i}") for i, e in enumerate(expectations)]
+    rows = [F.struct(F.lit(e.get("label", str(i))).alias("label"), F.lit(e["n"]).cast("long").alias("n"),
+                     F.col(f"found{i}").alias("found")) for i, e in enumerate(expectations)]
+    return events.groupBy("run_id").agg(*counts).select("run_id", F.inline(F.array(*rows))) \
+                 .filter(F.col("found") != F.col("n"))
 
 
 def tag_mismatch(sends: DataFrame, receives: DataFrame, keys: list[str]) -> DataFrame:

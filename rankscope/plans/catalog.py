@@ -1,4 +1,4 @@
 """All named queries; importing the query modules registers them."""
 
-from rankscope.plans import queries_scalar, queries_traffic  # noqa: F401
+from rankscope.plans import queries_rules, queries_scalar, queries_traffic  # noqa: F401
 from rankscope.plans.registry import ORACLE, QUERIES  # noqa: F401
