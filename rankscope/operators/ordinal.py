@@ -47,7 +47,7 @@ def may_hold_hot_keys(df: DataFrame, hot_rows: int) -> bool:
     Only saves the counting pass on small inputs; results do not depend on it.
     """
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return True
     return size >= 16 * hot_rows
