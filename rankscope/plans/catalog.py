@@ -1,4 +1,5 @@
 """All named queries; importing the query modules registers them."""
 
-from rankscope.plans import queries_rules, queries_scalar, queries_traffic, queries_views  # noqa: F401
+from rankscope.plans import (  # noqa: F401
+    queries_live, queries_rules, queries_scalar, queries_traffic, queries_views)  # noqa: F401
 from rankscope.plans.registry import ORACLE, QUERIES  # noqa: F401

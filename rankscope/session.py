@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAX_BROADCAST_ROWS = 500_000
@@ -30,3 +33,18 @@ def broadcast_within(df: DataFrame, bound: DataFrame, max_rows: int = MAX_BROADC
     """
     few = bound.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder every executor can reach.
+
+    The session's ``spark.checkpoint.dir`` is used; only where it is unset, as in tests, a local
+    one takes its place.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="rankscope-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

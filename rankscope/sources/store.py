@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankscope import functions as fx
 from rankscope import schema as S
@@ -81,31 +81,40 @@ def write_document(document: DataFrame, path: str) -> None:
 MAX_LINE = 1023
 
 
-def to_line_protocol(events: DataFrame) -> DataFrame:
-    """Live-feed lines of events: one per small record, one per pair of parts.
-
-    Lines that do not fit the 1023 bytes of a feed line are left out.
-    """
-    base = events.filter("part = 0")
-    host = fx.escape_tag("host")
-    head = F.concat(F.lit("mpi_call,host="), host, F.lit(" producer_world_rank="), F.col("rank_recording"),
-                    F.lit("i,producer_subset_rank="), F.col("rank_recording"),
+def _line_head() -> Column:
+    return F.concat(F.lit("mpi_call,host="), fx.escape_tag("host"), F.lit(" producer_world_rank="),
+                    F.col("rank_recording"), F.lit("i,producer_subset_rank="), F.col("rank_recording"),
                     F.lit("i,message_type="), F.col("call_code"), F.lit("i,"))
 
-    def field(name: str, source) -> list:
-        return [F.lit(f"{name}="), source, F.lit("i,")]
 
-    small = [x for n, s in (("sender", "sender"), ("receiver", "receiver"), ("bytes", "bytes"),
-                            ("count", "cnt"), ("id", "event_id")) for x in field(n, F.col(s))]
-    lines = base.select("run_id", F.concat(head, *small, F.lit("is_large=0i "), F.col("epoch_ns")).alias("value"))
+def _line(fields: list[tuple[str, str]], is_large: int) -> Column:
+    body = [x for name, source in fields for x in (F.lit(f"{name}="), F.col(source), F.lit("i,"))]
+    return F.concat(_line_head(), *body, F.lit(f"is_large={is_large}i "), F.col("epoch_ns"))
+
+
+def _fitting(lines: DataFrame) -> DataFrame:
+    """The feed drops a line that does not fit its buffer, line break included."""
+    return lines.filter(F.octet_length("value") + 1 <= MAX_LINE)
+
 
+def to_line_protocol_small(events: DataFrame) -> DataFrame:
+    """Feed lines of small records; row by row, so streams can be written with it."""
+    fields = [("sender", "sender"), ("receiver", "receiver"), ("bytes", "bytes"), ("count", "cnt"),
+              ("id", "event_id")]
+    return _fitting(events.filter("part = 0").select("run_id", _line(fields, 0).alias("value")))
+
+
+def to_line_protocol(events: DataFrame) -> DataFrame:
+    """Live-feed lines of events, one per record; needs a ``host`` column.
+
+    The two parts of a large record share a line.
+    """
     key = ["run_id", "rank_recording", "host", "call_code", "event_id", "section_pos", "rec_pos"]
+    parts = [(c, n, p) for p in (1, 2) for c, n in (("sender", "sender"), ("receiver", "receiver"),
+                                                    ("bytes", "bytes"), ("cnt", "count"))]
     two = events.filter("part > 0").groupBy(*key).agg(
         F.max("epoch_ns").alias("epoch_ns"),
-        *[F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}{p}")
-          for p in (1, 2) for c in ("sender", "receiver", "bytes", "cnt")])
-    large = [x for p in (1, 2) for n, s in (("sender", "sender"), ("receiver", "receiver"),
-                                            ("bytes", "bytes"), ("count", "cnt"))
-             for x in field(f"{n}{p}", F.col(f"{s}{p}"))] + field("id", F.col("event_id"))
-    wide = two.select("run_id", F.concat(head, *large, F.lit("is_large=1i "), F.col("epoch_ns")).alias("value"))
-    return lines.unionByName(wide).filter(F.octet_length("value") < MAX_LINE)
+        *[F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}{p}") for c, _, p in parts])
+    fields = [(f"{n}{p}", f"{c}{p}") for c, n, p in parts] + [("id", "event_id")]
+    large = _fitting(two.select("run_id", _line(fields, 1).alias("value")))
+    return to_line_protocol_small(events).unionByName(large)
