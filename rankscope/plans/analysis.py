@@ -76,7 +76,9 @@ def _rows(section: str, df: DataFrame) -> DataFrame:
     """One array per run in section order; every section is bounded by ranks, barriers or k."""
     key = SECTION_ORDER.get(section, "position")
     fields = [x for x in df.columns if x not in ("run_id", "position")]
-    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_order"), F.struct(*fields).alias("row"))))
+    listed = F.array_sort(
+        F.collect_list(F.struct(F.col(key).cast("long").alias("at"), F.struct(*fields).alias("row"))),
+        lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
     return df.groupBy("run_id").agg(F.transform(listed, lambda r: r["row"]).alias(section))
 
 

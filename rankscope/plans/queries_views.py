@@ -10,7 +10,7 @@ from rankscope.plans.derived import RUN_ID, derive_trace, table
 from rankscope.plans.registry import EVENTS_SQL, TO, query, r6, trace
 
 CHUNK = 10_000
-MOMENT = 1000.45
+MOMENT = 1000.1
 
 CHUNKS_SQL = EVENTS_SQL + f""",
 num as (select *, row_number() over (order by {TO}) - 1 as ordinal from ev),

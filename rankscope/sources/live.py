@@ -7,34 +7,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankscope import functions as fx
 
 LINE = r"^mpi_call,host=((?:\\.|[^\\ ])*) (\S+) (-?[0-9]+)$"
+FIELDS = "struct<" + ",".join(f"{name}:bigint" for name in (
+    "producer_world_rank", "message_type", "id", "is_large", "sender", "receiver", "bytes", "count",
+    "sender1", "receiver1", "bytes1", "count1", "sender2", "receiver2", "bytes2", "count2")) + ">"
 
 
 def parse_line_protocol(df: DataFrame, value: str = "value", run_id: str = "live") -> DataFrame:
     """Events of feed lines; other lines are dropped.
 
     A small record gives one event and a large one two. The feed carries no communicator and no
-    tag, so both are 0. Rows are in the layout of the ``events`` table plus ``host``.
+    tag, so both are 0. Rows are in the layout of the ``events`` table plus ``host``. The integer
+    fields are read in one pass, as the JSON object they almost are.
     """
     text = F.col(value)
     kept = [c for c in df.columns if c != value]
+    fields = F.regexp_replace(F.regexp_extract(text, LINE, 2), r"(\w+)=(-?[0-9]+)i", r'"$1":$2')
     parsed = df.filter(text.rlike(LINE)).select(
         *kept, fx.unescape_tag(F.regexp_extract(text, LINE, 1)).alias("host"),
-        F.str_to_map(F.regexp_extract(text, LINE, 2), F.lit(","), F.lit("=")).alias("f"),
+        F.from_json(F.concat(F.lit("{"), fields, F.lit("}")), FIELDS).alias("f"),
         F.regexp_extract(text, LINE, 3).cast("long").alias("epoch_ns"))
 
-    def field(name: str) -> Column:
-        return F.regexp_replace(F.try_element_at("f", F.lit(name)), "i$", "").cast("long")
+    def part(number: int, suffix: str) -> str:
+        return (f"struct({number} as part, cast(f.sender{suffix} as int) as sender, "
+                f"cast(f.receiver{suffix} as int) as receiver, f.bytes{suffix} as bytes, f.count{suffix} as cnt)")
 
-    def part(number: int, suffix: str) -> Column:
-        return F.struct(F.lit(number).alias("part"), field("sender" + suffix).cast("int").alias("sender"),
-                        field("receiver" + suffix).cast("int").alias("receiver"),
-                        field("bytes" + suffix).alias("bytes"), field("count" + suffix).alias("cnt"))
-
-    parts = F.when(field("is_large") == 1, F.array(part(1, "1"), part(2, "2"))) \
-             .otherwise(F.array(part(0, "")))
-    rows = parsed.select(*kept, "host", "epoch_ns", field("producer_world_rank").cast("int").alias("rank_recording"),
-                         field("message_type").cast("int").alias("call_code"), field("id").alias("event_id"),
-                         F.inline(parts))
+    rows = parsed.select(
+        *kept, "host", "epoch_ns", F.col("f.producer_world_rank").cast("int").alias("rank_recording"),
+        F.col("f.message_type").cast("int").alias("call_code"), F.col("f.id").alias("event_id"),
+        F.expr(f"inline(if(f.is_large = 1, array({part(1, '1')}, {part(2, '2')}), array({part(0, '')})))"))
     return _as_events(rows, run_id, kept + ["host"])
 
 
