@@ -277,8 +277,7 @@ def w05(spark, sf):
 
 @query("st06_drop_accounting", COUNTERS_SQL)
 def st06(spark, sf):
-    out = feed.run_once(stateful.drop_deltas_stream(drop_counters(stream_of(spark, sf, "events"))), "append",
-                        stateful.STATE_CONF)
+    out = feed.run_once(stateful.drop_deltas_stream(drop_counters(stream_of(spark, sf, "events"))), "append")
     return out.select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total")
 
 
@@ -304,6 +303,5 @@ def st05(spark, sf):
     derive_trace(spark, sf).filter("call_code between 18 and 22").write.parquet(path)
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     posted = posted_requests(rows).withColumn("handle", F.col("event_id"))
-    out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted)), "append",
-                        stateful.STATE_CONF)
+    out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted)), "append")
     return out.select("rank_recording", "handle", "call_code", "tag", "sender", "receiver", "cnt")

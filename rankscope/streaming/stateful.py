@@ -6,12 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankscope.operators.pairing import actual_transfer
 
-STATE_CONF = {"spark.sql.streaming.stateStore.providerClass":
-              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 ABANDONED_MS = 24 * 3600 * 1000
 
 _REQUEST = ("call_code int, comm int, tag int, sender int, receiver int, cnt long, type_size int, "
@@ -23,33 +21,31 @@ MATCHED = (f"run_id string, rank int, handle long, posted_time double, local_tim
 MATCHED_FIELDS = [f.split()[0] for f in MATCHED.split(", ")]
 
 
-class RequestMatcher(StatefulProcessor):
-    """Remembers the posted request of a handle until its completion arrives."""
+def _match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Remember the posted request of a handle until its completion arrives.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", PENDING, ABANDONED_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A key is one handle of one rank; a batch holds its few uses since the last trigger.
-        batch = pd.concat(rows).sort_values(["t", "done"], kind="stable")
-        request = self.pending.get() if self.pending.exists() else None
-        out = []
-        for r in batch.to_dict("records"):
-            if not r["done"]:
-                request = (r["t"], *[r[c] for c in REQUEST_FIELDS])
-            elif request is not None:
-                out.append((*key, request[0], r["t"], *request[1:],
-                            r["status_source"], r["status_count"], r["cancelled"]))
-                request = None
-        if request is None:
-            self.pending.clear()
-        else:
-            self.pending.update(request)
-        if out:
-            yield pd.DataFrame(out, columns=MATCHED_FIELDS)
-
-    def close(self) -> None:
-        pass
+    A key is one handle of one rank; a trigger brings its few uses since the last one.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(batches)).sort_values(["t", "done"], kind="stable")
+    request = state.get if state.exists else None
+    out = []
+    for r in batch.to_dict("records"):
+        if not r["done"]:
+            request = (r["t"], *[r[c] for c in REQUEST_FIELDS])
+        elif request is not None:
+            out.append((*key, *request[:1], r["t"], *request[1:],
+                        r["status_source"], r["status_count"], r["cancelled"]))
+            request = None
+    if request is not None:
+        state.update(tuple(x.item() if hasattr(x, "item") else x for x in request))
+        state.setTimeoutDuration(ABANDONED_MS)
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=MATCHED_FIELDS)
 
 
 def complete_requests_stream(posted: DataFrame, completions: DataFrame) -> DataFrame:
@@ -65,8 +61,8 @@ def complete_requests_stream(posted: DataFrame, completions: DataFrame) -> DataF
     types = dict(f.split() for f in _REQUEST.split(", "))
     c = completions.select(*ids, *[F.lit(None).cast(types[x]).alias(x) for x in REQUEST_FIELDS],
                            F.lit(True).alias("done"), *[F.col(x).cast(t).alias(x) for x, t in status.items()])
-    matched = p.unionByName(c).groupBy("run_id", "rank", "handle").transformWithStateInPandas(
-        RequestMatcher(), MATCHED, "append", "processingTime")
+    matched = p.unionByName(c).groupBy("run_id", "rank", "handle").applyInPandasWithState(
+        _match, MATCHED, PENDING, "append", GroupStateTimeout.ProcessingTimeTimeout)
     return matched.filter(~F.coalesce("cancelled", F.lit(False))).select(
         "run_id", F.col("rank").alias("rank_recording"), "handle", "posted_time", "local_time",
         "call_code", "comm", "tag", *actual_transfer(F.col("status_source")))
@@ -75,33 +71,25 @@ def complete_requests_stream(posted: DataFrame, completions: DataFrame) -> DataF
 DELTAS = "producer long, poll_ts timestamp, delta long, dropped_total long"
 
 
-class DropCounter(StatefulProcessor):
-    """Remembers the last reported total of a producer."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "total long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["poll_ts", "dropped_total"], kind="stable")
-        total = batch["dropped_total"].astype("int64")
-        before = self.last.get()[0] if self.last.exists() else 0
-        delta = total - total.shift(fill_value=before)
-        self.last.update((int(total.iloc[-1]),))
-        changed = delta != 0
-        if changed.any():
-            yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
-                                "delta": delta[changed], "dropped_total": total[changed]})
-
-    def close(self) -> None:
-        pass
+def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Remember the last reported total of a producer."""
+    batch = pd.concat(list(batches)).sort_values(["poll_ts", "dropped_total"], kind="stable")
+    total = batch["dropped_total"].astype("int64")
+    before = state.get[0] if state.exists else 0
+    delta = total - total.shift(fill_value=before)
+    state.update((int(total.iloc[-1]),))
+    changed = delta != 0
+    if changed.any():
+        yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
+                            "delta": delta[changed], "dropped_total": total[changed]})
 
 
 def drop_deltas_stream(counters: DataFrame) -> DataFrame:
     """Dropped events per producer since its last report, only when the total changed."""
     rows = counters.select(F.col("producer").cast("long").alias("producer"), "poll_ts",
                            F.col("dropped_total").cast("long").alias("dropped_total"))
-    return rows.groupBy("producer").transformWithStateInPandas(
-        DropCounter(), DELTAS, "append", "processingTime")
+    return rows.groupBy("producer").applyInPandasWithState(
+        _count, DELTAS, "total long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drop_deltas(counters: DataFrame) -> DataFrame:
