@@ -303,5 +303,6 @@ def st05(spark, sf):
     derive_trace(spark, sf).filter("call_code between 18 and 22").write.parquet(path)
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     posted = posted_requests(rows).withColumn("handle", F.col("event_id"))
-    out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted)), "append")
+    out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), forget=False),
+                        "append")
     return out.select("rank_recording", "handle", "call_code", "tag", "sender", "receiver", "cnt")

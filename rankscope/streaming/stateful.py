@@ -21,38 +21,42 @@ MATCHED = (f"run_id string, rank int, handle long, posted_time double, local_tim
 MATCHED_FIELDS = [f.split()[0] for f in MATCHED.split(", ")]
 
 
-def _match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Remember the posted request of a handle until its completion arrives.
-
-    A key is one handle of one rank; a trigger brings its few uses since the last one.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(batches)).sort_values(["t", "done"], kind="stable")
-    request = state.get if state.exists else None
-    out = []
-    for r in batch.to_dict("records"):
-        if not r["done"]:
-            request = (r["t"], *[r[c] for c in REQUEST_FIELDS])
-        elif request is not None:
-            out.append((*key, *request[:1], r["t"], *request[1:],
-                        r["status_source"], r["status_count"], r["cancelled"]))
-            request = None
-    if request is not None:
-        state.update(tuple(x.item() if hasattr(x, "item") else x for x in request))
-        state.setTimeoutDuration(ABANDONED_MS)
-    elif state.exists:
-        state.remove()
-    if out:
-        yield pd.DataFrame(out, columns=MATCHED_FIELDS)
-
-
-def complete_requests_stream(posted: DataFrame, completions: DataFrame) -> DataFrame:
+def _matcher(forget: bool):
+    """State function that remembers the posted request of a handle until its completion."""
+
+    def match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # A key is one handle of one rank; a trigger brings its few uses since the last one.
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(batches)).sort_values(["t", "done"], kind="stable")
+        request = state.get if state.exists else None
+        out = []
+        for r in batch.to_dict("records"):
+            if not r["done"]:
+                request = (r["t"], *[r[c] for c in REQUEST_FIELDS])
+            elif request is not None:
+                out.append((*key, request[0], r["t"], *request[1:],
+                            r["status_source"], r["status_count"], r["cancelled"]))
+                request = None
+        if request is not None:
+            state.update(tuple(x.item() if hasattr(x, "item") else x for x in request))
+            if forget:
+                state.setTimeoutDuration(ABANDONED_MS)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=MATCHED_FIELDS)
+
+    return match
+
+
+def complete_requests_stream(posted: DataFrame, completions: DataFrame, forget: bool = True) -> DataFrame:
     """Transfer events of nonblocking requests from a stream of posts and one of completions.
 
     Posts arrive in the same trigger as their completion or in an earlier one. Cancelled requests
-    give no event; a request without completion is forgotten after a day.
+    give no event; a request without completion is forgotten after a day. ``forget`` must be off
+    for runs that stop when the input is used up: waiting for timeouts keeps a query alive.
     """
     ids = ["run_id", "rank", "handle", "t"]
     status = {"status_source": "int", "status_count": "bigint", "cancelled": "boolean"}
@@ -62,7 +66,8 @@ def complete_requests_stream(posted: DataFrame, completions: DataFrame) -> DataF
     c = completions.select(*ids, *[F.lit(None).cast(types[x]).alias(x) for x in REQUEST_FIELDS],
                            F.lit(True).alias("done"), *[F.col(x).cast(t).alias(x) for x, t in status.items()])
     matched = p.unionByName(c).groupBy("run_id", "rank", "handle").applyInPandasWithState(
-        _match, MATCHED, PENDING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _matcher(forget), MATCHED, PENDING, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
     return matched.filter(~F.coalesce("cancelled", F.lit(False))).select(
         "run_id", F.col("rank").alias("rank_recording"), "handle", "posted_time", "local_time",
         "call_code", "comm", "tag", *actual_transfer(F.col("status_source")))

@@ -54,8 +54,8 @@ def events(spark, rows, zero=0):
     """Aligned events from (rank, time, id, code, sender, receiver, count, bytes[, comm, tag])."""
     full = []
     for i, r in enumerate(rows):
-        rank, t, eid, code, s, d, cnt, nb, *rest = r
-        comm, tag = (*rest, 0, 0)[:2]
+        rank, t, eid, code, s, d = r[:6]
+        cnt, nb, comm, tag = (*r[6:], *[0] * 4)[:4]
         full.append(("r", rank, rank, i, float(t), eid, code, comm, tag, s, d, cnt, nb))
     df = spark.createDataFrame(full, SMALL_DDL)
     from pyspark.sql import functions as F
