@@ -206,6 +206,37 @@ def links(events: DataFrame) -> DataFrame:
                     "first_time", "last_time", "first_epoch", "seen_time"))
 
 
+def edge_calls(events: DataFrame) -> DataFrame:
+    """Canonical traffic per link and call: the one small table links and roots both follow from."""
+    return (events.filter(fx.is_canonical_transfer())
+            .groupBy("run_id", "comm", "sender", "receiver", "call_code")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"),
+                 F.min("time").alias("first_time"), F.max("time").alias("last_time"),
+                 F.min("epoch_ns").alias("first_epoch"), first_time().alias("seen_time")))
+
+
+def _fold(edges: DataFrame, keys: list[str], count: str, *extra: Column) -> DataFrame:
+    """Edge rows of a key added up, with the per-call counts as a map."""
+    counters = [F.expr(f"sum(if(call_code = {S.CODE[c]}, n, 0)) as {c}") for c in CANONICAL_CALLS]
+    seen = F.expr("coalesce(min(if(first_epoch is not null, seen_time, null)), min(seen_time)) as seen_time")
+    return (edges.groupBy("run_id", *keys)
+            .agg(F.sum("n").alias(count), F.sum("bytes").alias("bytes"), *counters, *extra,
+                 F.min("first_epoch").alias("first_epoch"), seen)
+            .withColumn("calls", _call_map()).drop(*CANONICAL_CALLS))
+
+
+def links_of_edges(edges: DataFrame) -> DataFrame:
+    """The link table from the edge table."""
+    return _fold(edges, ["comm", "sender", "receiver"], "messages",
+                 F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+
+
+def roots_of_edges(edges: DataFrame) -> DataFrame:
+    """The collective-root table from the edge table."""
+    rooted = edges.filter(fx.is_rooted()).withColumn("root", fx.collective_root())
+    return _fold(rooted, ["root"], "events")
+
+
 def pairs_of_links(link_table: DataFrame) -> DataFrame:
     """Rank pairs from the link table, without another pass over the events."""
     return link_table.groupBy("run_id", "sender", "receiver").agg(

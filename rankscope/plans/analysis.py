@@ -37,19 +37,28 @@ def rule_outcome(trace: Trace, kind: str) -> DataFrame:
     return rules.evaluate(with_rule_tables(trace, trace.metrics(r.groups), r.tables), r)
 
 
+def report_metrics(trace: Trace) -> DataFrame:
+    """The full metrics row that patterns, issues and summaries share."""
+    return trace.kept("report", lambda: with_rule_tables(trace, trace.metrics(GROUPS)))
+
+
 def patterns(trace: Trace) -> DataFrame:
     return rules.patterns(with_rule_tables(trace, trace.metrics(
         ("totals", "links", "touch", "roots")), ("top_link",)))
 
 
 def issues(trace: Trace) -> DataFrame:
-    return rules.issues(with_rule_tables(trace, trace.metrics()))
+    return rules.issues(report_metrics(trace))
+
 
+def analyse(trace: Trace) -> dict[str, DataFrame]:
+    """All sections of the analysis.
 
-def analyse(events: DataFrame, runs: DataFrame, **options) -> dict[str, DataFrame]:
-    """All sections of the analysis. Persist or write ``events`` first: it is read repeatedly."""
-    trace = Trace(events, runs, **options)
-    metrics = with_rule_tables(trace, trace.metrics(GROUPS))
+    The events are read once each for totals, edges, rank activity, phases, barriers and the three
+    kinds of matching, so they should be a stored timeline, and the trace one that shares tables.
+    """
+    events, runs = trace.events, trace.runs
+    metrics = report_metrics(trace)
     return {
         "summary": metrics.select(
             "run_id", "total_events", F.col("canonical_events").alias("canonical_transfer_events"),
@@ -116,7 +125,7 @@ def _per_rank(value: str) -> Column:
 
 def analysis_summary_table(trace: Trace) -> DataFrame:
     """The printed summary as (line, label, value, note) rows."""
-    m = with_rule_tables(trace, trace.metrics())
+    m = report_metrics(trace)
     none = F.lit(None).cast("string")
     counts = [("Total events", "total_events", True),
               ("Canonical transfers", "canonical_events", True),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from rankscope import functions as fx
@@ -20,28 +21,48 @@ ZERO_DOUBLE = ["runtime", "avg_out_peers", "avg_in_peers", "touch_cv", "max_barr
 
 
 class Trace:
-    """Events and runs with the shared intermediate tables, each defined once.
+    """Events and runs with the intermediate tables that several questions share.
 
-    Tables are lazy; those used by several questions of one query keep identical plans, so
-    Spark reuses their exchanges.
+    Tables are lazy. With ``share`` the edge table and the totals, which are small next to the
+    events, are persisted on first use, so a report reads the events once for each of them
+    however many of its sections need them; ``release`` drops them.
     """
 
-    def __init__(self, events: DataFrame, runs: DataFrame, **options):
-        self.events, self.runs, self.options = events, runs, options
+    def __init__(self, events: DataFrame, runs: DataFrame, share: bool = False, **options):
+        self.events, self.runs, self.share, self.options = events, runs, share, options
         self._tables: dict[str, DataFrame] = {}
+        self._persisted: list[str] = []
 
     def _get(self, name: str, build) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = build()
         return self._tables[name]
 
+    def kept(self, name: str, build) -> DataFrame:
+        """A table of at most one row per run, barrier, or link and call, persisted when shared."""
+        def persisted() -> DataFrame:
+            if not self.share:
+                return build()
+            self._persisted.append(name)
+            return build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._get(name, persisted)
+
+    def release(self) -> None:
+        for name in self._persisted:
+            self._tables[name].unpersist()
+
     @property
     def totals(self) -> DataFrame:
-        return self._get("totals", lambda: traffic.trace_totals(self.events))
+        return self.kept("totals", lambda: traffic.trace_totals(self.events))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.kept("edges", lambda: traffic.edge_calls(self.events))
 
     @property
     def links(self) -> DataFrame:
-        return self._get("links", lambda: traffic.links(self.events))
+        return self._get("links", lambda: traffic.links_of_edges(self.edges) if self.share
+                         else traffic.links(self.events))
 
     @property
     def pairs(self) -> DataFrame:
@@ -53,11 +74,12 @@ class Trace:
 
     @property
     def roots(self) -> DataFrame:
-        return self._get("roots", lambda: topk.ordered_roots(self.events))
+        return self._get("roots", lambda: topk.ordered_roots(
+            self.events, roots=traffic.roots_of_edges(self.edges) if self.share else None))
 
     @property
     def spreads(self) -> DataFrame:
-        return self._get("spreads", lambda: pairing.barrier_spreads(
+        return self.kept("spreads", lambda: pairing.barrier_spreads(
             self.events, self.runs, **self.options))
 
     def group(self, name: str) -> DataFrame:

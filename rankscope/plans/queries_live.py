@@ -50,8 +50,8 @@ def s15_frame(spark, sf):
 
 @query("k03_analysis_document")
 def k03(spark, sf):
-    t = trace(spark, sf)
-    return analysis.analysis_document(analysis.analyse(t.events, t.runs), t.runs)
+    t = trace(spark, sf, share=True)
+    return analysis.analysis_document(analysis.analyse(t), t.runs)
 
 
 @query("k04_hardware_map", "select n_name as hostname, 1 + n_nationkey % 2 as cpus, 1 + n_nationkey % 3 as cores_per_cpu from nation")
@@ -116,7 +116,7 @@ select unnest(['Total events', 'Canonical transfers', 'Canonical transfer bytes'
           printf('(Avg per rank: %.1f)', completion_events / 64.0::double), printf('(Avg per rank: %.1f)', barrier_events / 64.0::double), null]) as note
 from m""")
 def k07(spark, sf):
-    return analysis.analysis_summary_table(trace(spark, sf)).filter("line <= 6").select("label", "value", "note")
+    return analysis.analysis_summary_table(trace(spark, sf, share=True)).filter("line <= 6").select("label", "value", "note")
 
 
 # --- text feeds ---------------------------------------------------------------

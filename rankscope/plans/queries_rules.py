@@ -64,7 +64,7 @@ def _rule_sql(kind: str, applies: str, score: str | None, text: str) -> str:
 
 def _rule_query(kind: str, scored: bool):
     def run(spark, sf):
-        out = analysis.rule_outcome(trace(spark, sf), kind)
+        out = analysis.rule_outcome(trace(spark, sf, share=True), kind)
         cols = ["type", "applies", "description"] + (["severity"] if scored else [])
         return out.select(*cols, *([r6("score").alias("score")] if scored else []))
     return run
@@ -84,14 +84,14 @@ _ISSUES = " union all ".join(
 @query("f22_pattern_report", METRICS_SQL + f""", found as ({_PATTERNS})
 select row_number() over (order by ord) as position, type, description from found""")
 def f22(spark, sf):
-    return analysis.patterns(trace(spark, sf)).select("position", "type", "description")
+    return analysis.patterns(trace(spark, sf, share=True)).select("position", "type", "description")
 
 
 @query("o06_issues", METRICS_SQL + f""", found as ({_ISSUES})
 select row_number() over (order by score desc, ord) as position, type, round(score, 6) as score,
   {SEVERITY.format('score')} as severity, description from found""")
 def o06(spark, sf):
-    return analysis.issues(trace(spark, sf)).select(
+    return analysis.issues(trace(spark, sf, share=True)).select(
         "position", "type", r6("score").alias("score"), "severity", "description")
 
 
@@ -107,7 +107,7 @@ win as (select *, first_value(ord) over (partition by rank order by priority des
 select rank, max(kind) filter (ord = w) as kind, max(priority) filter (ord = w) as priority,
        string_agg(reason, ',' order by ord) filter (ord >= w) as reasons from win group by rank""")
 def h01(spark, sf):
-    t = trace(spark, sf)
+    t = trace(spark, sf, share=True)
     return frames.rank_highlights(t.roots, topk.top_ranks_by_touch(t.ranks)).select(
         "rank", "kind", "priority", F.array_join("reasons", ",").alias("reasons"))
 
@@ -125,7 +125,7 @@ def h02(spark, sf):
 @query("h03_issue_focus")
 def h03(spark, sf):
     """Issues name no ranks or pairs of their own; the largest link's ends stand in for them."""
-    t = trace(spark, sf)
+    t = trace(spark, sf, share=True)
     top = topk.top_links(t.events, 1, t.links).select(
         "run_id", F.array("sender", "receiver").alias("ranks"),
         F.array(F.array("sender", "receiver")).alias("pairs"))

@@ -223,10 +223,10 @@ select 'link' as report, row_number() over (order by bytes desc, seen) as positi
 union all select 'rank', row_number() over (order by touch_bytes desc, rank) as position, touch_bytes from ranks_t qualify position <= 10
 union all select 'root', row_number() over (order by bytes desc, seen) as position, bytes from roots qualify position <= 8""")
 def o09(spark, sf):
-    t = trace(spark, sf)
+    t = trace(spark, sf, share=True)
     cuts = {"link": topk.top_links(t.events, topk.REPORT_LINKS, t.links),
             "rank": topk.top_ranks_by_touch(t.ranks, topk.REPORT_RANKS),
-            "root": topk.ordered_roots(t.events, topk.REPORT_ROOTS)}
+            "root": t.roots.filter(F.col("position") <= topk.REPORT_ROOTS)}
     parts = [df.select(F.lit(name).alias("report"), "position", "bytes") for name, df in cuts.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

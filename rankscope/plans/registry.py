@@ -230,8 +230,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def trace(spark: SparkSession, sf_dir: str) -> Trace:
-    return Trace(derive_trace(spark, sf_dir), derived_runs(spark))
+def trace(spark: SparkSession, sf_dir: str, share: bool = False) -> Trace:
+    return Trace(derive_trace(spark, sf_dir), derived_runs(spark), share)
 
 
 def calls_text(column: str = "calls") -> Column:
