@@ -292,17 +292,19 @@ def st01(spark, sf):
 
 
 @query("st05_request_completion", EVENTS_SQL + """,
-po as (select rank_recording as rank, event_id as handle, call_code, tag, sender, receiver, bytes as cnt, call_code = 22 as is_recv,
+po as (select rank_recording as rank, event_id % 31 as handle, call_code, tag, sender, receiver, bytes as cnt, call_code = 22 as is_recv,
          call_code = 22 and event_id % 3 = 0 as wild, (sender + 1) % 64 as src, case when event_id % 4 = 0 then -1 else bytes + 1 end as c
        from ev where call_code between 18 and 22 and event_id % 11 <> 0 and (event_id % 7 <> 3 or event_id % 5 <> 1))
 select rank as rank_recording, handle, call_code, tag, case when is_recv and wild then src else sender end as sender, receiver,
   case when is_recv and c >= 0 then c else cnt end as cnt from po""")
 def st05(spark, sf):
-    """Posts and completions stream from the stored trace; every handle is used once."""
+    """Posts and completions stream from the stored trace; handles are reused once completed."""
     path = scratch(spark, "requests")
     derive_trace(spark, sf).filter("call_code between 18 and 22").write.parquet(path)
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    posted = posted_requests(rows).withColumn("handle", F.col("event_id"))
+    distinct = F.col("epoch_ns") + F.col("event_id") % 997
+    posted = posted_requests(rows.withColumn("time", distinct.cast("double"))) \
+        .withColumn("handle", F.col("event_id") % 31)
     out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), forget=False),
                         "append")
     return out.select("rank_recording", "handle", "call_code", "tag", "sender", "receiver", "cnt")
