@@ -79,10 +79,6 @@ def _issue_priority():
             .when(F.col("severity") == "warning", 300).otherwise(200)
 
 
-def _empty(spark, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
-
-
 def _winner(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Each candidate with the ordinal of the one that wins its key."""
     w = Window.partitionBy("run_id", *keys)

@@ -312,6 +312,3 @@ def with_first_seen(table: DataFrame, events: DataFrame, keys: list[str],
                      & (F.col("time") == F.col("seen_time")))
              .groupBy("run_id", *keys).agg(F.min(F.struct(*tail)).alias("first_seen")))
     return table.join(heads, ["run_id", *keys], "left")
-
-
-FIRST_SEEN_ORDER = ["first_epoch", "seen_time", "first_seen"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rankscope import functions as fx
 from rankscope.operators import frames, pairing, phases, timeline, topk, topology, traffic
 from rankscope.plans.derived import RUN_ID, derive_trace, table
-from rankscope.plans.registry import EVENTS_SQL, TO, query, r6, trace
+from rankscope.plans.registry import EVENTS_SQL, TO, query, r6
+from rankscope.sources import store
 
 CHUNK = 10_000
 MOMENT = 1000.1
@@ -76,7 +76,6 @@ def p03(spark, sf):
 select event_id, part, rank_recording from ev
 where epoch_ns // 1000000 >= cast(trunc(1500.25 * 1000) as bigint) and epoch_ns // 1000000 < cast(trunc(1900.75 * 1000) as bigint)""")
 def s14(spark, sf):
-    from rankscope.sources import store
     ev = store.with_event_ts(derive_trace(spark, sf))
     return store.events_between(ev, 1500.25, 1900.75).select("event_id", "part", "rank_recording")
 

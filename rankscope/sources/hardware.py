@@ -16,7 +16,7 @@ MAP_SCHEMA = (f"metadata struct<system_name: string>, "
 
 
 def _exists(path: str) -> bool:
-    where, name = trace_layout._locate(path)
+    where, name = trace_layout.locate(path)
     return where.get_file_info(name).type != trace_layout.fs.FileType.NotFound
 
 

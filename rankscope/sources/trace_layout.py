@@ -39,7 +39,7 @@ def text(raw: bytes) -> str:
 
 def list_files(path: str) -> list[tuple[str, str, int]]:
     """(run id, path, size) of the trace files at a path on any file system Arrow knows."""
-    where, root = _locate(path)
+    where, root = locate(path)
     info = where.get_file_info(root)
     if info.type == fs.FileType.File:
         return [(info.base_name, path, info.size)]
@@ -50,14 +50,14 @@ def list_files(path: str) -> list[tuple[str, str, int]]:
     return sorted((n, f"{prefix}/{n}", i.size) for n, i in zip(names, files))
 
 
-def _locate(path: str):
+def locate(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 @contextmanager
 def open_trace(path: str):
     """Seekable file of uncompressed trace bytes, with the flag that it was compressed."""
-    where, name = _locate(path)
+    where, name = locate(path)
     with where.open_input_file(name) as raw:
         packed = name.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
         raw.seek(0)
