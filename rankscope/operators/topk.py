@@ -36,23 +36,24 @@ def _seen_order() -> list[Column]:
             F.col("first_seen")]
 
 
-def top_links(events: DataFrame, k: int = LINKS, link_table: DataFrame | None = None) -> DataFrame:
+def top_links(events: DataFrame, runs: DataFrame, k: int = LINKS,
+              link_table: DataFrame | None = None) -> DataFrame:
     """Links with most bytes; equal ones in order of first appearance."""
     table = traffic.links(events) if link_table is None else link_table
     canonical = events.filter(fx.is_canonical_transfer())
-    seen = traffic.with_first_seen(table, canonical, ["comm", "sender", "receiver"], k)
+    seen = traffic.with_first_seen(table, canonical, ["comm", "sender", "receiver"], runs, k)
     return first_rows(seen, _seen_order(), k).select(
         "run_id", "position", "comm", "sender", "receiver", "messages", "bytes", "calls",
         "first_time", "last_time")
 
 
-def ordered_roots(events: DataFrame, k: int | None = None,
+def ordered_roots(events: DataFrame, runs: DataFrame, k: int | None = None,
                   roots: DataFrame | None = None) -> DataFrame:
     """Collective roots by bytes; equal ones in order of first appearance."""
     table = traffic.collective_roots(events) if roots is None else roots
     rooted = events.filter(fx.is_canonical_transfer() & fx.is_rooted()) \
                    .withColumn("root", fx.collective_root())
-    seen = traffic.with_first_seen(table, rooted, ["root"], k)
+    seen = traffic.with_first_seen(table, rooted, ["root"], runs, k)
     return first_rows(seen, _seen_order(), k).select(
         "run_id", "position", "root", "events", "bytes", "calls")
 

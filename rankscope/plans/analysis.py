@@ -20,7 +20,7 @@ def with_rule_tables(trace: Trace, metrics: DataFrame, names=("top_link", "top_r
     """Attach the largest link and the five busiest ranks, which some rules report."""
     out = metrics
     if "top_link" in names:
-        first = topk.top_links(trace.events, 1, trace.links)
+        first = topk.top_links(trace.events, trace.runs, 1, trace.links)
         out = out.join(first.select("run_id", F.struct(*LINK_FIELDS).alias("top_link")),
                        "run_id", "left")
     if "top_ranks_by_touch" in names:
@@ -69,7 +69,7 @@ def analyse(trace: Trace) -> dict[str, DataFrame]:
         "top_ranks_by_out_bytes": topk.top_ranks_by_out(trace.ranks),
         "top_ranks_by_in_bytes": topk.top_ranks_by_in(trace.ranks),
         "top_ranks_by_touch_bytes": topk.top_ranks_by_touch(trace.ranks),
-        "top_links": topk.top_links(events, link_table=trace.links),
+        "top_links": topk.top_links(events, runs, link_table=trace.links),
         "collective_roots": trace.roots,
         "barrier_spreads": trace.spreads,
         "patterns": rules.patterns(metrics),

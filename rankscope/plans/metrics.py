@@ -75,7 +75,7 @@ class Trace:
     @property
     def roots(self) -> DataFrame:
         return self._get("roots", lambda: topk.ordered_roots(
-            self.events, roots=traffic.roots_of_edges(self.edges) if self.share else None))
+            self.events, self.runs, roots=traffic.roots_of_edges(self.edges) if self.share else None))
 
     @property
     def spreads(self) -> DataFrame:

@@ -119,14 +119,14 @@ select sender, receiver, 'top' as kind, 100 as priority, 'top_link' as reason, b
        row_number() over (order by bytes desc, ord) as position from pair qualify position <= 10""")
 def h02(spark, sf):
     t = trace(spark, sf)
-    return frames.link_highlights(topk.top_links(t.events, link_table=t.links)).drop("run_id")
+    return frames.link_highlights(topk.top_links(t.events, t.runs, link_table=t.links)).drop("run_id")
 
 
 @query("h03_issue_focus")
 def h03(spark, sf):
     """Issues name no ranks or pairs of their own; the largest link's ends stand in for them."""
     t = trace(spark, sf, share=True)
-    top = topk.top_links(t.events, 1, t.links).select(
+    top = topk.top_links(t.events, t.runs, 1, t.links).select(
         "run_id", F.array("sender", "receiver").alias("ranks"),
         F.array(F.array("sender", "receiver")).alias("pairs"))
     return frames.issue_focus(analysis.issues(t).join(top, "run_id"), 1).drop("run_id")

@@ -177,7 +177,8 @@ def f17(spark, sf):
 select row_number() over (order by bytes desc, seen) as position, comm, sender, receiver, messages, bytes, calls,
        round(first_time, 6) as first_time, round(last_time, 6) as last_time from links qualify position <= 20""")
 def o01(spark, sf):
-    return topk.top_links(trace(spark, sf).events).select(
+    t = trace(spark, sf)
+    return topk.top_links(t.events, t.runs).select(
         "position", "comm", "sender", "receiver", "messages", "bytes", calls_text().alias("calls"),
         r6("first_time").alias("first_time"), r6("last_time").alias("last_time"))
 
@@ -224,7 +225,7 @@ union all select 'rank', row_number() over (order by touch_bytes desc, rank) as
 union all select 'root', row_number() over (order by bytes desc, seen) as position, bytes from roots qualify position <= 8""")
 def o09(spark, sf):
     t = trace(spark, sf, share=True)
-    cuts = {"link": topk.top_links(t.events, topk.REPORT_LINKS, t.links),
+    cuts = {"link": topk.top_links(t.events, t.runs, topk.REPORT_LINKS, t.links),
             "rank": topk.top_ranks_by_touch(t.ranks, topk.REPORT_RANKS),
             "root": t.roots.filter(F.col("position") <= topk.REPORT_ROOTS)}
     parts = [df.select(F.lit(name).alias("report"), "position", "bytes") for name, df in cuts.items()]

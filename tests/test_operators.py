@@ -88,9 +88,9 @@ def test_equal_links_keep_first_appearance(spark):
     ev = events(spark, [
         (3, 1.0, 9, 13, 3, 0, 1, 50), (2, 1.0, 4, 13, 2, 0, 1, 50), (1, 1.0, 4, 13, 1, 0, 1, 50),
         (0, 2.0, 1, 13, 0, 1, 1, 50), (0, 3.0, 2, 13, 0, 2, 1, 90)])
-    got = topk.top_links(ev, 4).orderBy("position").collect()
+    got = topk.top_links(ev, runs(spark, 4), 4).orderBy("position").collect()
     assert [(r.sender, r.receiver, r.bytes) for r in got] == [(0, 2, 90), (1, 0, 50), (2, 0, 50), (3, 0, 50)]
-    last = topk.top_links(ev, 5).orderBy("position").collect()[-1]
+    last = topk.top_links(ev, runs(spark, 4), 5).orderBy("position").collect()[-1]
     assert (last.sender, last.receiver) == (0, 1)
 
 
@@ -194,7 +194,7 @@ def test_partitioning_and_a_second_run_change_nothing(spark, sf_dir):
     for r in doubled.collect():
         assert [r.canonical_bytes, r.pairs_observed, r.barrier_instances] == [base[0][0], base[0][1], base[0][3]]
         assert r.touch_cv == pytest.approx(base[0][2])
-    assert rows(topk.top_links(twice).filter("run_id = 'again'"), *cols) == rows(topk.top_links(ev), *cols)
+    assert rows(topk.top_links(twice, both).filter("run_id = 'again'"), *cols) == rows(topk.top_links(ev, rn), *cols)
 
 
 # --- requests -----------------------------------------------------------------
