@@ -16,7 +16,7 @@ from rankscope.llm.stage import carried, written
 WINDOW = 13            # words of the shortest passage
 SEED = 5               # words of a seed and of an automaton's phrase
 STRIDE = WINDOW - SEED + 1
-SHARD_BYTES = 8 << 20  # bytes of text that one automaton is built for
+SHARD_BYTES = 2 << 20  # bytes of text that one automaton is built for
 
 RESULTS = ["log", "n_words", "n_removed"]
 

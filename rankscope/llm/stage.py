@@ -10,7 +10,7 @@ from rankscope.session import scratch
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, so that a lost executor costs no earlier step."""
     path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
