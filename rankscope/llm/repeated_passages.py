@@ -26,6 +26,8 @@ def repeated_passages(logs: DataFrame) -> DataFrame:
 
     ``logs`` has ``log_id`` long and ``log`` string; words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
 
+    Logs that copy a whole earlier log are told by hashes of the text and searched no further. For the others:
+
     1. Seeds: each window names the ``SEED``-word gram of the smallest fingerprint in it, so equal windows name the same
        seed. About a fifth of all places are seeds, and only seeds that two logs hold lead further.
     2. Passages: windows around such seeds are compared by fingerprint. Windows that two logs hold are merged into passages,
@@ -39,9 +41,12 @@ def repeated_passages(logs: DataFrame) -> DataFrame:
     """
     whole = logs.filter("log_id is not null").select(F.col("log_id").cast("long").alias("log_id"), "log",
                                                      F.xxhash64("log").alias("text_key"))
+    copies = written(_copies(whole), "copies")
     seeds = (whole.select("log_id", "log").mapInArrow(_seeds, "item long, log_id long")
              .repartition("item").sortWithinPartitions("item", "log_id").mapInArrow(_shared, "item long, log_id long, first_log long"))
-    wanted = seeds.groupBy(F.col("log_id").alias("of_log")).agg(F.collect_list("item").alias("seeds"))
+    skipped = copies.groupBy("log_id").agg(F.collect_set("text_key").alias("skipped"))
+    wanted = seeds.groupBy("log_id").agg(F.collect_list("item").alias("seeds")).join(skipped, "log_id", "left") \
+                  .withColumnRenamed("log_id", "of_log")
     regions = written(whole.join(wanted, F.col("log_id") == F.col("of_log"))
                       .mapInArrow(_regions, "log_id long, text_key long, first_word long, words string"), "regions")
     shared = written(regions.select("log_id", "words").mapInArrow(_windows, "item long, log_id long")
@@ -56,8 +61,19 @@ def repeated_passages(logs: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("log_id"), F.lit(shards)).cast("int").alias("shard")
     needed = shared.filter("log_id > first_log").select(shard, "first_log").distinct()
     patterns = needed.join(passages, "first_log").select("shard", "first_log", "passage")
-    return (patterns.groupBy("shard").cogroup(regions.select(shard, "*").groupBy("shard"))
-            .applyInArrow(_locate, "log_id long, text_key long, first_word long, end_word long, source_log long"))
+    located = (patterns.groupBy("shard").cogroup(regions.select(shard, "*").groupBy("shard"))
+               .applyInArrow(_locate, "log_id long, text_key long, first_word long, end_word long, source_log long"))
+    return located.unionByName(copies.select("log_id", "text_key", F.lit(0).cast("long").alias("first_word"),
+                                             F.col("n_words").alias("end_word"), F.col("first_log").alias("source_log")))
+
+
+def _copies(whole: DataFrame) -> DataFrame:
+    """Logs whose whole text a log with a smaller number has, by two hashes of it; they need no search."""
+    keys = whole.select("log_id", "text_key", F.xxhash64(F.lit(WINDOW), "log").alias("second_key"),
+                        F.regexp_count("log", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+    firsts = keys.groupBy("text_key", "second_key").agg(F.min("log_id").alias("first_log"), F.max("log_id").alias("last_log"))
+    return (keys.join(firsts.filter("first_log < last_log").drop("last_log"), ["text_key", "second_key"])
+            .filter(f"log_id > first_log and n_words >= {WINDOW}").drop("second_key").distinct())
 
 
 def strip_repeated_passages(logs: DataFrame) -> DataFrame:
@@ -161,7 +177,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends, first = W.spans(data, offsets, W.SPACES)
         at, seeds = _window_seeds(W.fingerprints(data, starts, ends), _word_rows(first, len(starts)))
         out: dict[str, list] = {"log_id": [], "text_key": [], "first_word": [], "words": []}
-        for i, wanted in enumerate(batch.column("seeds")):
+        for i, (wanted, skipped) in enumerate(zip(batch.column("seeds"), batch.column("skipped"))):
+            if skipped.is_valid and batch.column("text_key")[i].as_py() in skipped.as_py():
+                continue
             a, z = np.searchsorted(at, first[i]), np.searchsorted(at, first[i + 1])
             hit = at[a:z][np.isin(seeds[a:z].view(np.int64), wanted.values.to_numpy())]
             for low, high in _runs(hit):
