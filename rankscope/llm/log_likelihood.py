@@ -68,12 +68,14 @@ class CountFilter:
         self.bits, self.least = slices, least  # a row of bytes per slice
 
     @staticmethod
-    def _places(grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def _keys(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first probe of each n-gram goes at a level, and how far each later one is from the one before."""
         key = W.mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-        step = W.mix(key) | np.uint64(1)
-        for _ in range(PROBES):
-            yield (key % np.uint64(FILTER_BITS // SLICES)).astype(np.int64)
-            key = key + step
+        return key, (key >> np.uint64(32)) | np.uint64(1)
+
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        return (key & np.uint64(FILTER_BITS // SLICES - 1)).astype(np.int64)
 
     @staticmethod
     def slice_of(grams: np.ndarray) -> np.ndarray:
@@ -85,10 +87,12 @@ class CountFilter:
         rows, out = self.slice_of(salted), np.zeros(len(grams), np.int64)
         left = np.arange(len(grams))
         for level in range(1, 64):
-            met = np.ones(len(left), bool)
-            for places in self._places(salted[left], level):
-                met &= self.bits[rows[left], places >> 3] >> (places & 7).astype(np.uint8) & 1 == 1
-            left = left[met]
+            key, step = self._keys(salted[left], level)
+            for _ in range(PROBES):  # most absent ones are gone after the first probe
+                place = self._place(key)
+                met = self.bits[rows[left], place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                left, key, step = left[met], key[met], step[met]
+                key = key + step
             out[left] = level
             if not len(left):
                 break
@@ -126,8 +130,10 @@ def count_filter(counts: DataFrame) -> CountFilter:
         bits = np.zeros(size, bool)
         grams, levels = table.column("gram").to_numpy().view(np.uint64), table.column("level").to_numpy()
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for places in CountFilter._places(grams[levels >= level], level):
-                bits[places] = True
+            key, step = CountFilter._keys(grams[levels >= level], level)
+            for _ in range(PROBES):
+                bits[CountFilter._place(key)] = True
+                key = key + step
         return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     entries = counts.filter(F.col("times") >= least).select("n", "gram", level.alias("level"))
@@ -174,14 +180,16 @@ def score_likelihood(logs: DataFrame) -> DataFrame:
         grams, times, model = shared.value
         for batch in W.blocks(batches, "log"):
             tokens, first = _tokens(batch)
-            c = np.zeros(len(tokens), np.int64)
+            kinds, which = np.unique(tokens, return_inverse=True)
+            c = np.zeros(len(kinds), np.int64)
             if len(grams):
-                at = np.minimum(np.searchsorted(grams, tokens), len(grams) - 1)
-                c = np.where(grams[at] == tokens, times[at], 0)
+                at = np.minimum(np.searchsorted(grams, kinds), len(grams) - 1)
+                c = np.where(grams[at] == kinds, times[at], 0)
+            c = c[which]
             rest = tokens[c == 0].view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(c == 0)])[first]
             pairs, has = _pairs(tokens, first)
-            single = model.counts(tokens, 1)
+            single = model.counts(kinds, 1)[which]
             pair = np.zeros(len(tokens))
             pair[has] = model.counts(pairs[has], 2)
             before = np.concatenate([[1.0], np.maximum(single[:-1], 1.0)])
