@@ -120,12 +120,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
 
 
 def cut(histogram: dict[str, np.ndarray], prior: float) -> float:
-    """The raw score that parts good from bad: the middle of the bins with the least non-negative share of errors."""
+    """The raw score that parts good from bad, among the bins with the least non-negative share of errors.
+
+    A prior that is too high makes bins among the bad ones look free of errors, so the cut lies nearer to the upper end.
+    """
     below_p = np.concatenate([[0], np.cumsum(histogram["positive"])]) / max(1, histogram["positive"].sum())
     below_u = np.concatenate([[0], np.cumsum(histogram["unlabelled"])]) / max(1, histogram["unlabelled"].sum())
     errors = prior * below_p + np.maximum(0, (1 - below_u) - prior * (1 - below_p))
     best = np.flatnonzero(errors <= errors.min() + 1e-3)
-    return float((best[0] + best[-1]) / 2 * 2 / BINS - 0.5)
+    return float((best[0] + 3 * best[-1]) / 4 * 2 / BINS - 0.5)
 
 
 def score_logs(logs: DataFrame, verdicts: DataFrame) -> DataFrame:
