@@ -3,90 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankscope import schema as S
+from rankscope.session import written
 
-# A key with more rows than this is numbered in time slices instead of one sorted task.
-HOT_ROWS = 1 << 22
-MAX_SLICES = 1 << 16
+# Bits of a position that count rows within one piece, as monotonically_increasing_id lays them out.
+PIECE_BITS = 33
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Slicing plan of the keys above ``hot_rows``; at most ``rows / hot_rows`` of them."""
-    aligned = F.col("epoch_ns").isNotNull()
-    plan = (df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.min("epoch_ns").alias("e0"), F.max("epoch_ns").alias("e1"),
-                 F.min(F.when(~aligned, F.col("time"))).alias("t0"),
-                 F.max(F.when(~aligned, F.col("time"))).alias("t1"))
-            .filter(F.col("n") > hot_rows))
-    slices = F.least(F.ceil(F.col("n") * 4 / F.lit(float(hot_rows))), F.lit(MAX_SLICES))
-    return plan.select(*keys, slices.cast("long").alias("slices"), "e0",
-                       (F.col("e1") - F.col("e0")).cast("double").alias("e_span"),
-                       "t0", (F.col("t1") - F.col("t0")).alias("t_span"))
+def ranged(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
+    """Rows dealt into pieces of about equal size along keys and order, with their ``position``.
 
-
-def _slice_number() -> Column:
-    """Monotone in timeline order: aligned rows by epoch, then the others by local time."""
-    n = F.col("slices")
-
-    def position(offset: Column, span: Column) -> Column:
-        share = F.coalesce(F.try_divide(offset, span), F.lit(0.0))
-        return F.least(n - 1, F.floor(share * n).cast("long"))
-
-    return F.when(F.col("epoch_ns").isNotNull(),
-                  position((F.col("epoch_ns") - F.col("e0")).cast("double"), F.col("e_span"))) \
-            .otherwise(n + position(F.col("time") - F.col("t0"), F.col("t_span")))
-
-
-def may_hold_hot_keys(df: DataFrame, hot_rows: int) -> bool:
-    """False when the optimizer's size estimate leaves no room for a key of ``hot_rows`` rows.
-
-    Only saves the counting pass on small inputs; results do not depend on it.
+    The order is total, so a piece may begin anywhere inside a key, at an instant shared by many rows too. The
+    pieces are written down: positions stay what they are when an executor is lost.
     """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return True
-    return size >= 16 * hot_rows
+    along = [*[F.col(c) for c in part], *order]
+    rows = df.repartitionByRange(*along).sortWithinPartitions(*along)
+    return written(rows.withColumn("position", F.monotonically_increasing_id()), "ranged") \
+        .withColumn("piece", F.shiftright("position", PIECE_BITS))
 
 
 def number_rows(df: DataFrame, keys: list[str],
                 finish: Callable[[DataFrame], DataFrame] = lambda d: d,
-                within: list[str] | None = None, hot_rows: int = HOT_ROWS,
-                order: list[Column] | None = None) -> DataFrame:
+                within: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
     """Add ``ordinal`` (from 0) per ``keys + within`` in timeline order, then apply ``finish``.
 
-    ``order`` may replace the timeline order by one that also starts with epoch and time.
-    Ordinary keys go through one exchange on ``keys``, which ``finish`` can reuse for a
-    grouping on ``keys`` plus the ordinal. Keys above ``hot_rows`` are cut into time slices:
-    rows are numbered inside their slice and the rows of earlier slices are added from a small
-    table of counts. Without such keys adaptive execution drops that half of the plan.
+    Rows are range-partitioned along keys and order, so no key needs a task of its own. A row's number is its
+    position less that of the key's first row in the piece, plus the key's rows in earlier pieces; both come from
+    one count per piece and key. ``order`` may replace the timeline order.
     """
     part = keys + (within or [])
-    order = S.timeline_order() if order is None else order
-
-    def straight(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(*order)
-        return rows.repartition(*keys).withColumn("ordinal", F.row_number().over(w).cast("long") - 1)
-
-    if not may_hold_hot_keys(df, hot_rows):
-        return finish(straight(df))
-    plan = F.broadcast(hot_keys(df, keys, hot_rows))
-    cold = straight(df.join(plan.select(*keys), keys, "left_anti"))
-
-    hot = df.join(plan, keys).withColumn("slice", _slice_number()) \
-            .drop("slices", "e0", "e_span", "t0", "t_span")
-    before = Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (hot.groupBy(*part, "slice").agg(F.count(F.lit(1)).alias("n"))
-               .select(*part, "slice",
-                       F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("ahead")))
-    local = Window.partitionBy(*part, "slice").orderBy(*order)
-    hot = (hot.repartition(*part, "slice")
-           .withColumn("ordinal", F.row_number().over(local).cast("long") - 1)
-           .join(offsets, part + ["slice"])
-           .withColumn("ordinal", F.col("ordinal") + F.col("ahead"))
-           .select(*df.columns, "ordinal"))
-    return finish(cold).unionByName(finish(hot))
+    rows = ranged(df, part, S.timeline_order() if order is None else order)
+    before = Window.partitionBy(*part).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (rows.groupBy(*part, "piece").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("n"))
+              .select(*[F.col(c).alias(f"of_{c}") for c in part], F.col("piece").alias("of_piece"),
+                      (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in part], F.col("piece") == F.col("of_piece"))
+    return finish(rows.join(shifts, same).withColumn("ordinal", F.col("position") + F.col("shift")).select(*df.columns, "ordinal"))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankscope import functions as fx
 from rankscope import schema as S
-from rankscope.operators.ordinal import HOT_ROWS, number_rows
-from rankscope.session import broadcast_within
+from rankscope.operators.ordinal import number_rows
 
 P2P_KEYS = ["run_id", "comm", "sender", "receiver", "tag"]
 TIME_COLUMNS = S.ORDER_COLUMNS
@@ -22,16 +21,14 @@ def p2p_sides(events: DataFrame) -> DataFrame:
                  .filter(F.col("side").isNotNull())
 
 
-def p2p_ordinals(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def p2p_ordinals(events: DataFrame) -> DataFrame:
     """Position of every send and receive within its side of its key."""
-    return number_rows(p2p_sides(events), P2P_KEYS, within=["side"], hot_rows=hot_rows)
+    return number_rows(p2p_sides(events), P2P_KEYS, within=["side"])
 
 
-def pair_p2p(events: DataFrame, hot_rows: int = HOT_ROWS, keep_unmatched: bool = False,
+def pair_p2p(events: DataFrame, keep_unmatched: bool = False,
              payload: bool = False) -> DataFrame:
     """The i-th send of a key with its i-th receive; zero-byte rows take part.
-
-    Numbering and matching share one exchange on the key.
     """
     send, recv = F.col("side") == 0, F.col("side") == 1
     values = ["time", "epoch_ns"] + (["cnt", "bytes"] if payload else [])
@@ -45,7 +42,7 @@ def pair_p2p(events: DataFrame, hot_rows: int = HOT_ROWS, keep_unmatched: bool =
     sides = p2p_sides(events)
     if not payload:
         sides = sides.drop("cnt", "bytes")
-    out = number_rows(sides, P2P_KEYS, match, within=["side"], hot_rows=hot_rows)
+    out = number_rows(sides, P2P_KEYS, match, within=["side"])
     if not keep_unmatched:
         out = out.filter("has_send and has_recv").drop("has_send", "has_recv")
     return out
@@ -67,15 +64,15 @@ def _rooted(events: DataFrame, code: int, root: str, local: str) -> DataFrame:
         "run_id", "comm", F.col(root).alias("root"), F.col(local).alias("local"), *TIME_COLUMNS)
 
 
-def bcast_ordinals(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bcast_ordinals(events: DataFrame) -> DataFrame:
     """Position of a broadcast row among all broadcasts its receiver took part in."""
     return number_rows(_rooted(events, S.BCAST, "sender", "receiver"),
-                       ["run_id", "comm", "local"], hot_rows=hot_rows)
+                       ["run_id", "comm", "local"])
 
 
-def reduce_ordinals(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reduce_ordinals(events: DataFrame) -> DataFrame:
     return number_rows(_rooted(events, S.REDUCE, "receiver", "sender"),
-                       ["run_id", "comm", "local"], hot_rows=hot_rows)
+                       ["run_id", "comm", "local"])
 
 
 def _against_root(numbered: DataFrame) -> DataFrame:
@@ -91,12 +88,12 @@ def _against_root(numbered: DataFrame) -> DataFrame:
                     (F.col("time") - F.col("root_time")).alias("diff")))
 
 
-def pair_bcast(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _against_root(bcast_ordinals(events, hot_rows))
+def pair_bcast(events: DataFrame) -> DataFrame:
+    return _against_root(bcast_ordinals(events))
 
 
-def pair_reduce(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _against_root(reduce_ordinals(events, hot_rows))
+def pair_reduce(events: DataFrame) -> DataFrame:
+    return _against_root(reduce_ordinals(events))
 
 
 def _late(diff: Column, prefix: str, later: bool) -> list[Column]:
@@ -132,16 +129,16 @@ def early_reducers(arrivals: DataFrame) -> DataFrame:
 
 # --- barriers -----------------------------------------------------------------
 
-def barrier_ordinals(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def barrier_ordinals(events: DataFrame) -> DataFrame:
     """Position of every barrier row among its rank's barriers, all communicators mixed."""
     rows = events.filter(fx.is_barrier()).select("run_id", *TIME_COLUMNS)
-    return number_rows(rows, ["run_id", "rank_recording"], hot_rows=hot_rows)
+    return number_rows(rows, ["run_id", "rank_recording"])
 
 
-def barrier_spreads(events: DataFrame, runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def barrier_spreads(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Arrival spread of the k-th barrier; only barriers that every rank of the run reached."""
-    size = broadcast_within(runs.select("run_id", "total_ranks"), runs)
-    return (barrier_ordinals(events, hot_rows)
+    size = runs.select("run_id", "total_ranks")
+    return (barrier_ordinals(events)
             .join(size, "run_id").filter(F.col("rank_recording").between(0, F.col("total_ranks") - 1))
             .groupBy("run_id", "ordinal", "total_ranks")
             .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("t_min"), F.max("time").alias("t_max"))
@@ -171,33 +168,32 @@ def translate_ranks(events: DataFrame, comm_members: DataFrame,
     return out.select(*events.columns)
 
 
-def complete_requests(posted: DataFrame, completions: DataFrame,
-                      comm_members: DataFrame | None = None,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def complete_requests(posted: DataFrame, completions: DataFrame, comm_members: DataFrame | None = None) -> DataFrame:
     """Transfer events of nonblocking requests, stamped with the time they completed.
 
-    A handle may be reused once it completed, so the i-th post of a handle belongs to its i-th
-    completion. Requests that were cancelled or never completed leave no event.
+    A completion belongs to the latest post of its handle that is not completed yet. A handle is not posted
+    again while it is pending, so that is the row right before it among all posts and completions of the handle; an
+    abandoned post takes no later completion. Requests that were cancelled or never completed leave no event.
     """
     key = ["run_id", "rank", "handle"]
-
-    def turns(rows: DataFrame) -> DataFrame:
-        timed = rows.withColumn("epoch_ns", F.lit(None).cast("long")).withColumn("time", F.col("t"))
-        return number_rows(timed, key, hot_rows=hot_rows, order=[F.col("time")]) \
-            .drop("epoch_ns", "time").withColumnRenamed("ordinal", "turn")
-
-    p = turns(posted).withColumnRenamed("t", "posted_time")
-    c = turns(completions).withColumnRenamed("t", "local_time")
-    done = p.join(c, key + ["turn"]).filter(~F.coalesce("cancelled", F.lit(False)))
-    source = F.col("status_source")
+    uses = posted.withColumn("done", F.lit(False)).unionByName(completions.withColumn("done", F.lit(True)), allowMissingColumns=True)
+    turns = number_rows(uses, key, order=[F.col("t"), F.col("done")])
+    status = [c for c in completions.columns if c not in (*key, "t")]
+    p = turns.filter("not done").drop(*status, "done").withColumn("ordinal", F.col("ordinal") + 1).withColumnRenamed("t", "posted_time")
+    c = turns.filter("done").select(*key, "ordinal", F.col("t").alias("local_time"), *status)
+    done = p.join(c, [*key, "ordinal"]).filter(~F.coalesce("cancelled", F.lit(False)))
     if comm_members is not None:
-        members = comm_members.select("run_id", "comm", F.col("comm_rank").alias("status_source"),
-                                      "world_rank")
-        done = done.join(members, ["run_id", "comm", "status_source"], "left")
-        source = F.coalesce("world_rank", "status_source")
+        done = with_world_source(done, comm_members)
     return done.select(
         "run_id", F.col("rank").alias("rank_recording"), "handle", "posted_time", "local_time",
-        "call_code", "comm", "tag", *actual_transfer(source))
+        "call_code", "comm", "tag", *actual_transfer(F.col("status_source")))
+
+
+def with_world_source(done: DataFrame, comm_members: DataFrame) -> DataFrame:
+    """``status_source`` as a world rank where the communicator's members are known."""
+    members = comm_members.select("run_id", "comm", F.col("comm_rank").alias("status_source"), "world_rank")
+    return (done.join(members, ["run_id", "comm", "status_source"], "left")
+            .withColumn("status_source", F.coalesce("world_rank", "status_source")).drop("world_rank"))
 
 
 def actual_transfer(source: Column) -> list[Column]:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankscope import functions as fx
 from rankscope.operators import topk, traffic
-from rankscope.session import broadcast_within
 
 PHASE_COUNTS = ["events", "canonical_events", "canonical_bytes", "completion_events",
                 "barrier_events", "collective_events"]
@@ -39,7 +38,7 @@ def phases(events: DataFrame, runs: DataFrame) -> DataFrame:
     index = F.when(span <= 0, F.lit(0).cast("long")) \
              .otherwise(F.least(w - 1, F.greatest(F.lit(0).cast("long"), at)))
     canonical = fx.is_canonical_transfer()
-    filled = (events.join(broadcast_within(bounds, runs), "run_id")
+    filled = (events.join(bounds, "run_id")
               .groupBy("run_id", index.alias("phase"))
               .agg(F.count(F.lit(1)).alias("events"), F.count_if(canonical).alias("canonical_events"),
                    traffic.sum_if(canonical, F.col("bytes")).alias("canonical_bytes"),
@@ -97,10 +96,10 @@ def _active(events: DataFrame, t: float, short: float, long: float) -> DataFrame
                          & ((time >= t - short) | fx.lingers()))
 
 
-def active_events(events: DataFrame, t: float, speed: float = 0.0,
-                  k: int = topk.ACTIVE_EVENTS) -> DataFrame:
-    """Events shown at a moment of the playback: the newest k of the two time windows."""
-    return topk.newest_active(_active(events, t, *active_window(speed)), k)
+def active_events(events: DataFrame, t: float, speed: float = 0.0, k: int | None = None) -> DataFrame:
+    """Events shown at a moment of the playback: all of the two time windows, or their newest ``k``."""
+    found = _active(events, t, *active_window(speed))
+    return found if k is None else topk.newest_active(found, k)
 
 
 def active_events_live(events: DataFrame, t: float) -> DataFrame:

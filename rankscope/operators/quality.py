@@ -97,10 +97,9 @@ def tagged_collectives(events: DataFrame) -> DataFrame:
     return events.filter((fx.is_collective() | fx.is_barrier()) & (F.col("tag") != 0))
 
 
-def pair_disagreement(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def pair_disagreement(events: DataFrame) -> DataFrame:
     """Matched pairs whose two sides differ in count or bytes; the key makes the rest agree."""
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    pairs = pairing.pair_p2p(events, payload=True, **extra)
+    pairs = pairing.pair_p2p(events, payload=True)
     return pairs.filter((F.col("send_cnt") != F.col("recv_cnt"))
                         | (F.col("send_bytes") != F.col("recv_bytes")))
 

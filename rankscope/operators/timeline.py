@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rankscope import functions as fx
 from rankscope import schema as S
-from rankscope.operators.ordinal import HOT_ROWS, number_rows
-from rankscope.session import broadcast_within
+from rankscope.operators.ordinal import number_rows
 
 CHUNK_ROWS = 500_000
 
@@ -55,7 +54,7 @@ def register_time(events: DataFrame, anchors: DataFrame) -> DataFrame:
         "run_id", F.col("rank").alias("rank_recording"), "unix_time_zero_ns", "origin_ns")
     epoch = F.col("unix_time_zero_ns") + F.rint(F.col("local_time") * 1.0e9).cast("long")
     joined = events.drop("epoch_ns", "time").join(
-        broadcast_within(zero, anchors), ["run_id", "rank_recording"], "left")
+        zero, ["run_id", "rank_recording"], "left")
     out = joined.withColumn("epoch_ns", epoch).withColumn(
         "time", F.coalesce((F.col("epoch_ns") - F.col("origin_ns")) / F.lit(1.0e9),
                            F.col("local_time")))
@@ -80,7 +79,7 @@ def register_time_live(events: DataFrame, anchors: DataFrame) -> DataFrame:
     ns = F.floor(F.greatest(F.col("local_time"), F.lit(0.0)) * 1e9 + 0.5).cast("long")
     zero = anchors.select("run_id", F.col("rank").alias("rank_recording"), "unix_time_zero_ns")
     return (events.drop("epoch_ns")
-            .join(broadcast_within(zero, anchors), ["run_id", "rank_recording"])
+            .join(zero, ["run_id", "rank_recording"])
             .withColumn("epoch_ns", F.col("unix_time_zero_ns") + ns)
             .drop("unix_time_zero_ns"))
 
@@ -89,10 +88,9 @@ def sort_timeline(events: DataFrame) -> DataFrame:
     return events.orderBy("run_id", *S.timeline_order())
 
 
-def with_chunk_id(events: DataFrame, chunk_rows: int = CHUNK_ROWS,
-                  hot_rows: int = HOT_ROWS // 16) -> DataFrame:
+def with_chunk_id(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number of the fixed-size chunk that holds each row of the run's timeline."""
-    return number_rows(events, ["run_id"], hot_rows=hot_rows) \
+    return number_rows(events, ["run_id"]) \
         .withColumn("chunk_id", F.expr(f"ordinal div {int(chunk_rows)}"))
 
 

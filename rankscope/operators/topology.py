@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankscope.session import broadcast_within
 
 
 def build_topology(processes: DataFrame, nodes: DataFrame,
@@ -12,7 +11,7 @@ def build_topology(processes: DataFrame, nodes: DataFrame,
     """Process rows with the position of their host and the clock anchor of their rank."""
     place = nodes.select("hostname", "cab_id", "rack_id", "blade_id", "x", "y", "z")
     known = F.col("x").isNotNull()
-    out = processes.join(broadcast_within(place, place), "hostname", "left").select(
+    out = processes.join(place, "hostname", "left").select(
         *processes.columns,
         F.coalesce("x", F.col("rank") * 15.0).alias("x"),
         F.when(known, F.coalesce("y", F.lit(0.0))).otherwise(0.0).alias("y"),
@@ -74,5 +73,5 @@ def place_events(events: DataFrame, slots: DataFrame) -> DataFrame:
         place = slots.select("run_id", F.col("rank").alias(end), F.col("hostname").alias(f"{end}_host"),
                              F.col("chip_slot").alias(f"{end}_chip"),
                              F.col("core_slot").alias(f"{end}_core"))
-        out = out.join(broadcast_within(place, slots), ["run_id", end])
+        out = out.join(place, ["run_id", end])
     return out

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankscope import functions as fx
 from rankscope import schema as S
-from rankscope.session import broadcast_within
 
 BIN_COLUMNS = ["b0", "b1", "b2", "b3", "b4", "b5"]
 CANONICAL_CALLS = sorted(S.CALLS[c] for c in S.SEND_LIKE + [S.SENDRECV] + S.ROOTED)
@@ -306,7 +305,7 @@ def with_first_seen(table: DataFrame, events: DataFrame, keys: list[str],
     inside = F.col("epoch_ns").between(F.col("e0"), F.col("e1")) \
         | (F.col("epoch_ns").isNull() & F.col("unaligned"))
     tail = ["event_id", "rank_recording", "section_pos", "rec_kind", "rec_pos", "part"]
-    near = (events.join(broadcast_within(gate, runs), "run_id").filter(inside)
+    near = (events.join(gate, "run_id").filter(inside)
             .select("run_id", *keys, "epoch_ns", "time", *tail))
     heads = (near.join(tied, ["run_id", *keys])
              .filter(F.col("epoch_ns").eqNullSafe(F.col("first_epoch"))

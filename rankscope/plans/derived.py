@@ -36,7 +36,7 @@ def _messages(lineitem: DataFrame) -> DataFrame:
     base = lineitem.selectExpr(
         "l_suppkey % 64 as s", "l_partkey % 64 as r",
         "(l_orderkey * 31 + l_linenumber * 17) % 101 as h",
-        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as lid",
+        "cast(conv(substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 14), 16, 10) as bigint) as lid",
         "cast(l_quantity as bigint) as qty",
         "datediff(l_shipdate, date'1992-01-01') * 1000000L + (l_orderkey * 8 + l_linenumber) % 1000000 as us")
     msg = base.selectExpr(
@@ -65,11 +65,9 @@ def _messages(lineitem: DataFrame) -> DataFrame:
 
 
 def _collectives(orders: DataFrame) -> DataFrame:
-    """Every 64th order is one collective over all ranks."""
-    return (orders.filter("o_orderkey % 64 = 1").selectExpr(
-                "o_orderkey as ok", "datediff(o_orderdate, date'1992-01-01') * 1000000L as us",
-                "(o_orderkey div 64) % 5 as m", "o_custkey % 4 as root", "1 + o_orderkey % 97 as c",
-                f"explode(sequence(0L, {RANKS - 1}L)) as k")
+    """Every order is the row of one rank; 64 keys in turn are one collective over all ranks."""
+    return (orders.selectExpr("o_orderkey div 64 as ok", f"o_orderkey % {RANKS} as k")
+            .selectExpr("ok", "k", "ok % 2400 * 1000000L as us", "ok % 5 as m", "ok % 4 as root", "1 + ok % 97 as c")
             .selectExpr("*", "explode(if(m = 4, array(1, 2), array(0))) as part")
             .selectExpr("*", "case when m = 0 then 0L when part = 2 then c * 64 else c end as size")
             .selectExpr(

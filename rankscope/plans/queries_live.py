@@ -45,7 +45,7 @@ select event_id, part, rank_recording from ev where time <= {MOMENT} and time >=
   and (time >= {MOMENT} - 0.05 or coll or barrier or call_code in (39, 40))
 qualify row_number() over (order by time desc, epoch_ns desc, event_id desc, rank_recording desc, part desc) <= 800""")
 def s15_frame(spark, sf):
-    return store.frame_at(spark, stored(spark, sf), "derived", MOMENT).select("event_id", "part", "rank_recording")
+    return store.frame_at(spark, stored(spark, sf), "derived", MOMENT, k=800).select("event_id", "part", "rank_recording")
 
 
 @query("k03_analysis_document")
@@ -205,12 +205,33 @@ with fe as (select epoch_us(ts) as us, [13, 18, 23, 26, 29][event_id % 5 + 1] as
                    cast(trunc(value * 100) as bigint) as bytes from events)"""
 
 
-@query("st02_late_rows", FEED_SQL + " select count(*) as events, min(us) as first_us, max(us) as last_us from fe")
+@query("st02_late_rows", FEED_SQL + """,
+f as (select epoch_us(ts) as us, event_id % 10 = 0 as delayed from events),
+b as (select (min(us) + max(us)) // 2 as half, max(us) as newest from f)
+select us // 1000000 as second, count(*) as events from f, b
+where not (delayed and us < half and (us // 1000000 + 1) * 1000000 <= newest - 3000000) group by all""")
 def st02(spark, sf):
-    late = feed.with_lateness(feed_events(stream_of(spark, sf, "events")))
-    seen = feed.run_once(late.select("epoch_ns", "event_ts"), "append")
-    return seen.agg(F.count(F.lit(1)).alias("events"), F.expr("min(epoch_ns) div 1000 as first_us"),
-                    F.expr("max(epoch_ns) div 1000 as last_us"))
+    """The older half, the newer half, then a tenth of the older half that comes too late for its windows."""
+    path, where = scratch(spark, "late"), scratch(spark, "late-run")
+    events = feed_events(table(spark, sf, "events"))
+    half = events.agg(F.expr("(min(epoch_ns) div 1000 + max(epoch_ns) div 1000) div 2")).first()[0]
+    older, delayed = F.expr(f"epoch_ns div 1000 < {half}"), F.col("event_id") % 10 == 0
+    out = None
+    for part in (events.filter(older & ~delayed), events.filter(~older), events.filter(older & delayed)):
+        part.write.mode("append").parquet(path)
+        seen = feed.with_lateness(spark.readStream.schema(events.schema).parquet(path))
+        counted = seen.groupBy(F.window("event_ts", "1 second").alias("poll")).agg(F.count(F.lit(1)).alias("events"))
+        out = feed.run_once(counted, "update", ["poll"], where)
+    return out.select(F.unix_seconds("poll.start").alias("second"), "events")
+
+
+def in_pieces(spark: SparkSession, sf: str, pieces: int = 3) -> DataFrame:
+    """The feed as a stream of several files, one per trigger, each with rows of all windows."""
+    path = scratch(spark, "feed-files")
+    events = feed_events(table(spark, sf, "events"))
+    for i in range(pieces):
+        events.filter(F.col("event_id") % pieces == i).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("st03_sliding_activity", FEED_SQL + """,
@@ -218,7 +239,7 @@ w as (select *, unnest(range(us // 50000 + 1, us // 50000 + 11)) * 50000 as fram
 select frame_us, code as call_code, sender, receiver, count(*) as n from w
 where code in (26, 29) or us >= frame_us - 50000 group by all""")
 def st03(spark, sf):
-    out = feed.run_once(feed.sliding_activity(feed_events(stream_of(spark, sf, "events"))))
+    out = feed.run_once(feed.sliding_activity(in_pieces(spark, sf), "3650 days"), keys=feed.ACTIVITY_KEYS)
     return out.select(F.unix_micros("frame.end").alias("frame_us"), "call_code", "sender", "receiver", "n")
 
 
@@ -227,7 +248,7 @@ select us // 1000000 as second, code as call_code, count(*) as events,
   count(*) filter (bytes > 0 and code in (13, 18, 23)) as canonical_events,
   cast(coalesce(sum(bytes) filter (bytes > 0 and code in (13, 18, 23)), 0) as bigint) as canonical_bytes from fe group by all""")
 def st04(spark, sf):
-    out = feed.run_once(feed.tumbling_summary(feed_events(stream_of(spark, sf, "events"))))
+    out = feed.run_once(feed.tumbling_summary(in_pieces(spark, sf), lateness="3650 days"), keys=feed.SUMMARY_KEYS)
     return out.select(F.unix_seconds("poll.start").alias("second"), "call_code", "events", "canonical_events",
                       "canonical_bytes")
 
@@ -302,7 +323,7 @@ def st05(spark, sf):
     path = scratch(spark, "requests")
     derive_trace(spark, sf).filter("call_code between 18 and 22").write.parquet(path)
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    distinct = F.col("epoch_ns") + F.col("event_id") % 997
+    distinct = F.col("epoch_ns") * 1000 + F.col("event_id") % 997
     posted = posted_requests(rows.withColumn("time", distinct.cast("double"))) \
         .withColumn("handle", F.col("event_id") % 31)
     out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), forget=False),

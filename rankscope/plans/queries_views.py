@@ -50,7 +50,7 @@ active as (select * from shown qualify row_number() over (
 
 
 def active(spark, sf) -> DataFrame:
-    return phases.active_events(derive_trace(spark, sf), MOMENT)
+    return phases.active_events(derive_trace(spark, sf), MOMENT, k=800)
 
 
 @query("p02_active_events", ACTIVE_SQL + f"""
@@ -213,7 +213,7 @@ def posted_requests(events: DataFrame) -> DataFrame:
 
 def request_completions(posted: DataFrame) -> DataFrame:
     return posted.filter("event_id % 7 <> 3 or event_id % 5 <> 1").selectExpr(
-        "run_id", "rank", "handle", "t + 0.5D as t", "pmod(sender + 1, 64) as status_source",
+        "run_id", "rank", "handle", "t + 1e-6D as t", "pmod(sender + 1, 64) as status_source",
         "if(event_id % 4 = 0, -1L, cnt + 1) as status_count", "event_id % 11 = 0 as cancelled")
 
 
@@ -221,14 +221,17 @@ def request_completions(posted: DataFrame) -> DataFrame:
 po as (select rank_recording as rank, event_id % 997 as handle, time + (event_id % 1000) * 1e-12::double as t, call_code, comm, tag,
          sender, receiver, bytes as cnt, call_code = 22 as is_recv, call_code = 22 and event_id % 3 = 0 as wild, event_id
        from ev where call_code between 18 and 22),
-co as (select rank, handle, t + 0.5 as t, (sender + 1) % 64 as src, case when event_id % 4 = 0 then -1 else cnt + 1 end as c,
+co as (select rank, handle, t + 1e-6::double as t, (sender + 1) % 64 as src, case when event_id % 4 = 0 then -1 else cnt + 1 end as c,
          event_id % 11 = 0 as cancelled from po where event_id % 7 <> 3 or event_id % 5 <> 1),
-p as (select *, row_number() over (partition by rank, handle order by t) as k from po),
-q as (select *, row_number() over (partition by rank, handle order by t) as k from co)
+uses as (select rank, handle, t, false as done from po union all select rank, handle, t, true from co),
+turns as (select *, lag(t) over w as before, lag(done) over w as after_done from uses window w as (partition by rank, handle order by t, done)),
+own as (select rank, handle, before as posted_t, t from turns where done and not after_done),
+p as (select po.*, own.t as done_t from po join own on po.rank = own.rank and po.handle = own.handle and po.t = own.posted_t),
+q as (select *, t as done_t from co)
 select p.rank as rank_recording, handle, p.call_code, p.tag, case when is_recv and wild then src else sender end as sender, receiver,
   case when is_recv and c >= 0 then c else p.cnt end as cnt,
   least(4 * case when is_recv and c >= 0 then c else p.cnt end, 2147483647) as bytes
-from p join q using (rank, handle, k) where not cancelled""")
+from p join q using (rank, handle, done_t) where not cancelled""")
 def j11(spark, sf):
     posted = posted_requests(derive_trace(spark, sf))
     return pairing.complete_requests(posted, request_completions(posted)).select(

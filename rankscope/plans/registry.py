@@ -17,7 +17,7 @@ TRACE_SQL = """
 with base as (
   select l_suppkey % 64 as s, l_partkey % 64 as r,
          (l_orderkey * 31 + l_linenumber * 17) % 101 as h,
-         ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as lid,
+         ('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 14))::bigint as lid,
          cast(l_quantity as bigint) as qty,
          date_diff('day', timestamp '1992-01-01', l_shipdate) * 1000000 + (l_orderkey * 8 + l_linenumber) % 1000000 as us
   from lineitem),
@@ -55,9 +55,9 @@ p2p as (
   union all select us * 1000, lid * 8, s, 31, 0, 0, r % 4, s, nb, nb, 2 from msg where code = 31),
 ranks as (select cast(range as bigint) as k from range(64)),
 grp as (
-  select o_orderkey as ok, k, date_diff('day', timestamp '1992-01-01', o_orderdate) * 1000000 as us, (o_orderkey // 64) % 5 as m,
-         o_custkey % 4 as root, 1 + o_orderkey % 97 as c
-  from orders cross join ranks where o_orderkey % 64 = 1),
+  select o_orderkey // 64 as ok, o_orderkey % 64 as k, (o_orderkey // 64) % 2400 * 1000000 as us, (o_orderkey // 64) % 5 as m,
+         (o_orderkey // 64) % 4 as root, 1 + (o_orderkey // 64) % 97 as c
+  from orders),
 coll as (
   select (us + ((ok * 13 + k * 29) % 23) * 200) * 1000 as epoch_ns, ok * 64 + k as event_id,
          k as rank_recording,
@@ -152,10 +152,11 @@ numbered as (
   select *, row_number() over (partition by comm, sender, receiver, tag, side order by {TO}) - 1 as i
   from sides where side is not null),
 pairs as (
-  select a.comm, a.sender, a.receiver, a.tag, a.i, a.time as ts, b.time as tr,
-         a.epoch_ns as es, b.epoch_ns as er, a.cnt as cs, b.cnt as cr, a.bytes as bs, b.bytes as br
-  from numbered a join numbered b using (comm, sender, receiver, tag, i)
-  where a.side = 0 and b.side = 1),
+  select comm, sender, receiver, tag, i, max(time) filter (side = 0) as ts, max(time) filter (side = 1) as tr,
+         max(epoch_ns) filter (side = 0) as es, max(epoch_ns) filter (side = 1) as er,
+         max(cnt) filter (side = 0) as cs, max(cnt) filter (side = 1) as cr,
+         max(bytes) filter (side = 0) as bs, max(bytes) filter (side = 1) as br
+  from numbered group by comm, sender, receiver, tag, i having count(distinct side) = 2),
 bc as (
   select comm, sender as root, receiver as local, time, epoch_ns,
          row_number() over (partition by comm, receiver order by {TO}) - 1 as i

@@ -1,14 +1,12 @@
-"""Session settings and guarded broadcasts."""
+"""Session settings and tables in the shared scratch folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-MAX_BROADCAST_ROWS = 500_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "rankscope") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
@@ -25,26 +23,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ranksc
     return spark
 
 
-def broadcast_within(df: DataFrame, bound: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` when ``bound``, which has at least as many rows, is small.
-
-    ``bound`` is a cheap table such as the list of runs. Larger sides stay without a hint, so
-    that the join is a shuffle join whose skewed partitions adaptive execution splits.
-    """
-    few = bound.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder every executor can reach.
+    """A new folder below the checkpoint folder that every executor can reach.
 
-    The session's ``spark.checkpoint.dir`` is used; only where it is unset, as in tests, a local
-    one takes its place.
+    The session's ``spark.checkpoint.dir`` is used. Only a session whose tasks all run in this process may go
+    without; it gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rankscope-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, so that a lost executor costs no earlier step."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

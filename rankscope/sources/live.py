@@ -13,7 +13,7 @@ FIELDS = "struct<" + ",".join(f"{name}:bigint" for name in (
 
 
 def parse_line_protocol(df: DataFrame, value: str = "value", run_id: str = "live") -> DataFrame:
-    """Events of feed lines; other lines are dropped.
+    """Events of feed lines; other lines are those of ``unparsed_lines``.
 
     A small record gives one event and a large one two. The feed carries no communicator and no
     tag, so both are 0. Rows are in the layout of the ``events`` table plus ``host``. The integer
@@ -38,6 +38,11 @@ def parse_line_protocol(df: DataFrame, value: str = "value", run_id: str = "live
     return _as_events(rows, run_id, kept + ["host"])
 
 
+def unparsed_lines(df: DataFrame, value: str = "value") -> DataFrame:
+    """The rows that ``parse_line_protocol`` gives no event for."""
+    return df.filter(~F.coalesce(F.col(value).rlike(LINE), F.lit(False)))
+
+
 def _as_events(rows: DataFrame, run_id: str, kept: list[str]) -> DataFrame:
     large = F.col("part") > 0
     time = F.col("epoch_ns") / F.lit(1e9)
@@ -53,14 +58,18 @@ def _as_events(rows: DataFrame, run_id: str, kept: list[str]) -> DataFrame:
 SERIES = "struct<metric:map<string,string>,values:array<double>,timestamps:array<bigint>>"
 
 
+def unparsed_series(df: DataFrame, value: str = "value") -> DataFrame:
+    """The rows that are no series; ``parse_series_export`` gives no event for them."""
+    return df.filter(F.from_json(F.col(value), SERIES)["values"].isNull())
+
+
 def parse_series_export(df: DataFrame, value: str = "value") -> DataFrame:
     """Events of exported series: one per sample, labels missing in the series read as 0.
 
     Labels named ``message_type`` are accepted next to ``type``, because the feed writes the
     first and the query layer reads the second.
     """
-    s = F.from_json(F.col(value), SERIES).alias("s")
-    rows = df.select(s).filter("s is not null and s.values is not null") \
+    rows = df.select(F.from_json(F.col(value), SERIES).alias("s")).filter("s.values is not null") \
         .select("s.metric", F.explode(F.arrays_zip("s.values", "s.timestamps")).alias("sample"))
 
     def label(*names: str) -> Column:

@@ -61,9 +61,9 @@ def events_at(spark: SparkSession, path: str, run_id: str, t: float) -> DataFram
     return stored.filter((F.col("run_id") == run_id) & F.col("chunk_id").isin(ids))
 
 
-def frame_at(spark: SparkSession, path: str, run_id: str, t: float, speed: float = 0.0) -> DataFrame:
-    """Active events of a stored run at a moment."""
-    return phases.active_events(events_at(spark, path, run_id, t), t, speed)
+def frame_at(spark: SparkSession, path: str, run_id: str, t: float, speed: float = 0.0, k: int | None = None) -> DataFrame:
+    """Active events of a stored run at a moment, all or the newest ``k``."""
+    return phases.active_events(events_at(spark, path, run_id, t), t, speed, k)
 
 
 def write_sections(sections: dict[str, DataFrame], path: str) -> None:
@@ -78,7 +78,8 @@ def write_document(document: DataFrame, path: str) -> None:
     document.select("analysis").write.mode("overwrite").text(path)
 
 
-MAX_LINE = 1023
+# Fixed value: bytes of a line, its break included, that the feed's own sender has room for.
+FEED_LINE_BYTES = 1023
 
 
 def _line_head() -> Column:
@@ -92,22 +93,28 @@ def _line(fields: list[tuple[str, str]], is_large: int) -> Column:
     return F.concat(_line_head(), *body, F.lit(f"is_large={is_large}i "), F.col("epoch_ns"))
 
 
-def _fitting(lines: DataFrame) -> DataFrame:
-    """The feed drops a line that does not fit its buffer, line break included."""
-    return lines.filter(F.octet_length("value") + 1 <= MAX_LINE)
+def fits(max_bytes: int) -> Column:
+    """True for lines that a sender with so large a buffer keeps, the line break included."""
+    return F.octet_length("value") + 1 <= max_bytes
 
 
-def to_line_protocol_small(events: DataFrame) -> DataFrame:
+def rejected_lines(lines: DataFrame, max_bytes: int = FEED_LINE_BYTES) -> DataFrame:
+    """The lines that such a sender drops."""
+    return lines.filter(~fits(max_bytes))
+
+
+def to_line_protocol_small(events: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Feed lines of small records; row by row, so streams can be written with it."""
     fields = [("sender", "sender"), ("receiver", "receiver"), ("bytes", "bytes"), ("count", "cnt"),
               ("id", "event_id")]
-    return _fitting(events.filter("part = 0").select("run_id", _line(fields, 0).alias("value")))
+    lines = events.filter("part = 0").select("run_id", _line(fields, 0).alias("value"))
+    return lines if max_bytes is None else lines.filter(fits(max_bytes))
 
 
-def to_line_protocol(events: DataFrame) -> DataFrame:
+def to_line_protocol(events: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Live-feed lines of events, one per record; needs a ``host`` column.
 
-    The two parts of a large record share a line.
+    The two parts of a large record share a line. All lines are kept unless ``max_bytes`` says what fits.
     """
     key = ["run_id", "rank_recording", "host", "call_code", "event_id", "section_pos", "rec_pos"]
     parts = [(c, n, p) for p in (1, 2) for c, n in (("sender", "sender"), ("receiver", "receiver"),
@@ -116,5 +123,7 @@ def to_line_protocol(events: DataFrame) -> DataFrame:
         F.max("epoch_ns").alias("epoch_ns"),
         *[F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}{p}") for c, _, p in parts])
     fields = [(f"{n}{p}", f"{c}{p}") for c, n, p in parts] + [("id", "event_id")]
-    large = _fitting(two.select("run_id", _line(fields, 1).alias("value")))
-    return to_line_protocol_small(events).unionByName(large)
+    large = two.select("run_id", _line(fields, 1).alias("value"))
+    if max_bytes is not None:
+        large = large.filter(fits(max_bytes))
+    return to_line_protocol_small(events, max_bytes).unionByName(large)

@@ -24,6 +24,7 @@ RANGE_RECORDS = 1 << 20
 SCAN_BYTES = 1 << 28
 TASK_BYTES = 1 << 27
 BATCH_RECORDS = 1 << 16
+# Tasks of a pass over file headers and tables; a task takes several files where there are more.
 MAX_INDEX_TASKS = 4096
 
 SECTIONS = T.StructType([
@@ -35,7 +36,7 @@ SECTIONS = T.StructType([
     T.StructField("small_offset", T.LongType()), T.StructField("n_small", T.LongType()),
     T.StructField("large_offset", T.LongType()), T.StructField("n_large", T.LongType()),
 ])
-TABLES = {"runs": S.RUNS, "processes": S.PROCESSES, "anchors": S.ANCHOR_ROWS, "sections": SECTIONS}
+TABLES = {"small": S.SMALL, "large": S.LARGE, "runs": S.RUNS, "processes": S.PROCESSES, "anchors": S.ANCHOR_ROWS, "sections": SECTIONS}
 
 
 class Files(InputPartition):
@@ -71,7 +72,14 @@ class TraceReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         for run_id, path, _ in partition.files:
             with L.open_trace(path) as (f, packed):
-                header = L.read_header(f)
+                try:
+                    header = L.read_header(f)
+                except L.TraceError as e:
+                    if self.failfast:
+                        raise
+                    if self.table == "sections":
+                        yield (run_id, path, packed, 0, f"header: {e}", *[None] * 8)
+                    continue
                 yield from getattr(self, "_" + self.table)(run_id, path, f, packed, header)
 
     def _runs(self, run_id, path, f, packed, header):
@@ -106,6 +114,20 @@ class TraceReader(DataSourceReader):
             yield (*lead, None, None, None, *[s[c] for c in SECTIONS.names[7:]])
 
 
+    def _small(self, run_id, path, f, packed, header):
+        yield from self._records("small", run_id, f, header)
+
+    def _large(self, run_id, path, f, packed, header):
+        yield from self._records("large", run_id, f, header)
+
+    def _records(self, kind, run_id, f, header):
+        """Records of an intact file, one task per file; ``read_small`` and ``read_large`` cut files and recover damaged ones."""
+        for s in list(L.walk_sections(f, header)):
+            r = {"run_id": run_id, "rank": s["rank"], "section_pos": s["section_pos"], "first": 0,
+                 "offset": s[f"{kind}_offset"], "n": s[f"n_{kind}"]}
+            yield from _decode_range(f, r, kind)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TraceSource)
 
@@ -115,20 +137,21 @@ def _load(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE")
     return spark.read.format("trace").option("table", table).option("mode", mode).load(path)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _load(spark, path, "runs")
+def read_runs(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """Metadata of every file. A damaged header is an error; ``PERMISSIVE`` leaves the file to ``salvage_report``."""
+    return _load(spark, path, "runs", mode)
 
 
-def read_processes(spark: SparkSession, path: str) -> DataFrame:
-    return _load(spark, path, "processes")
+def read_processes(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    return _load(spark, path, "processes", mode)
 
 
-def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+def read_anchors(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """One anchor per slot: the rank it names, or its place in the file when that is no rank."""
     rank = F.col("rank")
     slot = F.when((rank >= 0) & (rank < F.col("total_ranks")), rank).otherwise(F.col("pos"))
     last = F.max_by(F.struct("mpi_time_zero", "unix_time_zero_ns"), "pos")
-    return (_load(spark, path, "anchors").groupBy("run_id", slot.alias("rank")).agg(last.alias("a"))
+    return (_load(spark, path, "anchors", mode).groupBy("run_id", slot.alias("rank")).agg(last.alias("a"))
             .select("run_id", "rank", "a.mpi_time_zero", "a.unix_time_zero_ns"))
 
 
@@ -175,16 +198,24 @@ def _tasks(spark: SparkSession, path: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
 
-def read_sections(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_sections(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_unreadable: str = "raise") -> DataFrame:
     """Index of the rank sections of every file; damaged files give what can be recovered.
 
-    ``FAILFAST`` raises on the first damaged file instead.
+    A file of which nothing can be recovered is an error; with ``on_unreadable="report"`` it gives no rows and stands in
+    ``salvage_report``, as partly recovered files do. ``FAILFAST`` raises on the first damaged file instead.
     """
     index = _load(spark, path, "sections", mode)
     intact = index.filter("problem is null").select(*INDEX_COLUMNS)
     if mode.upper() == "FAILFAST":
         return intact
-    return intact.unionByName(_salvaged(index, _tasks(spark, path)).select(*INDEX_COLUMNS))
+    found = _salvaged(index, _tasks(spark, path)).select(*INDEX_COLUMNS)
+    out = intact.unionByName(found)
+    if on_unreadable == "report":
+        return out
+    message = F.concat(F.lit("nothing can be recovered from "), "path", F.lit(": "), "problem")
+    lost = (index.filter("problem is not null").join(found.select("path").distinct(), "path", "left_anti")
+            .filter(F.raise_error(message).isNotNull()).select(*INDEX_COLUMNS))
+    return out.unionByName(lost)
 
 
 def salvage_report(spark: SparkSession, path: str) -> DataFrame:
@@ -251,9 +282,6 @@ def _large_batch(a: np.ndarray, lead: list) -> pa.RecordBatch:
 
 
 def _decoder(kind: str):
-    dtype = L.RECORDS[kind]
-    build = _small_batch if kind == "small" else _large_batch
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -262,37 +290,38 @@ def _decoder(kind: str):
                     same = [x for x in rows[i:] if x["path"] == r["path"]]
                     with L.open_trace(r["path"]) as (f, _):
                         for x in same:
-                            yield from _decode_range(f, x)
-
-    def _decode_range(f, r: dict) -> Iterator[pa.RecordBatch]:
-        done = 0
-        for a in L.read_table(f, r["offset"], r["n"], dtype, f"{kind} records", BATCH_RECORDS):
-            k = len(a)
-            lead = [pa.array([r["run_id"]] * k, type=pa.string()),
-                    pa.array(np.full(k, r["rank"], dtype=np.int32)),
-                    pa.array(np.full(k, r["section_pos"], dtype=np.int32)),
-                    pa.array(np.arange(r["first"] + done, r["first"] + done + k, dtype=np.int64))]
-            done += k
-            yield build(a, lead)
+                            yield from _decode_range(f, x, kind)
 
     return decode
 
 
-def _read_records(spark: SparkSession, path: str, kind: str, mode: str) -> DataFrame:
+def _decode_range(f, r: dict, kind: str) -> Iterator[pa.RecordBatch]:
+    done, build = 0, _small_batch if kind == "small" else _large_batch
+    for a in L.read_table(f, r["offset"], r["n"], L.RECORDS[kind], f"{kind} records", BATCH_RECORDS):
+        k = len(a)
+        lead = [pa.array([r["run_id"]] * k, type=pa.string()),
+                pa.array(np.full(k, r["rank"], dtype=np.int32)),
+                pa.array(np.full(k, r["section_pos"], dtype=np.int32)),
+                pa.array(np.arange(r["first"] + done, r["first"] + done + k, dtype=np.int64))]
+        done += k
+        yield build(a, lead)
+
+
+def _read_records(spark: SparkSession, path: str, kind: str, mode: str, on_unreadable: str) -> DataFrame:
     schema = S.SMALL if kind == "small" else S.LARGE
-    ranges = _ranges(read_sections(spark, path, mode), kind, _tasks(spark, path))
+    ranges = _ranges(read_sections(spark, path, mode, on_unreadable), kind, _tasks(spark, path))
     return ranges.mapInArrow(_decoder(kind), schema)
 
 
-def read_small(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    return _read_records(spark, path, "small", mode)
+def read_small(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_unreadable: str = "raise") -> DataFrame:
+    return _read_records(spark, path, "small", mode, on_unreadable)
 
 
-def read_large(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    return _read_records(spark, path, "large", mode)
+def read_large(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_unreadable: str = "raise") -> DataFrame:
+    return _read_records(spark, path, "large", mode, on_unreadable)
 
 
-def read_trace(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_trace(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_unreadable: str = "raise") -> DataFrame:
     """The aligned event timeline of all trace files at a path."""
-    events = timeline.build_timeline(read_small(spark, path, mode), read_large(spark, path, mode))
-    return timeline.register_time(events, read_anchors(spark, path))
+    events = timeline.build_timeline(read_small(spark, path, mode, on_unreadable), read_large(spark, path, mode, on_unreadable))
+    return timeline.register_time(events, read_anchors(spark, path, "FAILFAST" if on_unreadable == "raise" else "PERMISSIVE"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rankscope.operators.pairing import actual_transfer
+from rankscope.operators.pairing import actual_transfer, with_world_source
 
 ABANDONED_MS = 24 * 3600 * 1000
 
@@ -21,41 +22,52 @@ MATCHED = (f"run_id string, rank int, handle long, posted_time double, local_tim
 MATCHED_FIELDS = [f.split()[0] for f in MATCHED.split(", ")]
 
 
+USES = PENDING.replace("posted_time", "t") + ", done boolean, status_source int, status_count long, cancelled boolean"
+USE_FIELDS = [f.split()[0] for f in USES.split(", ")]
+
+
 def _matcher(forget: bool):
-    """State function that remembers the posted request of a handle until its completion."""
+    """State function that remembers the last use of a handle that found no partner yet.
+
+    Uses are put in time order; a completion right after a post completes it. The last use of a trigger is carried over:
+    a post that waits, or a completion whose post has not arrived.
+    """
 
     def match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A key is one handle of one rank; a trigger brings its few uses since the last one.
         if state.hasTimedOut:
             state.remove()
             return
-        batch = pd.concat(list(batches)).sort_values(["t", "done"], kind="stable")
-        request = state.get if state.exists else None
-        out = []
-        for r in batch.to_dict("records"):
-            if not r["done"]:
-                request = (r["t"], *[r[c] for c in REQUEST_FIELDS])
-            elif request is not None:
-                out.append((*key, request[0], r["t"], *request[1:],
-                            r["status_source"], r["status_count"], r["cancelled"]))
-                request = None
-        if request is not None:
-            state.update(tuple(x.item() if hasattr(x, "item") else x for x in request))
+        carry = state.get if state.exists else None
+        for batch in batches:
+            uses = {c: batch[c].to_numpy() for c in USE_FIELDS}
+            if carry is not None:
+                uses = {c: np.append(np.array([x], object), uses[c]) for c, x in zip(USE_FIELDS, carry)}
+            done = uses["done"].astype(bool)
+            order = np.lexsort((done, uses["t"].astype(float)))
+            end = np.flatnonzero(done[order][1:] & ~done[order][:-1]) + 1  # places of completions right after a post
+            last = order[-1]
+            carry = None if len(end) and end[-1] == len(order) - 1 else tuple(uses[c][last] for c in USE_FIELDS)
+            if len(end):
+                post, end = order[end - 1], order[end]
+                yield pd.DataFrame(dict(zip(MATCHED_FIELDS, (
+                    *[[k] * len(end) for k in key], uses["t"][post], uses["t"][end], *[uses[c][post] for c in REQUEST_FIELDS],
+                    *[uses[c][end] for c in ("status_source", "status_count", "cancelled")]))))
+        if carry is not None:
+            state.update(tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in carry))
             if forget:
                 state.setTimeoutDuration(ABANDONED_MS)
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=MATCHED_FIELDS)
 
     return match
 
 
-def complete_requests_stream(posted: DataFrame, completions: DataFrame, forget: bool = True) -> DataFrame:
+def complete_requests_stream(posted: DataFrame, completions: DataFrame, forget: bool = True,
+                             comm_members: DataFrame | None = None) -> DataFrame:
     """Transfer events of nonblocking requests from a stream of posts and one of completions.
 
-    Posts arrive in the same trigger as their completion or in an earlier one. Cancelled requests
-    give no event; a request without completion is forgotten after a day. ``forget`` must be off
+    The rows are those of ``pairing.complete_requests``. A completion may arrive a trigger before its post.
+    Cancelled requests give no event; a use without partner is forgotten after a day. ``forget`` must be off
     for runs that stop when the input is used up: waiting for timeouts keeps a query alive.
     """
     ids = ["run_id", "rank", "handle", "t"]
@@ -66,9 +78,12 @@ def complete_requests_stream(posted: DataFrame, completions: DataFrame, forget:
     c = completions.select(*ids, *[F.lit(None).cast(types[x]).alias(x) for x in REQUEST_FIELDS],
                            F.lit(True).alias("done"), *[F.col(x).cast(t).alias(x) for x, t in status.items()])
     matched = p.unionByName(c).groupBy("run_id", "rank", "handle").applyInPandasWithState(
-        _matcher(forget), MATCHED, PENDING, "append",
+        _matcher(forget), MATCHED, USES, "append",
         GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
-    return matched.filter(~F.coalesce("cancelled", F.lit(False))).select(
+    matched = matched.filter(~F.coalesce("cancelled", F.lit(False)))
+    if comm_members is not None:
+        matched = with_world_source(matched, comm_members)
+    return matched.select(
         "run_id", F.col("rank").alias("rank_recording"), "handle", "posted_time", "local_time",
         "call_code", "comm", "tag", *actual_transfer(F.col("status_source")))
 
@@ -78,15 +93,17 @@ DELTAS = "producer long, poll_ts timestamp, delta long, dropped_total long"
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Remember the last reported total of a producer."""
-    batch = pd.concat(list(batches)).sort_values(["poll_ts", "dropped_total"], kind="stable")
-    total = batch["dropped_total"].astype("int64")
     before = state.get[0] if state.exists else 0
-    delta = total - total.shift(fill_value=before)
-    state.update((int(total.iloc[-1]),))
-    changed = delta != 0
-    if changed.any():
-        yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
-                            "delta": delta[changed], "dropped_total": total[changed]})
+    for batch in batches:
+        batch = batch.sort_values(["poll_ts", "dropped_total"], kind="stable")
+        total = batch["dropped_total"].astype("int64")
+        delta = total - total.shift(fill_value=before)
+        before = int(total.iloc[-1])
+        changed = delta != 0
+        if changed.any():
+            yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
+                                "delta": delta[changed], "dropped_total": total[changed]})
+    state.update((before,))
 
 
 def drop_deltas_stream(counters: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def test_time_lookup_reads_two_chunks(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in plan and "chunk_id" in plan
     assert {r.chunk_id for r in found.select("chunk_id").distinct().collect()} == {2, 3}
     assert store.read_events(spark, str(tmp_path)).count() == 1000
-    frame = store.frame_at(spark, str(tmp_path), "r", 35.0).collect()
+    frame = store.frame_at(spark, str(tmp_path), "r", 35.0, k=800).collect()
     assert [r.event_id for r in frame] == [350]
     late = store.events_at(spark, str(tmp_path), "r", 1e6)
     assert {r.chunk_id for r in late.select("chunk_id").distinct().collect()} == {8, 9}
@@ -85,7 +85,9 @@ def test_feed_lines_round_trip(spark):
         ("n1", "MPI_SENDRECV", 2, 1, 0, 0, True, 1700000000000000500)]
     assert rows(store.to_line_protocol(ev), "value") == sorted((x,) for x in FEED.split("\n")[:2])
     long_host = ev.withColumn("host", F.repeat(F.lit("h"), 1000))
-    assert store.to_line_protocol(long_host).count() == 0
+    assert store.to_line_protocol(long_host, store.FEED_LINE_BYTES).count() == 0
+    assert store.rejected_lines(store.to_line_protocol(long_host)).count() == store.to_line_protocol(long_host).count() > 0
+    assert live.unparsed_lines(spark.createDataFrame([("x",), (None,), (FEED.split("\n")[0],)], "value string")).count() == 2
 
 
 def test_series_export(spark):
@@ -115,7 +117,7 @@ def feed_dir(spark, tmp_path, offsets):
 def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     path = feed_dir(spark, tmp_path, [[10.0], [10.1], [7.1, 6.9]])
     stream = feed.read_feed(spark, path, max_files=1)
-    out = feed.run_once(feed.tumbling_summary(stream, "100 milliseconds"))
+    out = feed.run_once(feed.tumbling_summary(stream, "100 milliseconds"), keys=feed.SUMMARY_KEYS)
     got = {r.ms for r in out.select((F.unix_millis("poll.start") - 1_700_000_000_000).alias("ms")).collect()}
     assert got == {10000, 10100, 7100}
 
@@ -124,12 +126,18 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     # Small records only: at this scale the given tables repeat the key of one large record.
     ev = derive_trace(spark, sf_dir).filter("part = 0").withColumn("host", F.lit("h"))
     store.to_line_protocol(ev).select("value").write.text(str(tmp_path / "lines"))
-    out = feed.run_once(feed.tumbling_summary(feed.read_feed(spark, str(tmp_path / "lines"))))
+    out = feed.run_once(feed.tumbling_summary(feed.read_feed(spark, str(tmp_path / "lines"), max_files=3), lateness="3650 days"), keys=feed.SUMMARY_KEYS)
     got = out.groupBy("call").agg(F.sum("canonical_bytes").alias("b"), F.sum("events").alias("n"))
     assert rows(got, "call", "n") == rows(ev.groupBy("call").agg(F.count("*").alias("n")), "call", "n")
     assert got.agg(F.sum("b")).first()[0] == trace_totals(ev).first().canonical_bytes
 
 
+def test_a_window_over_several_triggers_gives_one_row(spark, tmp_path):
+    path = feed_dir(spark, tmp_path, [[10.0], [10.1], [10.2, 10.3]])
+    out = feed.run_once(feed.tumbling_summary(feed.read_feed(spark, path, max_files=1), "1 second"), keys=feed.SUMMARY_KEYS)
+    assert rows(out, "call", "events") == [("MPI_SEND", 4)]
+
+
 def test_request_state_spans_triggers(spark, tmp_path):
     import os
     ddl = ("run_id string, rank int, handle long, t double, call_code int, comm int, tag int, sender int, receiver int, "
@@ -140,7 +148,10 @@ def test_request_state_spans_triggers(spark, tmp_path):
     lost = ("r", 1, 8, 2.0, None, None, None, None, None, None, None, None, None, True, 3, 6, False)
     where = tmp_path / "rows"
     where.mkdir()
-    for i, batch in enumerate(([post], [done, lost])):
+    # The completion of handle 9 comes a trigger before its post, and handle 7 has an abandoned post first.
+    abandoned, early = ("r", 1, 7, 0.5, *post[4:]), ("r", 1, 9, 2.0, *done[4:])
+    behind = ("r", 1, 9, 1.5, *post[4:])
+    for i, batch in enumerate(([abandoned, post, early], [done, lost, behind])):
         spark.createDataFrame(batch, ddl).coalesce(1).write.json(str(tmp_path / f"b{i}"))
         part = next(p for p in (tmp_path / f"b{i}").iterdir() if p.name.startswith("part"))
         target = where / f"{i}.json"
@@ -148,4 +159,4 @@ def test_request_state_spans_triggers(spark, tmp_path):
         os.utime(target, (1_000_000 + i, 1_000_000 + i))
     src = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(where))
     out = feed.run_once(stateful.complete_requests_stream(src.filter("not done"), src.filter("done"), forget=False), "append")
-    assert rows(out, "local_time", "sender", "receiver", "cnt", "bytes") == [(2.0, 3, 1, 6, 24)]
+    assert rows(out, "handle", "posted_time", "local_time", "sender", "receiver", "cnt", "bytes") == [(7, 1.0, 2.0, 3, 1, 6, 24), (9, 1.5, 2.0, 3, 1, 6, 24)]

@@ -98,8 +98,13 @@ def test_salvage(spark, tmp_path, kind):
     path = write(tmp_path / "d.trace", header(2), body)
     report = TF.salvage_report(spark, path).first()
     assert (report.sections_recovered, report.sections_expected, report.status) == (recovered, 2, status)
-    assert TF.read_sections(spark, path).count() == recovered
-    assert TF.read_small(spark, path).count() == 3 * recovered
+    assert TF.read_sections(spark, path, on_unreadable="report").count() == recovered
+    assert TF.read_small(spark, path, on_unreadable="report").count() == 3 * recovered
+    if recovered:
+        assert TF.read_small(spark, path).count() == 3 * recovered
+    else:
+        with pytest.raises(Exception, match="nothing can be recovered"):
+            TF.read_small(spark, path).count()
     with pytest.raises(Exception):
         TF.read_small(spark, path, "FAILFAST").count()
 
@@ -138,3 +143,23 @@ def test_bad_header_is_an_error(spark, tmp_path, head):
     path = write(tmp_path / "h.trace", head, b"\0" * 2000)
     with pytest.raises(Exception):
         TF.read_runs(spark, path).collect()
+
+
+def test_a_bad_header_does_not_hide_other_files(spark, tmp_path):
+    write(tmp_path / "bad.trace", b"MPICv002\x03\0\0\0\0\0\0\0", b"\0" * 2000)
+    write(tmp_path / "good.trace", header(2), *two_ranks())
+    path = str(tmp_path)
+    assert rows(TF.salvage_report(spark, path), "run_id", "status") == [("bad.trace", "unreadable")]
+    assert TF.read_runs(spark, path, "PERMISSIVE").count() == 1
+    assert TF.read_small(spark, path, on_unreadable="report").count() == 6
+    with pytest.raises(Exception, match="nothing can be recovered"):
+        TF.read_small(spark, path).count()
+
+
+@pytest.mark.parametrize("kind", ["small", "large"])
+def test_records_through_the_data_source(spark, tmp_path, kind):
+    path = write(tmp_path / "g.trace", header(2), *two_ranks())
+    TF.register(spark)
+    direct = spark.read.format("trace").option("table", kind).load(path)
+    by_ranges = TF.read_small(spark, path) if kind == "small" else TF.read_large(spark, path)
+    assert direct.schema == by_ranges.schema and sorted(map(str, direct.collect())) == sorted(map(str, by_ranges.collect()))
