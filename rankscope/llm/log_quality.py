@@ -13,7 +13,8 @@ from rankscope.llm.stage import carried, written
 
 FIRST, LAST = 0x20, 0x7F            # bytes whose shares are features of their own
 N_FEATURES = (LAST - FIRST) + 9     # with the share of other bytes, the word statistics and a constant
-STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+STEPS, RATE = 400, 0.05
+RIDGE, FEW_POSITIVES = 1e-3, 20.0    # weight of the penalty: at least RIDGE, and FEW_POSITIVES over their number
 BINS = 400                          # of the raw score, from -0.5 to 1.5, for the choice of the cut
 CUT_SCORE, STEEPNESS = 0.3, 10.0    # the score at the cut, and how fast it changes there
 LEAST_PRIOR, MOST_PRIOR = 0.05, 0.95
@@ -87,7 +88,7 @@ def moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
     return {part: (x[-1], x.reshape(N_FEATURES, N_FEATURES) / x[-1]) for part, x in out.items()}  # the last cell counts rows
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, penalty: float) -> np.ndarray:
     """Weights of the linear score in -1 to 1 with the least non-negative risk.
 
     With squared loss every risk is a quadratic form of the mean outer products (the last feature is 1): ``prior`` times the
@@ -101,7 +102,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
     shift = np.diag(inverse)
     shift[:-1, -1] = -mean[:-1] * inverse[:-1]
     p, u = shift @ positive @ shift.T, shift @ unlabelled @ shift.T
-    ridge = RIDGE * np.diag([1.0] * (len(p) - 1) + [0.0])
+    ridge = penalty * np.diag([1.0] * (len(p) - 1) + [0.0])
 
     def loss(m: np.ndarray, w: np.ndarray, target: float) -> tuple[float, np.ndarray]:
         return (w @ m @ w - 2 * target * (m[-1] @ w) + 1) / 4, (m @ w - target * m[-1]) / 2
@@ -155,7 +156,7 @@ def score_logs(logs: DataFrame, verdicts: DataFrame) -> DataFrame:
     weights, prior = np.zeros(N_FEATURES), min(max(share or 0.5, LEAST_PRIOR), MOST_PRIOR)
     trained = "positive" in sums and "unlabelled" in sums
     if trained:
-        weights = fit(sums["positive"][1], sums["unlabelled"][1], prior)
+        weights = fit(sums["positive"][1], sums["unlabelled"][1], prior, max(RIDGE, FEW_POSITIVES / sums["positive"][0]))
 
     def raw(rows: DataFrame, names: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
