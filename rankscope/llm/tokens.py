@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from rankscope.llm import words as W
 
-CACHED = 1_000_000  # words whose ids a worker remembers
-JOINED = 2_000      # words encoded in one call
+CACHED = 300_000  # words whose ids a worker remembers
+JOINED = 2_000    # words encoded in one call
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
