@@ -212,9 +212,11 @@ def read_sections(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_u
     out = intact.unionByName(found)
     if on_unreadable == "report":
         return out
-    message = F.concat(F.lit("nothing can be recovered from "), "path", F.lit(": "), "problem")
-    lost = (index.filter("problem is not null").join(found.select("path").distinct(), "path", "left_anti")
-            .filter(F.raise_error(message).isNotNull()).select(*INDEX_COLUMNS))
+    # The error depends on the join, so no filter can be evaluated ahead of it; whichever column a query looks at first raises it.
+    met = found.groupBy(F.col("path").alias("met_path")).agg(F.count(F.lit(1)).alias("met"))
+    fail = F.when(F.col("met").isNull(), F.raise_error(F.concat(F.lit("nothing can be recovered from "), "path", F.lit(": "), "problem")))
+    lost = index.filter("problem is not null").join(met, F.col("path") == F.col("met_path"), "left").filter("met is null") \
+                .select(*[fail.cast(found.schema[c].dataType).alias(c) for c in INDEX_COLUMNS]).filter("path is not null")
     return out.unionByName(lost)
 
 

@@ -169,6 +169,8 @@ def test_pieces_stay_even_with_a_bad_anchor_a_burst_and_equal_times(spark):
         "bad anchor": good.withColumn("epoch_ns", F.when(F.col("event_id") == 7, -1_700_000_000_000_000_000).otherwise(F.col("epoch_ns"))),
         "burst": good.withColumn("epoch_ns", F.when(F.col("event_id") > 4000, F.lit(5_000_000)).otherwise(F.col("epoch_ns"))),
         "equal times": good.withColumn("epoch_ns", F.lit(1).cast("long"))}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # pieces this small would be put together
+    spark.conf.set(coalesce, "false")
     for name, case in cases.items():
         ev = case.selectExpr("'r' as run_id", "0 as rank_recording", "0 as section_pos", "0 as rec_kind", "event_id as rec_pos", "0 as part",
                              "event_id", "epoch_ns", "epoch_ns / 1e9 as time")
@@ -176,6 +178,7 @@ def test_pieces_stay_even_with_a_bad_anchor_a_burst_and_equal_times(spark):
         assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes), (name, sizes)
         numbered = ordinal.number_rows(ev, ["run_id"])
         assert numbered.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first()[:] == (40_000, 0, 39_999)
+    spark.conf.unset(coalesce)
 
 
 def test_chunks_do_not_depend_on_slices(spark):
