@@ -37,21 +37,20 @@ def _matcher(forget: bool):
         if state.hasTimedOut:
             state.remove()
             return
-        carry = state.get if state.exists else None
-        for batch in batches:
-            uses = {c: batch[c].to_numpy() for c in USE_FIELDS}
-            if carry is not None:
-                uses = {c: np.append(np.array([x], object), uses[c]) for c, x in zip(USE_FIELDS, carry)}
-            done = uses["done"].astype(bool)
-            order = np.lexsort((done, uses["t"].astype(float)))
-            end = np.flatnonzero(done[order][1:] & ~done[order][:-1]) + 1  # places of completions right after a post
-            last = order[-1]
-            carry = None if len(end) and end[-1] == len(order) - 1 else tuple(uses[c][last] for c in USE_FIELDS)
-            if len(end):
-                post, end = order[end - 1], order[end]
-                yield pd.DataFrame(dict(zip(MATCHED_FIELDS, (
-                    *[[k] * len(end) for k in key], uses["t"][post], uses["t"][end], *[uses[c][post] for c in REQUEST_FIELDS],
-                    *[uses[c][end] for c in ("status_source", "status_count", "cancelled")]))))
+        # Chunks of a trigger come in no order, so all uses of the handle in it are put in order; ``maxFilesPerTrigger`` bounds them.
+        batch = pd.concat(list(batches))
+        uses = {c: batch[c].to_numpy() for c in USE_FIELDS}
+        if state.exists:
+            uses = {c: np.append(np.array([x], object), uses[c]) for c, x in zip(USE_FIELDS, state.get)}
+        done = uses["done"].astype(bool)
+        order = np.lexsort((done, uses["t"].astype(float)))
+        end = np.flatnonzero(done[order][1:] & ~done[order][:-1]) + 1  # places of completions right after a post
+        carry = None if len(end) and end[-1] == len(order) - 1 else tuple(uses[c][order[-1]] for c in USE_FIELDS)
+        if len(end):
+            post, end = order[end - 1], order[end]
+            yield pd.DataFrame(dict(zip(MATCHED_FIELDS, (
+                *[[k] * len(end) for k in key], uses["t"][post], uses["t"][end], *[uses[c][post] for c in REQUEST_FIELDS],
+                *[uses[c][end] for c in ("status_source", "status_count", "cancelled")]))))
         if carry is not None:
             state.update(tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in carry))
             if forget:
@@ -93,17 +92,15 @@ DELTAS = "producer long, poll_ts timestamp, delta long, dropped_total long"
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Remember the last reported total of a producer."""
-    before = state.get[0] if state.exists else 0
-    for batch in batches:
-        batch = batch.sort_values(["poll_ts", "dropped_total"], kind="stable")
-        total = batch["dropped_total"].astype("int64")
-        delta = total - total.shift(fill_value=before)
-        before = int(total.iloc[-1])
-        changed = delta != 0
-        if changed.any():
-            yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
-                                "delta": delta[changed], "dropped_total": total[changed]})
-    state.update((before,))
+    # Chunks of a trigger come in no order; ``maxFilesPerTrigger`` bounds the polls of a producer in one.
+    batch = pd.concat(list(batches)).sort_values(["poll_ts", "dropped_total"], kind="stable")
+    total = batch["dropped_total"].astype("int64")
+    delta = total - total.shift(fill_value=state.get[0] if state.exists else 0)
+    state.update((int(total.iloc[-1]),))
+    changed = delta != 0
+    if changed.any():
+        yield pd.DataFrame({"producer": key[0], "poll_ts": batch["poll_ts"][changed],
+                            "delta": delta[changed], "dropped_total": total[changed]})
 
 
 def drop_deltas_stream(counters: DataFrame) -> DataFrame:
