@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankscope import functions as fx
+from rankscope.operators.sentences import said
 
 c = F.col
 
@@ -31,47 +32,36 @@ class Rule:
                          {"ignoreNullFields": "false"})
 
 
-def number(name: str) -> Column:
-    return c(name).cast("string")
-
-
 def pattern_rules() -> list[Rule]:
     many, density = c("total_ranks") >= 8, c("pair_density")
     shape = {"pair_density": density, "pairs_observed": c("pairs_observed")}
     moving, sized = c("canonical_events") > 0, c("canonical_bytes") > 0
     return [
         Rule("dense-communication", ("links",), many & (density >= 0.5),
-             ("Communication graph is dense (pair density ", fx.fixed("pair_density", 3),
-              "), suggesting all-to-all or highly connected traffic."), shape),
+             said("dense-communication", "pair_density"), shape),
         Rule("sparse-communication", ("links",), many & (density > 0.0) & (density <= 0.1),
-             ("Communication graph is sparse (pair density ", fx.fixed("pair_density", 3),
-              "), suggesting nearest-neighbour or structured exchange."), shape),
+             said("sparse-communication", "pair_density"), shape),
         Rule("small-message-dominated", ("totals",), (c("small1k_ratio") >= 0.5) & moving,
-             ("A large fraction of canonical transfers are under 1KB (",
-              fx.percent("small1k_ratio"), ")."),
+             said("small-message-dominated", "small1k_ratio"),
              {"small_lt_1kb_ratio": c("small1k_ratio"), "small_lt_1kb_events": c("small1k_events")}),
         Rule("root-concentrated-collectives", ("roots",),
              (c("roots") > 0) & (c("top_root_share") >= 0.5),
-             ("One rank dominates rooted collective traffic (", fx.percent("top_root_share"),
-              " of rooted collective bytes)."),
+             said("root-concentrated-collectives", "top_root_share"),
              {"top_root": c("top_root"), "top_root_share": c("top_root_share")}),
         Rule("dominant-link", ("totals", "links"), (c("top_link_share") >= 0.2) & sized,
-             ("A single communication link carries ", fx.percent("top_link_share"),
-              " of canonical traffic bytes."),
+             said("dominant-link", "top_link_share"),
              {"top_link_share": c("top_link_share"), "top_link": c("top_link")},
              tables=("top_link",)),
         Rule("rank-communication-imbalance", ("touch",),
              (c("touch_cv") >= 1.0) & (c("total_ranks") > 1),
-             ("Communication volume per rank is imbalanced (CV ", fx.fixed("touch_cv", 3), ")."),
+             said("rank-communication-imbalance", "touch_cv"),
              {"touch_bytes_cv": c("touch_cv")}),
         Rule("completion-heavy", ("totals",), c("completion_ratio") >= 0.5,
-             ("Completion calls are frequent relative to canonical transfers (ratio ",
-              fx.fixed("completion_ratio", 3), ")."),
+             said("completion-heavy", "completion_ratio"),
              {"completion_to_transfer_ratio": c("completion_ratio")}),
         Rule("barrier-heavy", ("totals",),
              (c("barrier_events") > 0) & (c("barrier_fraction") >= 0.05),
-             ("Barrier usage is prominent in the trace (", number("barrier_events"),
-              " barrier events)."),
+             said("barrier-heavy", "barrier_events"),
              {"barrier_events": c("barrier_events"), "barrier_fraction": c("barrier_fraction")}),
     ]
 
@@ -80,67 +70,52 @@ def issue_rules() -> list[Rule]:
     def capped(value: Column) -> Column:
         return F.least(value, F.lit(1.0))
 
-    def late(kind, group, ratio, count, time, head, tail, fraction, lost):
+    def late(kind, group, ratio, count, time, fraction, lost):
         """The four timing rules share threshold, score and layout."""
         denominator = "canonical_events" if group == "p2p" else "collective_events"
-        return Rule(kind, ("totals", group), (c(denominator) > 0) & (c(ratio) > 0.05),
-                    ("Detected ", number(count), head, fx.fixed(time, 3), tail),
+        return Rule(kind, ("totals", group), (c(denominator) > 0) & (c(ratio) > 0.05), said(kind, count, time),
                     {count: c(count), fraction: c(ratio), lost: c(time)},
                     capped(c(ratio) * 4.0))
 
     moving, sized = c("canonical_events") > 0, c("canonical_bytes") > 0
     return [
         late("late_sender", "p2p", "late_sender_ratio", "late_sender_count", "late_sender_time",
-             " instances of Late Sender. Receivers are posting before sends arrive (total wasted time ",
-             "s).", "fraction_of_traffic", "wasted_time_sec"),
-        late("late_receiver", "p2p", "late_receiver_ratio", "late_receiver_count",
-             "late_receiver_time",
-             " instances of Late Receiver. Sends are posted before receives are ready (total delayed time ",
-             "s).", "fraction_of_traffic", "delayed_time_sec"),
-        late("late_broadcaster", "bcast", "late_broadcaster_ratio", "late_broadcaster_count",
-             "late_broadcaster_time",
-             " cases where non-root ranks reach MPI_Bcast before the broadcaster is ready (total wasted time ",
-             "s).", "fraction_of_collectives", "wasted_time_sec"),
-        late("early_reduce_arrival", "reduce", "early_reduce_ratio", "early_reduce_count",
-             "early_reduce_time",
-             " cases where workers arrive at MPI_Reduce before the root is ready (total wasted time ",
-             "s).", "fraction_of_collectives", "wasted_time_sec"),
+             "fraction_of_traffic", "wasted_time_sec"),
+        late("late_receiver", "p2p", "late_receiver_ratio", "late_receiver_count", "late_receiver_time",
+             "fraction_of_traffic", "delayed_time_sec"),
+        late("late_broadcaster", "bcast", "late_broadcaster_ratio", "late_broadcaster_count", "late_broadcaster_time",
+             "fraction_of_collectives", "wasted_time_sec"),
+        late("early_reduce_arrival", "reduce", "early_reduce_ratio", "early_reduce_count", "early_reduce_time",
+             "fraction_of_collectives", "wasted_time_sec"),
         Rule("small_message_pressure", ("totals",), (c("small1k_ratio") >= 0.6) & moving,
-             ("A high fraction of canonical traffic uses very small payloads (<1KB: ",
-              fx.percent("small1k_ratio"), "), which may increase message-rate overhead."),
+             said("small_message_pressure", "small1k_ratio"),
              {"small_lt_1kb_ratio": c("small1k_ratio"), "small_lt_1kb_events": c("small1k_events")},
              capped(c("small1k_ratio"))),
         Rule("rank_traffic_imbalance", ("touch",), (c("touch_cv") >= 1.2) & (c("total_ranks") > 1),
-             ("Per-rank communication volume is strongly imbalanced (CV ", fx.fixed("touch_cv", 3),
-              ")."),
+             said("rank_traffic_imbalance", "touch_cv"),
              {"touch_bytes_cv": c("touch_cv"), "top_ranks_by_touch": c("top_ranks_by_touch")},
              capped(c("touch_cv") / 2.0), ("top_ranks_by_touch",)),
         Rule("collective_root_bottleneck", ("roots",),
              (c("top_root_share") >= 0.7) & (c("root_bytes") > 0),
-             ("One root rank accounts for ", fx.percent("top_root_share"),
-              " of rooted collective bytes, which may indicate a root bottleneck."),
+             said("collective_root_bottleneck", "top_root_share"),
              {"top_root": c("top_root"), "top_root_share": c("top_root_share")},
              capped(c("top_root_share"))),
         Rule("barrier_arrival_skew", ("totals", "barriers"),
              (c("barrier_instances") > 0) & (c("runtime") > 0.0)
              & (c("max_barrier_spread") >= 0.001) & (c("rel_barrier_spread") >= 0.01),
-             ("Barriers exhibit noticeable arrival skew (max spread ",
-              fx.fixed("max_barrier_spread", 6), "s, average ", fx.fixed("avg_barrier_spread", 6),
-              "s)."),
+             said("barrier_arrival_skew", "max_barrier_spread", "avg_barrier_spread"),
              {"max_barrier_spread": c("max_barrier_spread"),
               "avg_barrier_spread": c("avg_barrier_spread"),
               "barrier_instances": c("barrier_instances")},
              capped(c("rel_barrier_spread") * 5.0)),
         Rule("completion_overhead", ("totals",),
              (c("completion_ratio") >= 1.0) & (c("completion_events") > 0),
-             ("Completion calls are very frequent relative to canonical transfers (ratio ",
-              fx.fixed("completion_ratio", 3), ")."),
+             said("completion_overhead", "completion_ratio"),
              {"completion_events": c("completion_events"),
               "completion_to_transfer_ratio": c("completion_ratio")},
              capped(c("completion_ratio") / 2.0)),
         Rule("link_hotspot", ("totals", "links"), (c("top_link_share") >= 0.35) & sized,
-             ("A single sender/receiver pair carries a large share of bytes (",
-              fx.percent("top_link_share"), ")."),
+             said("link_hotspot", "top_link_share"),
              {"top_link_share": c("top_link_share"), "top_link": c("top_link")},
              capped(c("top_link_share") * 2.0), ("top_link",)),
     ]

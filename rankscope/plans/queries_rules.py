@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankscope import functions as fx
 from rankscope import schema as S
 from rankscope.operators import frames, quality, topk
+from rankscope.operators.sentences import said_sql
 from rankscope.plans import analysis
 from rankscope.plans.derived import derived_runs, table
 from rankscope.plans.queries_scalar import trace_anchors
@@ -14,52 +15,52 @@ from rankscope.plans.registry import EVENTS_SQL, METRICS_SQL, PAIRS_SQL, query,
 
 SEVERITY = "case when {0} >= 0.85 then 'critical' when {0} >= 0.6 then 'warning' else 'info' end"
 
-# name, rule, condition over m, score, description
+# name, rule, condition over m, score, values of its sentence
 _RULES = [
     ("d01_dense_communication", "dense-communication", "pair_density >= 0.5", None,
-     "printf('Communication graph is dense (pair density %.3f), suggesting all-to-all or highly connected traffic.', pair_density)"),
+     "pair_density"),
     ("d02_sparse_communication", "sparse-communication", "pair_density > 0 and pair_density <= 0.1", None,
-     "printf('Communication graph is sparse (pair density %.3f), suggesting nearest-neighbour or structured exchange.', pair_density)"),
+     "pair_density"),
     ("d03_small_message_dominated", "small-message-dominated", "small1k_ratio >= 0.5 and canonical_events > 0", None,
-     "printf('A large fraction of canonical transfers are under 1KB (%.1f%%).', small1k_ratio * 100)"),
+     "small1k_ratio * 100"),
     ("d04_root_concentrated", "root-concentrated-collectives", "roots > 0 and top_root_share >= 0.5", None,
-     "printf('One rank dominates rooted collective traffic (%.1f%% of rooted collective bytes).', top_root_share * 100)"),
+     "top_root_share * 100"),
     ("d05_dominant_link", "dominant-link", "top_link_share >= 0.2 and canonical_bytes > 0", None,
-     "printf('A single communication link carries %.1f%% of canonical traffic bytes.', top_link_share * 100)"),
+     "top_link_share * 100"),
     ("d06_rank_imbalance", "rank-communication-imbalance", "touch_cv >= 1", None,
-     "printf('Communication volume per rank is imbalanced (CV %.3f).', touch_cv)"),
+     "touch_cv"),
     ("d07_completion_heavy", "completion-heavy", "completion_ratio >= 0.5", None,
-     "printf('Completion calls are frequent relative to canonical transfers (ratio %.3f).', completion_ratio)"),
+     "completion_ratio"),
     ("d08_barrier_heavy", "barrier-heavy", "barrier_events > 0 and barrier_fraction >= 0.05", None,
-     "printf('Barrier usage is prominent in the trace (%d barrier events).', barrier_events)"),
+     "barrier_events"),
     ("i01_late_sender", "late_sender", "ls_n / canonical_events > 0.05", "least(ls_n / canonical_events * 4.0, 1.0)",
-     "printf('Detected %d instances of Late Sender. Receivers are posting before sends arrive (total wasted time %.3fs).', ls_n, ls_t)"),
+     "ls_n, ls_t"),
     ("i02_late_receiver", "late_receiver", "lr_n / canonical_events > 0.05", "least(lr_n / canonical_events * 4.0, 1.0)",
-     "printf('Detected %d instances of Late Receiver. Sends are posted before receives are ready (total delayed time %.3fs).', lr_n, lr_t)"),
+     "lr_n, lr_t"),
     ("i03_late_broadcaster", "late_broadcaster", "lb_n / collective_events > 0.05", "least(lb_n / collective_events * 4.0, 1.0)",
-     "printf('Detected %d cases where non-root ranks reach MPI_Bcast before the broadcaster is ready (total wasted time %.3fs).', lb_n, lb_t)"),
+     "lb_n, lb_t"),
     ("i04_early_reduce_arrival", "early_reduce_arrival", "er_n / collective_events > 0.05", "least(er_n / collective_events * 4.0, 1.0)",
-     "printf('Detected %d cases where workers arrive at MPI_Reduce before the root is ready (total wasted time %.3fs).', er_n, er_t)"),
+     "er_n, er_t"),
     ("i05_small_message_pressure", "small_message_pressure", "small1k_ratio >= 0.6", "least(small1k_ratio, 1.0)",
-     "printf('A high fraction of canonical traffic uses very small payloads (<1KB: %.1f%%), which may increase message-rate overhead.', small1k_ratio * 100)"),
+     "small1k_ratio * 100"),
     ("i06_rank_traffic_imbalance", "rank_traffic_imbalance", "touch_cv >= 1.2", "least(touch_cv / 2.0, 1.0)",
-     "printf('Per-rank communication volume is strongly imbalanced (CV %.3f).', touch_cv)"),
+     "touch_cv"),
     ("i07_collective_root_bottleneck", "collective_root_bottleneck", "top_root_share >= 0.7 and root_bytes > 0", "least(top_root_share, 1.0)",
-     "printf('One root rank accounts for %.1f%% of rooted collective bytes, which may indicate a root bottleneck.', top_root_share * 100)"),
+     "top_root_share * 100"),
     ("i08_barrier_arrival_skew", "barrier_arrival_skew",
      "barrier_instances > 0 and runtime > 0 and max_barrier_spread >= 0.001 and max_barrier_spread / runtime >= 0.01",
      "least(max_barrier_spread / runtime * 5.0, 1.0)",
-     "printf('Barriers exhibit noticeable arrival skew (max spread %.6fs, average %.6fs).', max_barrier_spread, avg_barrier_spread)"),
+     "max_barrier_spread, avg_barrier_spread"),
     ("i09_completion_overhead", "completion_overhead", "completion_ratio >= 1 and completion_events > 0", "least(completion_ratio / 2.0, 1.0)",
-     "printf('Completion calls are very frequent relative to canonical transfers (ratio %.3f).', completion_ratio)"),
+     "completion_ratio"),
     ("i10_link_hotspot", "link_hotspot", "top_link_share >= 0.35 and canonical_bytes > 0", "least(top_link_share * 2.0, 1.0)",
-     "printf('A single sender/receiver pair carries a large share of bytes (%.1f%%).', top_link_share * 100)"),
+     "top_link_share * 100"),
 ]
 
 
 def _rule_sql(kind: str, applies: str, score: str | None, text: str) -> str:
     extra = f", round({score}, 6) as score, {SEVERITY.format(score)} as severity" if score else ""
-    return f" select '{kind}' as type, {applies} as applies{extra}, {text} as description from m"
+    return f" select '{kind}' as type, {applies} as applies{extra}, {said_sql(kind, *text.split(', '))} as description from m"
 
 
 def _rule_query(kind: str, scored: bool):
@@ -74,10 +75,10 @@ for _name, _kind, _applies, _score, _text in _RULES:
     query(_name, METRICS_SQL + _rule_sql(_kind, _applies, _score, _text))(_rule_query(_kind, _score is not None))
 
 _PATTERNS = " union all ".join(
-    f"select {i} as ord, '{kind}' as type, {text} as description from m where {applies}"
+    f"select {i} as ord, '{kind}' as type, {said_sql(kind, *text.split(", "))} as description from m where {applies}"
     for i, (_, kind, applies, score, text) in enumerate(_RULES) if score is None)
 _ISSUES = " union all ".join(
-    f"select {i} as ord, '{kind}' as type, {score} as score, {text} as description from m where {applies}"
+    f"select {i} as ord, '{kind}' as type, {score} as score, {said_sql(kind, *text.split(", "))} as description from m where {applies}"
     for i, (_, kind, applies, score, text) in enumerate(_RULES) if score is not None)
 
 
