@@ -317,6 +317,26 @@ def test_the_filter_returns_the_level_of_a_count(spark):
     assert (model.levels(rng.integers(0, 1 << 62, 5000, dtype=np.int64).view(np.uint64), 1) == 0).mean() > 0.98
 
 
+def test_a_large_filter_keeps_every_ngram(spark, monkeypatch):
+    """More entries than the smallest filter has room for: it grows, and n-grams seen once are still in it."""
+    monkeypatch.setattr(log_likelihood, "SLICES", 2)
+    grams = np.arange(1_200_000, dtype=np.int64) * 0x9E3779B1 + 7
+    table = spark.range(1_200_000).select(F.lit(2).alias("n"), (F.col("id") * 0x9E3779B1 + 7).alias("gram"), F.lit(1).cast("long").alias("times"))
+    model = log_likelihood.count_filter(table)
+    assert len(model.bits) == 4 and (model.counts(grams.view(np.uint64), 2) >= 1).all()
+    assert (model.levels(grams.view(np.uint64) + np.uint64(1), 2) == 0).mean() > 0.98
+
+
+def test_scores_are_the_same_by_a_filter_in_slices(spark, logs, monkeypatch):
+    given = clashing(spark, logs, ["score", "row", "block", "rest"])
+    columns = "n_tokens", "n_known", "train_tokens", "base_score", "score", "held_out"
+    want = by_id(log_likelihood.score_likelihood(given), *columns)
+    monkeypatch.setattr(log_likelihood, "SHARED_SLICES", 0)
+    got = log_likelihood.score_likelihood(given)
+    assert "log" in got.columns and by_id(got, *columns) == want
+    assert log_likelihood.score_likelihood(frame(spark, {})).count() == 0
+
+
 def test_logs_of_ranks(spark):
     ev = events(spark, [(0, 1.0, 2, 13, 0, 1, 1, 8), (0, 0.5, 1, 14, 1, 0, 1, 4), (1, 61.0, 3, 26, 1, 1)])
     got = {(r.rank_recording, r.slice): r.log for r in records.rank_logs(ev).collect()}
