@@ -157,6 +157,23 @@ def test_dense_groups_are_whole_however_they_are_compared(spark, monkeypatch, cl
     assert 1 < len({c for _, c, _ in want.values()}) < 120
 
 
+def test_dense_regions_are_compared_across_all_edges(spark, monkeypatch):
+    """All signatures share the first values of one order: coarse links join them all, and neighbours share a piece wherever a stretch or partition ends."""
+    monkeypatch.setattr(near_logs, "WINDOW", 4)
+    monkeypatch.setattr(near_logs, "CLUSTER", 8)
+    rng = np.random.default_rng(8)
+    signs = rng.integers(0, 1 << 32, (100, near_logs.HASHES), dtype=np.uint32)
+    signs[:, :near_logs.DEPTH + near_logs.DEEPER] = 7
+    classes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(signs)], "rep long, signature binary").repartition(3)
+    assert {r.component for r in components(near_logs._coarse_links(classes)).collect()} == {0}
+    at = {}
+    for r in near_logs._regions(classes).collect():
+        if r.piece[:13] == b"\0" + (b"\0\0\0\7" * 3):
+            at.setdefault(r.rep, set()).add(bytes(r.piece))
+    assert all(at[i] & at[j] for i in range(100) for j in range(i + 1, min(i + 5, 100)))
+    assert max(len(p) for p in at.values()) == 2
+
+
 def test_near_duplicates_without_numbers_and_with_equal_ones(spark):
     rows = [(None, "a b c"), (3, "a b c"), (3, "x y z"), (8, "x y z"), (9, None), (10, "")]
     got = near_logs.near_duplicate_logs(spark.createDataFrame(rows, "log_id long, log string"), 2).collect()
