@@ -1,5 +1,7 @@
 """The driver contract."""
 
+import pytest
+
 import __spark_entry__ as entry
 from rankscope.plans import catalog
 
@@ -13,3 +15,14 @@ def test_every_sql_has_its_query():
 def test_flagship_query(spark):
     df = entry.entry(spark)
     assert df.count() == 20 and df.columns[0] == "position"
+
+
+def test_the_analysis_summary_has_its_findings(spark, sf_dir):
+    """Totals, pattern and issue lines, equal to the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        db.execute(f"create view {name} as from read_parquet('{sf_dir}/{name}.parquet')")
+    want = sorted(db.execute(entry.oracle_sql()["k07_analysis_findings"]).fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["k07_analysis_findings"](spark, sf_dir).collect())
+    assert got == want and {line // 100 for line, *_ in got} == {0, 1, 2}
