@@ -78,33 +78,37 @@ def analyse(trace: Trace) -> dict[str, DataFrame]:
     }
 
 
-SECTION_ORDER = {"per_rank": "rank", "barrier_spreads": "barrier_index", "time_windows": "phase"}
-
-
-def _rows(section: str, df: DataFrame) -> DataFrame:
-    """One array per run in section order; every section is bounded by ranks, barriers or k."""
-    key = SECTION_ORDER.get(section, "position")
-    fields = [x for x in df.columns if x not in ("run_id", "position")]
-    listed = F.array_sort(
-        F.collect_list(F.struct(F.col(key).cast("long").alias("at"), F.struct(*fields).alias("row"))),
-        lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
-    return df.groupBy("run_id").agg(F.transform(listed, lambda r: r["row"]).alias(section))
-
-
-def analysis_document(sections: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
-    """One JSON document per run with all sections nested."""
-    out = runs.select("run_id")
-    for name in SECTIONS:
-        df = sections[name]
-        if name == "summary":
-            fields = [x for x in df.columns if x != "run_id"]
-            nested = df.select("run_id", F.struct(*fields).alias(name))
-        else:
-            nested = _rows(name, df)
-        out = out.join(nested, "run_id", "left")
-        if name != "summary":
-            out = out.withColumn(name, F.coalesce(name, F.array()))
-    return out.select("run_id", F.to_json(F.struct(*SECTIONS)).alias("analysis"))
+# What numbers the rows of a section; where nothing does, a run has one row.
+SECTION_ORDER = {"per_rank": "rank", "barrier_spreads": "barrier_index", "time_windows": "phase", "topology": "rank", "time_anchors": "rank",
+                 "statistics": "call_code", "chunks": "chunk_id"}
+
+
+def _lines(member: str, df: DataFrame) -> DataFrame:
+    """One line per element of a member, with its place in it."""
+    name = member.split(".")[-1]
+    key = SECTION_ORDER.get(name, "position")
+    fields = [c for c in df.columns if c not in ("run_id", "position")]
+    position = F.col(key).cast("long") if key in df.columns else F.lit(0).cast("long")
+    return df.select("run_id", F.lit(member).alias("section"), position.alias("position"),
+                     F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def analysis_document(sections: dict[str, DataFrame], runs: DataFrame, topology: DataFrame, anchors: DataFrame, statistics: DataFrame,
+                      chunks: DataFrame) -> DataFrame:
+    """The whole document, one line per element: ``run_id``, ``section``, ``position`` and ``json``, sorted by these.
+
+    Sections are metadata, topology, time_anchors, statistics, hardware_blueprint, the parts of the analysis as ``analysis.*``, and chunks. No run is
+    collected into one value. The blueprint is the text of the run's map, null without one; an empty section has no lines.
+    """
+    blueprint = F.col("hardware_blueprint") if "hardware_blueprint" in runs.columns else F.lit(None).cast("string")
+    members = {"metadata": runs.drop("hardware_blueprint"), "topology": topology, "time_anchors": anchors, "statistics": statistics,
+               "hardware_blueprint": runs.select("run_id", blueprint.alias("hardware_blueprint")),
+               **{f"analysis.{name}": sections[name] for name in SECTIONS}, "chunks": chunks}
+    lines = None
+    for name, df in members.items():
+        own = _lines(name, df)
+        lines = own if lines is None else lines.unionByName(own)
+    return lines.orderBy("run_id", "section", "position")
 
 
 # --- printed summaries --------------------------------------------------------

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rankscope.operators import timeline, traffic
 from rankscope.plans import analysis
 from rankscope.plans.derived import derive_trace, derived_runs, table
+from rankscope.plans.queries_scalar import trace_anchors
 from rankscope.plans.queries_traffic import HIST_SQL
 from rankscope.plans.queries_views import CHUNK, MOMENT, map_nodes, posted_requests, request_completions
 from rankscope.plans.registry import EVENTS_SQL, METRICS_SQL, query, trace
@@ -51,7 +53,13 @@ def s15_frame(spark, sf):
 @query("k03_analysis_document")
 def k03(spark, sf):
     t = trace(spark, sf, share=True)
-    return analysis.analysis_document(analysis.analyse(t), t.runs)
+    path = scratch(spark, "blueprint")
+    hardware.write_hardware_map(map_nodes(spark, sf), path, "cluster")
+    runs = t.runs.crossJoin(hardware.read_hardware_metadata(spark, path).select("hardware_blueprint"))
+    topology = hosted(spark, sf).groupBy("run_id", F.col("rank_recording").alias("rank")).agg(F.min("host").alias("hostname"))
+    statistics = traffic.histogram_totals(traffic.message_histogram(t.events), t.runs)
+    chunks = timeline.chunk_index(timeline.with_chunk_id(t.events, CHUNK))
+    return analysis.analysis_document(analysis.analyse(t), runs, topology, trace_anchors(t.events), statistics, chunks)
 
 
 @query("k04_hardware_map", "select n_name as hostname, 1 + n_nationkey % 2 as cpus, 1 + n_nationkey % 3 as cores_per_cpu from nation")

@@ -74,8 +74,8 @@ def write_sections(sections: dict[str, DataFrame], path: str) -> None:
 
 
 def write_document(document: DataFrame, path: str) -> None:
-    """Nested JSON documents, one line per run."""
-    document.select("analysis").write.mode("overwrite").text(path)
+    """The document's lines, one JSON object each, in its order."""
+    document.select(F.to_json(F.struct("run_id", "section", "position", "json")).alias("value")).write.mode("overwrite").text(path)
 
 
 # Fixed value: bytes of a line, its break included, that the feed's own sender has room for.

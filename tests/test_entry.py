@@ -26,3 +26,18 @@ def test_the_analysis_summary_has_its_findings(spark, sf_dir):
     want = sorted(db.execute(entry.oracle_sql()["k07_analysis_findings"]).fetchall())
     got = sorted(tuple(r) for r in entry.queries()["k07_analysis_findings"](spark, sf_dir).collect())
     assert got == want and {line // 100 for line, *_ in got} == {0, 1, 2}
+
+
+def test_the_document_has_all_members(spark, sf_dir):
+    """One numbered line per element, so that no run is one value."""
+    import json
+    lines = entry.queries()["k03_analysis_document"](spark, sf_dir).collect()
+    assert lines[0].asDict().keys() == {"run_id", "section", "position", "json"}
+    assert lines == sorted(lines, key=lambda r: (r.run_id, r.section, r.position)) and len({r[:3] for r in lines}) == len(lines)
+    own = {}
+    for r in lines:
+        own.setdefault(r.section, []).append(json.loads(r.json))
+    assert {name.split(".")[0] for name in own} == {"metadata", "topology", "time_anchors", "statistics", "hardware_blueprint", "analysis", "chunks"}
+    assert len(own["topology"]) == len(own["time_anchors"]) == len(own["analysis.per_rank"]) == 64 and len(own["metadata"]) == 1
+    assert sum(c["n_events"] for c in own["chunks"]) == own["analysis.summary"][0]["total_events"]
+    assert json.loads(own["hardware_blueprint"][0]["hardware_blueprint"])["cabinets"]
