@@ -306,7 +306,8 @@ def w05(spark, sf):
 
 @query("st06_drop_accounting", COUNTERS_SQL)
 def st06(spark, sf):
-    out = feed.run_once(stateful.drop_deltas_stream(drop_counters(stream_of(spark, sf, "events"))), "append")
+    counters = feed.in_time_order(drop_counters(table(spark, sf, "events")), [F.col("poll_ts"), F.col("dropped_total")])
+    out = feed.run_once(stateful.drop_deltas_stream(counters), "append")
     return out.select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total")
 
 
@@ -328,10 +329,8 @@ select rank as rank_recording, handle, call_code, tag, case when is_recv and wil
   case when is_recv and c >= 0 then c else cnt end as cnt from po""")
 def st05(spark, sf):
     """Posts and completions stream from the stored trace; handles are reused once completed."""
-    path = scratch(spark, "requests")
-    derive_trace(spark, sf).filter("call_code between 18 and 22").write.parquet(path)
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     distinct = F.col("epoch_ns") * 1000 + F.col("event_id") % 997
+    rows = feed.in_time_order(derive_trace(spark, sf).filter("call_code between 18 and 22"), [distinct])
     posted = posted_requests(rows.withColumn("time", distinct.cast("double"))) \
         .withColumn("handle", F.col("event_id") % 31)
     out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), forget=False),

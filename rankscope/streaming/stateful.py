@@ -37,7 +37,7 @@ def _matcher(forget: bool):
         if state.hasTimedOut:
             state.remove()
             return
-        # Chunks of a trigger come in no order, so all uses of the handle in it are put in order; ``maxFilesPerTrigger`` bounds them.
+        # Chunks of a trigger come in no order, so all uses of the handle in it are put in order; ``live.in_time_order`` bounds them.
         batch = pd.concat(list(batches))
         uses = {c: batch[c].to_numpy() for c in USE_FIELDS}
         if state.exists:
@@ -92,7 +92,7 @@ DELTAS = "producer long, poll_ts timestamp, delta long, dropped_total long"
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Remember the last reported total of a producer."""
-    # Chunks of a trigger come in no order; ``maxFilesPerTrigger`` bounds the polls of a producer in one.
+    # Chunks of a trigger come in no order; ``live.in_time_order`` bounds the polls of a producer in one.
     batch = pd.concat(list(batches)).sort_values(["poll_ts", "dropped_total"], kind="stable")
     total = batch["dropped_total"].astype("int64")
     delta = total - total.shift(fill_value=state.get[0] if state.exists else 0)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from rankscope.operators import topology
@@ -160,3 +162,32 @@ def test_request_state_spans_triggers(spark, tmp_path):
     src = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(where))
     out = feed.run_once(stateful.complete_requests_stream(src.filter("not done"), src.filter("done"), forget=False), "append")
     assert rows(out, "handle", "posted_time", "local_time", "sender", "receiver", "cnt", "bytes") == [(7, 1.0, 2.0, 3, 1, 6, 24), (9, 1.5, 2.0, 3, 1, 6, 24)]
+
+
+def test_drop_accounting_takes_slices_in_time_order(spark, sf_dir, monkeypatch):
+    """Many triggers in turn, none with the whole table, give what one window over the table gives."""
+    from rankscope.plans import queries_live as q
+    counters = q.drop_counters(q.table(spark, sf_dir, "events"))
+    n = counters.count()
+    monkeypatch.setattr(feed, "SLICE_ROWS", n // 4 + 1)
+    seen, inner = [], stateful.drop_deltas_stream
+    monkeypatch.setattr(stateful, "drop_deltas_stream", lambda s: seen.append(s) or inner(s))
+    want = rows(stateful.drop_deltas(counters).select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total"),
+                "producer", "us", "delta", "dropped_total")
+    assert rows(q.st06(spark, sf_dir), "producer", "us", "delta", "dropped_total") == want
+    sizes = []
+    query = seen[0].writeStream.foreachBatch(lambda b, _: sizes.append(b.agg(F.count("*"), F.min("poll_ts"), F.max("poll_ts")).first())) \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sizes) == 4 and max(s[0] for s in sizes) < n / 2 and all(a[2] <= b[1] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_requests_complete_across_slices(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(feed, "SLICE_ROWS", 3000)
+    db = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        db.execute(f"create view {name} as from read_parquet('{sf_dir}/{name}.parquet')")
+    want = sorted(db.execute(entry.oracle_sql()["st05_request_completion"]).fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["st05_request_completion"](spark, sf_dir).collect()) == want
