@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankscope.llm import benchmark_calls, log_lengths, log_likelihood, log_quality, near_logs, notices, pack_logs, repeated_calls, \
+from rankscope.llm import benchmark_calls, byte_tokens, call_phrases, filter_audit, log_lengths, log_likelihood, log_quality, near_logs, notices, pack_logs, repeated_calls, \
     repeated_passages, similar_profiles
 
 
@@ -79,6 +79,25 @@ def op10_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("log").withColumnRenamed("log_id", "doc_id")
 
 
+def op11_call_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("lang").alias("run_id"), F.col("text").alias("log"))
+    return call_phrases.call_phrases(logs).withColumnsRenamed(
+        {"run_id": "lang", "n_phrase": "a", "n_first": "l", "n_rest": "r", "n_words": "n"})
+
+
+def op12_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_tokens.encode_logs(_logs(spark, sf_dir))
+    decoded = byte_tokens.decode_logs(encoded.withColumn("ids_sha256", F.sha2("ids", 256)))
+    return decoded.select(F.col("log_id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("log", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("log_id"), F.col("lang").alias("run_id"), F.col("text").alias("log"))
+    verdicts = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("log_id"), F.col("quality").alias("healthy"), F.col("toxic").alias("suspect"))
+    return filter_audit.audit_filters(logs, verdicts).withColumnsRenamed(
+        {"run_id": "part", "healthy_lost": "good_lost", "suspect_lost": "toxic_lost"})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -86,4 +105,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_length_histogram, op2_similar_profiles, op3_repeated_passages, op4_near_duplicates, op5_notices, op6_benchmark_calls, op7_packing,
-    op8_repeated_calls, op9_log_quality, op10_log_likelihood, pipeline)}
+    op8_repeated_calls, op9_log_quality, op10_log_likelihood, op11_call_phrases, op12_byte_tokens, op13_filter_audit, pipeline)}
