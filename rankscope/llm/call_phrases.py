@@ -20,6 +20,7 @@ from rankscope.llm.stage import written
 TRIGGER = 16           # one place in so many ends a chunk
 FARTHEST = 256         # words after which a chunk ends without a trigger, so that no text makes a chunk without bound
 FILTER_BITS = 1 << 27  # of the table of frequent phrases that tasks hold: 16 MB whatever the input
+PHRASES = 50_000       # that a task makes strings of at once
 PIECE = 1 << 16        # bits of that table that one row carries
 
 # Characters that end a piece of text, and blanks between its words; A-Z are lower-cased.
@@ -128,7 +129,7 @@ def _keyed(grams: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return W.mix(grams ^ (marks * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int = 2 * W.BLOCK) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = W.BLOCK) -> Iterator[pa.RecordBatch]:
     """Small batches put together to about ``size`` bytes of chunks."""
     held, until = [], 0
     for batch in W.blocks(batches, "chunk", size):
@@ -157,7 +158,7 @@ def count_phrases(chunks: DataFrame, sizes: list[int], longest: int, within: Dat
             data, starts, ends, row, word, own = _owned(batch.column("chunk"), overlap)
             if not len(starts):
                 continue
-            times = batch.column("times").to_numpy()
+            times, text = batch.column("times").to_numpy(), data.tobytes()
             marks = _run_marks(batch.column("run_id"))[row]
             prints = W.fingerprints(data, starts, ends)
             runs = batch.column("run_id")
@@ -179,10 +180,11 @@ def count_phrases(chunks: DataFrame, sizes: list[int], longest: int, within: Dat
                 keys, one, which = np.unique(_keyed(W.grams(prints, size)[at], marks[at]), return_index=True, return_inverse=True)
                 n = np.zeros(len(keys), np.int64)
                 np.add.at(n, which, times[row[at]])
-                text, one = data.tobytes(), at[one]
-                phrases = [text[a:b] for a, b in zip(starts[one].tolist(), ends[one + size - 1].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [runs.take(pa.array(row[one])), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["run_id", "phrase", "n"])
+                one = at[one]
+                for k in range(0, len(one), PHRASES):  # strings of so many phrases at once
+                    few = one[k:k + PHRASES]
+                    phrases = pa.array([text[a:b] for a, b in zip(starts[few].tolist(), ends[few + size - 1].tolist())], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([runs.take(pa.array(row[few])), phrases, pa.array(n[k:k + PHRASES])], ["run_id", "phrase", "n"])
 
     counted = chunks.mapInArrow(run, "run_id string, phrase string, n long").groupBy("run_id", "phrase").agg(F.sum("n").alias("n"))
     return counted.withColumn("words", n_words_of(F.col("phrase")))
