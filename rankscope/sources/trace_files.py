@@ -9,19 +9,22 @@ Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rankscope import schema as S
 from rankscope.operators import timeline
 from rankscope.sources import trace_layout as L
+from rankscope.sources.trace_writer import ROWS, TraceWriter, write_trace as _write_trace
 
 RANGE_RECORDS = 1 << 20
 SCAN_BYTES = 1 << 28
+MEMBER_SCAN = 1 << 26  # bytes of a compressed file that one task searches for members
 TASK_BYTES = 1 << 27
 BATCH_RECORDS = 1 << 16
 # Tasks of a pass over file headers and tables; a task takes several files where there are more.
@@ -36,7 +39,10 @@ SECTIONS = T.StructType([
     T.StructField("small_offset", T.LongType()), T.StructField("n_small", T.LongType()),
     T.StructField("large_offset", T.LongType()), T.StructField("n_large", T.LongType()),
 ])
-TABLES = {"small": S.SMALL, "large": S.LARGE, "runs": S.RUNS, "processes": S.PROCESSES, "anchors": S.ANCHOR_ROWS, "sections": SECTIONS}
+FILES = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()),
+    T.StructField("compressed", T.BooleanType())])
+TABLES = {"files": FILES, "small": S.SMALL, "large": S.LARGE, "runs": S.RUNS, "processes": S.PROCESSES, "anchors": S.ANCHOR_ROWS, "sections": SECTIONS}
 
 
 class Files(InputPartition):
@@ -57,12 +63,21 @@ class TraceSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return TraceReader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> TraceWriter:
+        """Files from rows in the layout and order of ``trace_writer.trace_rows``."""
+        if overwrite:
+            raise ValueError("trace files are added to a folder; choose another path instead of overwriting")
+        if schema.names != ROWS.names:
+            raise ValueError(f"a trace file is written from the columns {ROWS.names}")
+        return TraceWriter(self.options)
+
 
 class TraceReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.table = options.get("table", "runs")
         self.failfast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.packed_too = options.get("packed", "true").lower() == "true"
 
     def partitions(self) -> list[Files]:
         files = L.list_files(self.path)
@@ -70,8 +85,13 @@ class TraceReader(DataSourceReader):
         return [Files(files[i::n]) for i in range(n)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for run_id, path, _ in partition.files:
+        for run_id, path, size in partition.files:
             with L.open_trace(path) as (f, packed):
+                if self.table == "files":
+                    yield (run_id, path, size, packed)
+                    continue
+                if packed and not self.packed_too:
+                    continue
                 try:
                     header = L.read_header(f)
                 except L.TraceError as e:
@@ -101,18 +121,7 @@ class TraceReader(DataSourceReader):
                 pos += 1
 
     def _sections(self, run_id, path, f, packed, header):
-        """All sections of an intact file, or a single row that tells what is wrong with it."""
-        lead = (run_id, path, packed, header["total_ranks"])
-        try:
-            found = list(L.walk_sections(f, header))
-        except L.TraceError as e:
-            if self.failfast:
-                raise
-            yield (*lead, str(e), header["sections"], L.file_size(f), *[None] * 6)
-            return
-        for s in found:
-            yield (*lead, None, None, None, *[s[c] for c in SECTIONS.names[7:]])
-
+        yield from section_rows(run_id, path, f, packed, header, self.failfast)
 
     def _small(self, run_id, path, f, packed, header):
         yield from self._records("small", run_id, f, header)
@@ -128,13 +137,33 @@ class TraceReader(DataSourceReader):
             yield from _decode_range(f, r, kind)
 
 
+def section_rows(run_id, path, f, packed, header, failfast: bool) -> Iterator[tuple]:
+    """All sections of an intact file, or a single row that tells what is wrong with it."""
+    lead = (run_id, path, packed, header["total_ranks"])
+    try:
+        found = list(L.walk_sections(f, header))
+    except L.TraceError as e:
+        if failfast:
+            raise
+        yield (*lead, str(e), header["sections"], L.file_size(f), *[None] * 6)
+        return
+    for s in found:
+        yield (*lead, None, None, None, *[s[c] for c in SECTIONS.names[7:]])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TraceSource)
 
 
-def _load(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE") -> DataFrame:
+def write_trace(runs: DataFrame, processes: DataFrame, anchors: DataFrame, small: DataFrame, large: DataFrame, path: str, **options) -> None:
+    """One trace file per run; see ``trace_writer.write_trace``."""
+    register(runs.sparkSession)
+    _write_trace(runs, processes, anchors, small, large, path, **options)
+
+
+def _load(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE", packed: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("trace").option("table", table).option("mode", mode).load(path)
+    return spark.read.format("trace").option("table", table).option("mode", mode).option("packed", str(packed).lower()).load(path)
 
 
 def read_runs(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -159,6 +188,8 @@ def read_anchors(spark: SparkSession, path: str, mode: str = "FAILFAST") -> Data
 
 CANDIDATE = "run_id string, path string, compressed boolean, total_ranks int, rank int, start long, " \
             "stop long, small_offset long, n_small long, large_offset long, n_large long"
+INDEX_DDL = ("run_id string, path string, compressed boolean, total_ranks int, section_pos int, rank int, "
+             "small_offset long, n_small long, large_offset long, n_large long")
 INDEX_COLUMNS = ["run_id", "path", "compressed", "total_ranks", "section_pos", "rank",
                  "small_offset", "n_small", "large_offset", "n_large"]
 
@@ -174,13 +205,38 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows)
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(L.choose_sections(pdf.to_dict("records")), columns=INDEX_COLUMNS)
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+def _thinned(chain: type, ddl: str):
+    """Rows of each file that its chain takes; rows come sorted by file and place, and only the chain's state is held."""
+    schema = _arrow(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, state = None, None
+        for batch in batches:
+            kept = []
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    path, state = r["path"], chain()
+                if row := state.take(r):
+                    kept.append({c: row[c] for c in schema.names})
+            if kept:
+                yield pa.RecordBatch.from_pylist(kept, schema=schema)
+    return run
+
+
+def _in_file_order(found: DataFrame, tasks: int) -> DataFrame:
+    return found.repartition(tasks, "path").sortWithinPartitions("path", "start")
 
 
 def _salvaged(index: DataFrame, tasks: int) -> DataFrame:
-    """Sections found in damaged files: byte ranges are searched in parallel for labels, then
-    the few candidates of each file are thinned out in file order."""
+    """Sections found in damaged files: byte ranges are searched in parallel for labels, then each file's candidates,
+    which hold no records, pass through one task in file order that carries the end of the last section and the ranks met."""
     broken = index.filter("problem is not null and end_byte > first_byte")
     step = F.when(F.col("compressed"), F.col("end_byte")).otherwise(F.lit(SCAN_BYTES))
     ranges = broken.select(
@@ -188,9 +244,7 @@ def _salvaged(index: DataFrame, tasks: int) -> DataFrame:
         F.explode(F.sequence(F.col("first_byte"), F.col("end_byte") - 1, step)).alias("low")) \
         .withColumn("high", F.least(F.col("low") + F.col("step"), F.col("end_byte")))
     found = ranges.repartition(tasks, "path", "low").mapInPandas(_scan, CANDIDATE)
-    ddl = ("run_id string, path string, compressed boolean, total_ranks int, section_pos int, rank int, "
-           "small_offset long, n_small long, large_offset long, n_large long")
-    return found.groupBy("run_id", "path").applyInPandas(_choose, ddl)
+    return _in_file_order(found, tasks).mapInArrow(_thinned(L.SectionChain, INDEX_DDL), INDEX_DDL)
 
 
 def _tasks(spark: SparkSession, path: str) -> int:
@@ -198,13 +252,68 @@ def _tasks(spark: SparkSession, path: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
 
+FOUND_MEMBERS = "run_id string, path string, start long, stop long, plain_size long"
+MEMBERS = FOUND_MEMBERS + ", plain_start long"
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """Members of compressed files: ``run_id``, ``path``, ``start`` and ``stop`` in the file, ``plain_start`` and ``plain_size`` of the trace bytes they hold.
+
+    Byte ranges are searched in parallel and every member is unpacked once, by the task of the range it starts in. A file of a single
+    member is one task's work, as it can only be unpacked from its start.
+    """
+    files = _load(spark, path, "files").filter("compressed and size > 0")
+    ranges = files.select("run_id", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(MEMBER_SCAN).cast("long"))).alias("low")) \
+        .withColumn("high", F.least(F.col("low") + MEMBER_SCAN, "size"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                where, name = L.locate(r["path"])
+                with where.open_input_file(name) as raw:
+                    found = [{"run_id": r["run_id"], "path": r["path"], **m} for m in L.find_members(raw, r["low"], r["high"], r["size"])]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=_arrow(FOUND_MEMBERS))
+
+    tasks = _tasks(spark, path)
+    found = ranges.repartition(tasks, "path", "low").mapInArrow(search, FOUND_MEMBERS)
+    return _in_file_order(found, tasks).mapInArrow(_thinned(L.MemberChain, MEMBERS), MEMBERS)
+
+
+def _walk_members(failfast: bool):
+    """The section index of compressed files; members between two section heads are not unpacked."""
+    schema = _arrow(", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in SECTIONS.fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with L.open_trace(r["path"], [(m["start"], m["plain_start"]) for m in r["members"] or []]) as (f, packed):
+                    try:
+                        rows = list(section_rows(r["run_id"], r["path"], f, packed, L.read_header(f), failfast))
+                    except (L.TraceError, EOFError, OSError) as e:
+                        if failfast:
+                            raise
+                        rows = [(r["run_id"], r["path"], packed, 0, f"header: {e}", *[None] * 8)]
+                yield pa.RecordBatch.from_pylist([dict(zip(SECTIONS.names, row)) for row in rows], schema=schema)
+    return run
+
+
+def _index(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """Sections of intact files and the problems of others, plain files by one look each, compressed ones by their members."""
+    plain = _load(spark, path, "sections", mode, packed=False)
+    packed = _load(spark, path, "files").filter("compressed").select("run_id", "path")
+    members = read_members(spark, path).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "plain_start"))).alias("members"))
+    walked = packed.join(members, "path", "left").select("run_id", "path", "members").mapInArrow(_walk_members(mode.upper() == "FAILFAST"), SECTIONS)
+    return plain.unionByName(walked)
+
+
 def read_sections(spark: SparkSession, path: str, mode: str = "PERMISSIVE", on_unreadable: str = "raise") -> DataFrame:
     """Index of the rank sections of every file; damaged files give what can be recovered.
 
     A file of which nothing can be recovered is an error; with ``on_unreadable="report"`` it gives no rows and stands in
     ``salvage_report``, as partly recovered files do. ``FAILFAST`` raises on the first damaged file instead.
     """
-    index = _load(spark, path, "sections", mode)
+    index = _index(spark, path, mode)
     intact = index.filter("problem is null").select(*INDEX_COLUMNS)
     if mode.upper() == "FAILFAST":
         return intact
@@ -225,7 +334,7 @@ def salvage_report(spark: SparkSession, path: str) -> DataFrame:
 
     A file without any valid section is unreadable.
     """
-    index = _load(spark, path, "sections").filter("problem is not null")
+    index = _index(spark, path).filter("problem is not null")
     found = _salvaged(index, _tasks(spark, path)).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("sections_recovered"))
     out = index.select("run_id", "problem", F.col("total_ranks").alias("sections_expected")) \
@@ -237,21 +346,26 @@ def salvage_report(spark: SparkSession, path: str) -> DataFrame:
 
 # --- records ------------------------------------------------------------------
 
-def _ranges(sections: DataFrame, kind: str, tasks: int) -> DataFrame:
-    """Record ranges of bounded size; a compressed file stays in one task, in file order."""
+def _ranges(sections: DataFrame, members: DataFrame, kind: str, tasks: int) -> DataFrame:
+    """Record ranges of bounded size. A range of a compressed file knows the member it begins in; ranges of one member share a task."""
     n = F.col(f"n_{kind}")
     cut = sections.filter(n > 0).select(
         "run_id", "path", "compressed", "section_pos", "rank", F.col(f"{kind}_offset").alias("offset"),
         n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RANGE_RECORDS).cast("long")))
         .alias("first"))
     size = L.RECORDS[kind].itemsize
-    cut = cut.select("run_id", "path", "section_pos", "rank", "first",
+    cut = cut.select("run_id", "path", "compressed", "section_pos", "rank", "first",
                      (F.col("offset") + F.col("first") * size).alias("offset"),
-                     F.least(F.lit(RANGE_RECORDS).cast("long"), F.col("n") - F.col("first")).alias("n"),
-                     F.when(F.col("compressed"), F.lit(0).cast("long")).otherwise(F.col("first")).alias("spread"),
-                     F.when(F.col("compressed"), 0).otherwise(F.col("section_pos")).alias("spread_pos"))
-    return cut.repartition(tasks, "path", "spread_pos", "spread").sortWithinPartitions("path", "offset") \
-              .drop("spread", "spread_pos")
+                     F.least(F.lit(RANGE_RECORDS).cast("long"), F.col("n") - F.col("first")).alias("n"))
+    plain = cut.filter("not compressed").withColumns({"member": F.lit(None).cast("long"), "plain_start": F.lit(None).cast("long")})
+    # Members and ranges of a file in the order of their bytes; each range takes the last member before it.
+    marks = members.select("path", F.col("plain_start").alias("offset"), F.struct(F.col("start").alias("member"), "plain_start").alias("last"), F.lit(0).alias("mark"))
+    packed = cut.filter("compressed").withColumns({"last": F.lit(None).cast("struct<member:bigint,plain_start:bigint>"), "mark": F.lit(1)})
+    before = Window.partitionBy("path").orderBy("offset", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    packed = packed.unionByName(marks, allowMissingColumns=True).withColumn("last", F.last("last", ignorenulls=True).over(before)) \
+        .filter("mark = 1").select(*cut.columns, "last.member", "last.plain_start")
+    spread = F.coalesce("member", "first"), F.when(F.col("member").isNull(), F.col("section_pos"))
+    return plain.unionByName(packed).repartition(tasks, "path", *spread).sortWithinPartitions("path", "offset").drop("compressed")
 
 
 def _ints(a: np.ndarray, kind) -> pa.Array:
@@ -286,13 +400,10 @@ def _large_batch(a: np.ndarray, lead: list) -> pa.RecordBatch:
 def _decoder(kind: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for i, r in enumerate(rows):
-                if i == 0 or rows[i - 1]["path"] != r["path"]:
-                    same = [x for x in rows[i:] if x["path"] == r["path"]]
-                    with L.open_trace(r["path"]) as (f, _):
-                        for x in same:
-                            yield from _decode_range(f, x, kind)
+            for (path, member, plain), rows in groupby(batch.to_pylist(), lambda r: (r["path"], r["member"], r["plain_start"])):
+                with L.open_trace(path, None if member is None else [(member, plain)]) as (f, _):
+                    for r in rows:
+                        yield from _decode_range(f, r, kind)
 
     return decode
 
@@ -311,7 +422,7 @@ def _decode_range(f, r: dict, kind: str) -> Iterator[pa.RecordBatch]:
 
 def _read_records(spark: SparkSession, path: str, kind: str, mode: str, on_unreadable: str) -> DataFrame:
     schema = S.SMALL if kind == "small" else S.LARGE
-    ranges = _ranges(read_sections(spark, path, mode, on_unreadable), kind, _tasks(spark, path))
+    ranges = _ranges(read_sections(spark, path, mode, on_unreadable), read_members(spark, path), kind, _tasks(spark, path))
     return ranges.mapInArrow(_decoder(kind), schema)
 
 

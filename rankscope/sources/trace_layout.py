@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -54,20 +56,112 @@ def locate(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+GZIP_MAGIC = b"\x1f\x8b"
+MEMBER_START = GZIP_MAGIC + b"\x08"
+
+
 @contextmanager
-def open_trace(path: str):
-    """Seekable file of uncompressed trace bytes, with the flag that it was compressed."""
+def open_trace(path: str, members: list[tuple[int, int]] | None = None):
+    """Seekable file of uncompressed trace bytes, with the flag that it was compressed.
+
+    Of a compressed file with known ``members``, pairs of a member's place in the file and of its bytes in the trace, only those
+    are unpacked that a read touches.
+    """
     where, name = locate(path)
     with where.open_input_file(name) as raw:
-        packed = name.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
+        packed = name.endswith(".gz") or raw.read(2) == GZIP_MAGIC
         raw.seek(0)
-        if packed:
+        if packed and members:
+            yield MemberFile(raw, members), True
+        elif packed:
             with gzip.GzipFile(fileobj=raw) as plain:
                 yield plain, True
         else:
             yield raw, False
 
 
+class MemberFile:
+    """Plain bytes of a gzip file from the first known member on; a seek starts unpacking at the member it falls into."""
+
+    def __init__(self, raw, members: list[tuple[int, int]]):
+        self.raw, self.members = raw, members
+        self.starts = [plain for _, plain in members]
+        self.at, self.base, self.plain = self.starts[0], None, None
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        if whence != 0:
+            raise ValueError("a packed file is only searched from its start")
+        self.at = offset
+        return offset
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, size: int) -> bytes:
+        member = max(bisect_right(self.starts, self.at) - 1, 0)
+        base = self.starts[member]
+        # Go on where the last read ended, unless a later member begins before the place or the place lies behind.
+        if self.plain is None or self.base + self.plain.tell() > self.at or self.base + self.plain.tell() < base:
+            self.raw.seek(self.members[member][0])
+            self.plain, self.base = gzip.GzipFile(fileobj=self.raw), base
+        self.plain.seek(self.at - self.base)
+        data = self.plain.read(size)
+        self.at += len(data)
+        return data
+
+
+def find_members(raw, low: int, high: int, size: int) -> Iterator[dict]:
+    """Members of a gzip file that start in ``[low, high)``, each unpacked to its end and checked: place, end and plain size.
+
+    A start may lie inside another member's bytes by chance; ``choose_members`` keeps those that follow one another.
+    """
+    step, at = 1 << 20, low
+    while at < high:
+        raw.seek(at)
+        block = raw.read(min(step, high - at) + len(MEMBER_START) - 1)
+        hit = block.find(MEMBER_START)
+        if hit < 0 or at + hit >= high:
+            at += step
+            continue
+        found = _unpacked(raw, at + hit)
+        if found is None:
+            at += hit + 1
+        else:
+            stop, plain = found
+            yield {"start": at + hit, "stop": stop, "plain_size": plain}
+            at = stop
+
+
+def _unpacked(raw, start: int, step: int = 1 << 20) -> tuple[int, int] | None:
+    """End and plain size of the gzip member at a place, null if there is none."""
+    raw.seek(start)
+    unpack, plain, taken = zlib.decompressobj(31), 0, 0
+    try:
+        while not unpack.eof:
+            data = unpack.unconsumed_tail or raw.read(step)
+            if not data:
+                return None
+            taken += len(data) if not unpack.unconsumed_tail else 0
+            plain += len(unpack.decompress(data, 1 << 22))
+    except zlib.error:
+        return None
+    return start + taken - len(unpack.unused_data), plain
+
+
+class MemberChain:
+    """Members of one file in file order: each must begin where the one before it ends."""
+
+    def __init__(self):
+        self.position, self.plain = 0, 0
+
+    def take(self, c: dict) -> dict | None:
+        if c["start"] != self.position:
+            return None
+        kept = {**c, "plain_start": self.plain}
+        self.position, self.plain = c["stop"], self.plain + c["plain_size"]
+        return kept
+
+
 def exact(f, size: int, what: str) -> bytes:
     data = f.read(size)
     if len(data) < size:
@@ -130,7 +224,9 @@ def _skip(f, size: int, end: int, what: str) -> int:
 def file_size(f) -> int:
     """Uncompressed size, found by seeking; a compressed file is read once for it."""
     here = f.tell()
-    f.seek(0, 2) if not isinstance(f, gzip.GzipFile) else _drain(f)
+    if isinstance(f, MemberFile):
+        f.seek(f.starts[-1])
+    f.seek(0, 2) if not isinstance(f, (gzip.GzipFile, MemberFile)) else _drain(f)
     size = f.tell()
     f.seek(here)
     return size
@@ -191,18 +287,41 @@ def find_candidates(f, first: int, low: int, high: int, end: int) -> Iterator[di
         block = f.read(min(step, high - at) + overlap)
         hit = block.find(SMALL_LABEL)
         while hit >= 0:
-            if at + hit < high and (found := candidate_at(f, at + hit - 4, end)):
+            if at + hit < high and _may_fit(block, hit, at + hit, end) and (found := candidate_at(f, at + hit - 4, end)):
                 yield found
             hit = block.find(SMALL_LABEL, hit + 1)
         at += step
 
 
+def _may_fit(block: bytes, hit: int, at: int, end: int) -> bool:
+    """Whether the count behind a label, as far as the block shows it, fits the file; most false labels end here without a read."""
+    behind = block[hit + len(SMALL_LABEL):hit + LABEL_BYTES + 4]
+    if behind[:1] not in (b"", b"\0"):
+        return False
+    if len(behind) < 5:
+        return True
+    n = struct.unpack("<i", behind[1:])[0]
+    return n >= 0 and at + LABEL_BYTES + 4 + n * SMALL.itemsize + 28 <= end
+
+
+class SectionChain:
+    """Candidates of one file in file order: kept are those behind the last kept one whose rank is new.
+
+    Holds the ranks it has met, as many as sections are kept, and no candidates.
+    """
+
+    def __init__(self):
+        self.position, self.seen = 0, set()
+
+    def take(self, c: dict) -> dict | None:
+        if c["start"] < self.position or c["rank"] in self.seen:
+            return None
+        self.seen.add(c["rank"])
+        self.position = c["stop"]
+        return {**c, "section_pos": len(self.seen) - 1}
+
+
 def choose_sections(candidates: list[dict]) -> list[dict]:
     """Non-overlapping candidates in file order, the first of each rank."""
-    seen, position, kept = set(), 0, []
-    for c in sorted(candidates, key=lambda c: c["start"]):
-        if c["start"] >= position and c["rank"] not in seen:
-            seen.add(c["rank"])
-            position = c["stop"]
-            kept.append({**c, "section_pos": len(kept)})
-    return kept
+    chain = SectionChain()
+    return [kept for c in sorted(candidates, key=lambda c: c["start"]) if (kept := chain.take(c))]
