@@ -97,7 +97,7 @@ def parse_chunks(logs: DataFrame, longest: int = 3, unknown: str = "und") -> Dat
     overlap = longest - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.blocks(batches, "log"):
+        for batch in W.blocks(batches, "log", W.BLOCK // 4):
             data, offsets = W.texts(batch.column("log"))
             out, starts, ends, per_row = _joined(data, offsets, overlap)
             first, following = _chunk_bounds(W.fingerprints(out, starts, ends), per_row, overlap)
@@ -129,7 +129,7 @@ def _keyed(grams: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return W.mix(grams ^ (marks * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int = W.BLOCK) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = W.BLOCK // 2) -> Iterator[pa.RecordBatch]:
     """Small batches put together to about ``size`` bytes of chunks."""
     held, until = [], 0
     for batch in W.blocks(batches, "chunk", size):
