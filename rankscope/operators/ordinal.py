@@ -2,28 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rankscope import schema as S
 from rankscope.session import written
 
-# Bits of a position that count rows within one piece, as monotonically_increasing_id lays them out.
-PIECE_BITS = 33
+# What a task adds to the rows of its piece: the piece, the number within key and piece, whether the row has the key that the
+# piece begins with, and 1 for the piece's first row, 2 for its last, 3 for a single one.
+MARKS = [T.StructField("_piece", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_lead", T.BooleanType()),
+         T.StructField("_edge", T.IntegerType())]
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays are equal, nulls to nulls."""
+    equal = pc.fill_null(pc.equal(a, b), False)
+    return pc.or_(equal, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
+class _Counter:
+    """Numbers rows that come sorted by their keys; carries the open key and its count from batch to batch."""
+
+    def __init__(self, part: list[str]):
+        self.part, self.last, self.count, self.leading = part, None, 0, True
+
+    def add(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = batch.num_rows
+        begins = np.zeros(n, bool)
+        begins[0] = self.last is not None
+        for i, name in enumerate(self.part):
+            column = batch.column(name)
+            begins[1:] |= ~_same(column.slice(1), column.slice(0, n - 1))
+        if self.last is not None:
+            begins[0] = not all(_same(batch.column(name).slice(0, 1), last)[0] for name, last in zip(self.part, self.last))
+        places = np.arange(n)
+        start = np.maximum.accumulate(np.where(begins, places, -1))
+        local = np.where(start < 0, places + self.count, places - start)
+        lead = (start < 0) & self.leading
+        self.leading = bool(lead[-1])
+        self.count = int(local[-1]) + 1
+        self.last = [batch.column(name).slice(n - 1, 1) for name in self.part]
+        return local, lead
+
+
+def _count_in_pieces(part: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, piece, held, first = _Counter(part), TaskContext.get().partitionId(), None, True
+
+        def marked(batch, local, lead, last):
+            nonlocal first
+            edge = np.zeros(batch.num_rows, np.int32)
+            edge[0] += first
+            edge[-1] += 2 * last
+            first = False
+            added = [pa.array(np.full(batch.num_rows, piece, np.int32)), pa.array(local), pa.array(lead), pa.array(edge)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(f.name for f in MARKS)])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield marked(*held, False)
+            held = (batch, *counter.add(batch))
+        if held is not None:
+            yield marked(*held, True)
+    return run
 
 
 def ranged(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
-    """Rows dealt into pieces of about equal size along keys and order, with their ``position``.
+    """Rows dealt into pieces of about equal size along keys and order, numbered within key and piece (``MARKS``).
 
-    The order is total, so a piece may begin anywhere inside a key, at an instant shared by many rows too. The
-    pieces are written down: positions stay what they are when an executor is lost.
+    The order is total, so a piece may begin anywhere inside a key, at an instant shared by many rows too. A task counts its rows as they
+    come, in batches. The pieces are written down: numbers stay what they are when an executor is lost.
     """
     along = [*[F.col(c) for c in part], *order]
     rows = df.repartitionByRange(*along).sortWithinPartitions(*along)
-    return written(rows.withColumn("position", F.monotonically_increasing_id()), "ranged") \
-        .withColumn("piece", F.shiftright("position", PIECE_BITS))
+    return written(rows.mapInArrow(_count_in_pieces(part), T.StructType([*df.schema.fields, *MARKS])), "ranged")
+
+
+def _carried(rows: DataFrame, part: list[str]) -> DataFrame:
+    """``(_of, _before)``: how many rows of the key that a piece begins with lie in earlier pieces. At most one row per piece.
+
+    A key that goes on into a piece is the last key of every earlier piece that has it.
+    """
+    edges = rows.filter("_edge > 0").select(*part, "_piece", "_local", F.explode(F.array_compact(F.array(
+        F.when(F.col("_edge") != 2, 0), F.when(F.col("_edge") != 1, 1)))).alias("_end"))
+    before = Window.partitionBy(*part).orderBy("_piece", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    count = F.when(F.col("_end") == 1, F.col("_local") + 1).otherwise(0)
+    return edges.withColumn("_before", F.sum(count).over(before)).filter("_end = 0 and _before > 0").select(F.col("_piece").alias("_of"), "_before")
 
 
 def number_rows(df: DataFrame, keys: list[str],
@@ -31,15 +102,12 @@ def number_rows(df: DataFrame, keys: list[str],
                 within: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
     """Add ``ordinal`` (from 0) per ``keys + within`` in timeline order, then apply ``finish``.
 
-    Rows are range-partitioned along keys and order, so no key needs a task of its own. A row's number is its
-    position less that of the key's first row in the piece, plus the key's rows in earlier pieces; both come from
-    one count per piece and key. ``order`` may replace the timeline order.
+    Rows are range-partitioned along keys and order, so no key needs a task of its own, and numbered where they lie. Only the one
+    key that is open where a piece begins needs the count of earlier pieces: a table of at most one row a piece, which is
+    broadcast. ``order`` may replace the timeline order.
     """
     part = keys + (within or [])
     rows = ranged(df, part, S.timeline_order() if order is None else order)
-    before = Window.partitionBy(*part).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (rows.groupBy(*part, "piece").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("n"))
-              .select(*[F.col(c).alias(f"of_{c}") for c in part], F.col("piece").alias("of_piece"),
-                      (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift")))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in part], F.col("piece") == F.col("of_piece"))
-    return finish(rows.join(shifts, same).withColumn("ordinal", F.col("position") + F.col("shift")).select(*df.columns, "ordinal"))
+    carried = F.broadcast(_carried(rows, part))
+    ordinal = F.col("_local") + F.when(F.col("_lead"), F.coalesce("_before", F.lit(0))).otherwise(0)
+    return finish(rows.join(carried, F.col("_piece") == F.col("_of"), "left").withColumn("ordinal", ordinal).select(*df.columns, "ordinal"))

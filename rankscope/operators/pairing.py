@@ -12,37 +12,63 @@ P2P_KEYS = ["run_id", "comm", "sender", "receiver", "tag"]
 TIME_COLUMNS = S.ORDER_COLUMNS
 
 
+# Kinds of calls that are matched by their turn: sends, receives, and the three collectives whose k-th calls belong together.
+SEND, RECEIVE, BROADCAST, REDUCTION, WAITING = range(5)
+TURN_KEYS = ["run_id", "kind", "key1", "key2", "key3", "key4"]
+
+
+def p2p_side() -> Column:
+    """0 for rows that send, 1 for rows that receive, null for all others."""
+    code, part = F.col("call_code"), F.col("part")
+    return (F.when(fx.is_send_like() | ((code == S.SENDRECV) & (part == 1)), SEND)
+            .when(fx.is_recv_like() | ((code == S.SENDRECV) & (part == 2)), RECEIVE))
+
+
 def p2p_sides(events: DataFrame) -> DataFrame:
     """Rows that take part in point-to-point matching: side 0 sends, side 1 receives."""
-    code, part = F.col("call_code"), F.col("part")
-    side = (F.when(fx.is_send_like() | ((code == S.SENDRECV) & (part == 1)), 0)
-             .when(fx.is_recv_like() | ((code == S.SENDRECV) & (part == 2)), 1))
-    return events.select(*P2P_KEYS, *TIME_COLUMNS, "cnt", "bytes", side.alias("side")) \
+    return events.select(*P2P_KEYS, *TIME_COLUMNS, "cnt", "bytes", p2p_side().alias("side")) \
                  .filter(F.col("side").isNotNull())
 
 
+def calls_in_turn(events: DataFrame, kinds: tuple[int, ...] = (SEND, RECEIVE, BROADCAST, REDUCTION, WAITING), payload: bool = False) -> DataFrame:
+    """The calls of some kinds with their ``ordinal`` within kind and key, all numbered in one exchange.
+
+    Keys are (comm, sender, receiver, tag) for the sides of a transfer, (comm, member) for broadcasts and reductions with the call's
+    ``root`` beside, and the recording rank for barriers. A row is of one kind at most.
+    """
+    code = F.col("call_code")
+    kind = F.coalesce(p2p_side(), F.when(code == S.BCAST, BROADCAST).when(code == S.REDUCE, REDUCTION).when(fx.is_barrier(), WAITING))
+    two_sided, k = F.col("kind") <= RECEIVE, F.col("kind")
+    keyed = events.withColumn("kind", kind).filter(k.isin(list(kinds)))
+    rows = keyed.select(
+        "run_id", "kind", F.when(k == WAITING, F.col("rank_recording")).otherwise(F.col("comm")).alias("key1"),
+        F.when(two_sided | (k == REDUCTION), F.col("sender")).when(k == BROADCAST, F.col("receiver")).alias("key2"),
+        F.when(two_sided, F.col("receiver")).alias("key3"), F.when(two_sided, F.col("tag")).alias("key4"),
+        F.when(k == BROADCAST, F.col("sender")).when(k == REDUCTION, F.col("receiver")).alias("root"), *TIME_COLUMNS,
+        *(["cnt", "bytes"] if payload else []))
+    return number_rows(rows, TURN_KEYS)
+
+
+def _transfers(turns: DataFrame) -> DataFrame:
+    names = dict(zip(TURN_KEYS[2:], P2P_KEYS[1:]))
+    return turns.filter(F.col("kind") <= RECEIVE).withColumnsRenamed({**names, "kind": "side"}).drop("root")
+
+
 def p2p_ordinals(events: DataFrame) -> DataFrame:
     """Position of every send and receive within its side of its key."""
-    return number_rows(p2p_sides(events), P2P_KEYS, within=["side"])
+    return _transfers(calls_in_turn(events, (SEND, RECEIVE), payload=True))
 
 
 def pair_p2p(events: DataFrame, keep_unmatched: bool = False,
-             payload: bool = False) -> DataFrame:
-    """The i-th send of a key with its i-th receive; zero-byte rows take part.
+             payload: bool = False, turns: DataFrame | None = None) -> DataFrame:
+    """The i-th send of a key with its i-th receive; zero-byte rows take part. ``turns`` may give ``calls_in_turn`` of the events.
     """
-    send, recv = F.col("side") == 0, F.col("side") == 1
+    send, recv = F.col("side") == SEND, F.col("side") == RECEIVE
     values = ["time", "epoch_ns"] + (["cnt", "bytes"] if payload else [])
-
-    def match(rows: DataFrame) -> DataFrame:
-        aggs = [F.max(F.when(side, F.col(v))).alias(f"{name}_{v}")
-                for name, side in (("send", send), ("recv", recv)) for v in values]
-        return rows.groupBy(*P2P_KEYS, "ordinal").agg(
-            F.max(send).alias("has_send"), F.max(recv).alias("has_recv"), *aggs)
-
-    sides = p2p_sides(events)
-    if not payload:
-        sides = sides.drop("cnt", "bytes")
-    out = number_rows(sides, P2P_KEYS, match, within=["side"])
+    rows = _transfers(calls_in_turn(events, (SEND, RECEIVE), payload) if turns is None else turns)
+    aggs = [F.max(F.when(side, F.col(v))).alias(f"{name}_{v}")
+            for name, side in (("send", send), ("recv", recv)) for v in values]
+    out = rows.groupBy(*P2P_KEYS, "ordinal").agg(F.max(send).alias("has_send"), F.max(recv).alias("has_recv"), *aggs)
     if not keep_unmatched:
         out = out.filter("has_send and has_recv").drop("has_send", "has_recv")
     return out
@@ -59,20 +85,17 @@ def unmatched_p2p(events: DataFrame) -> DataFrame:
              .filter("sends <> receives"))
 
 
-def _rooted(events: DataFrame, code: int, root: str, local: str) -> DataFrame:
-    return events.filter(F.col("call_code") == code).select(
-        "run_id", "comm", F.col(root).alias("root"), F.col(local).alias("local"), *TIME_COLUMNS)
+def _members(turns: DataFrame, kind: int) -> DataFrame:
+    return turns.filter(F.col("kind") == kind).select("run_id", F.col("key1").alias("comm"), "root", F.col("key2").alias("local"), *TIME_COLUMNS, "ordinal")
 
 
-def bcast_ordinals(events: DataFrame) -> DataFrame:
+def bcast_ordinals(events: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Position of a broadcast row among all broadcasts its receiver took part in."""
-    return number_rows(_rooted(events, S.BCAST, "sender", "receiver"),
-                       ["run_id", "comm", "local"])
+    return _members(calls_in_turn(events, (BROADCAST,)) if turns is None else turns, BROADCAST)
 
 
-def reduce_ordinals(events: DataFrame) -> DataFrame:
-    return number_rows(_rooted(events, S.REDUCE, "receiver", "sender"),
-                       ["run_id", "comm", "local"])
+def reduce_ordinals(events: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    return _members(calls_in_turn(events, (REDUCTION,)) if turns is None else turns, REDUCTION)
 
 
 def _against_root(numbered: DataFrame) -> DataFrame:
@@ -88,12 +111,12 @@ def _against_root(numbered: DataFrame) -> DataFrame:
                     (F.col("time") - F.col("root_time")).alias("diff")))
 
 
-def pair_bcast(events: DataFrame) -> DataFrame:
-    return _against_root(bcast_ordinals(events))
+def pair_bcast(events: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    return _against_root(bcast_ordinals(events, turns))
 
 
-def pair_reduce(events: DataFrame) -> DataFrame:
-    return _against_root(reduce_ordinals(events))
+def pair_reduce(events: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    return _against_root(reduce_ordinals(events, turns))
 
 
 def _late(diff: Column, prefix: str, later: bool) -> list[Column]:
@@ -129,16 +152,16 @@ def early_reducers(arrivals: DataFrame) -> DataFrame:
 
 # --- barriers -----------------------------------------------------------------
 
-def barrier_ordinals(events: DataFrame) -> DataFrame:
+def barrier_ordinals(events: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Position of every barrier row among its rank's barriers, all communicators mixed."""
-    rows = events.filter(fx.is_barrier()).select("run_id", *TIME_COLUMNS)
-    return number_rows(rows, ["run_id", "rank_recording"])
+    turns = calls_in_turn(events, (WAITING,)) if turns is None else turns
+    return turns.filter(F.col("kind") == WAITING).select("run_id", *TIME_COLUMNS, "ordinal")
 
 
-def barrier_spreads(events: DataFrame, runs: DataFrame) -> DataFrame:
+def barrier_spreads(events: DataFrame, runs: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Arrival spread of the k-th barrier; only barriers that every rank of the run reached."""
     size = runs.select("run_id", "total_ranks")
-    return (barrier_ordinals(events)
+    return (barrier_ordinals(events, turns)
             .join(size, "run_id").filter(F.col("rank_recording").between(0, F.col("total_ranks") - 1))
             .groupBy("run_id", "ordinal", "total_ranks")
             .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("t_min"), F.max("time").alias("t_max"))

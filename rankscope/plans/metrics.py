@@ -28,8 +28,8 @@ class Trace:
     however many of its sections need them; ``release`` drops them.
     """
 
-    def __init__(self, events: DataFrame, runs: DataFrame, share: bool = False, **options):
-        self.events, self.runs, self.share, self.options = events, runs, share, options
+    def __init__(self, events: DataFrame, runs: DataFrame, share: bool = False):
+        self.events, self.runs, self.share = events, runs, share
         self._tables: dict[str, DataFrame] = {}
         self._persisted: list[str] = []
 
@@ -79,8 +79,12 @@ class Trace:
 
     @property
     def spreads(self) -> DataFrame:
-        return self.kept("spreads", lambda: pairing.barrier_spreads(
-            self.events, self.runs, **self.options))
+        return self.kept("spreads", lambda: pairing.barrier_spreads(self.events, self.runs, self.turns))
+
+    @property
+    def turns(self) -> DataFrame | None:
+        """All calls that are matched by their turn, numbered once and written down, when the trace is shared."""
+        return self._get("turns", lambda: pairing.calls_in_turn(self.events)) if self.share else None
 
     def group(self, name: str) -> DataFrame:
         return self._get("group_" + name, lambda: getattr(self, "_" + name)())
@@ -105,13 +109,13 @@ class Trace:
         return pairing.spread_summary(self.spreads)
 
     def _p2p(self) -> DataFrame:
-        return pairing.p2p_lateness(pairing.pair_p2p(self.events, **self.options)).drop("pairs")
+        return pairing.p2p_lateness(pairing.pair_p2p(self.events, turns=self.turns)).drop("pairs")
 
     def _bcast(self) -> DataFrame:
-        return pairing.late_broadcasters(pairing.pair_bcast(self.events, **self.options))
+        return pairing.late_broadcasters(pairing.pair_bcast(self.events, self.turns))
 
     def _reduce(self) -> DataFrame:
-        return pairing.early_reducers(pairing.pair_reduce(self.events, **self.options))
+        return pairing.early_reducers(pairing.pair_reduce(self.events, self.turns))
 
     def metrics(self, groups=GROUPS) -> DataFrame:
         """One row per run with the requested groups and the ratios they allow."""

@@ -174,7 +174,7 @@ def test_pieces_stay_even_with_a_bad_anchor_a_burst_and_equal_times(spark):
     for name, case in cases.items():
         ev = case.selectExpr("'r' as run_id", "0 as rank_recording", "0 as section_pos", "0 as rec_kind", "event_id as rec_pos", "0 as part",
                              "event_id", "epoch_ns", "epoch_ns / 1e9 as time")
-        sizes = [r["count"] for r in ordinal.ranged(ev.repartition(8), ["run_id"], S.timeline_order()).groupBy("piece").count().collect()]
+        sizes = [r["count"] for r in ordinal.ranged(ev.repartition(8), ["run_id"], S.timeline_order()).groupBy("_piece").count().collect()]
         assert len(sizes) > 4 and max(sizes) <= 2 * sum(sizes) / len(sizes), (name, sizes)
         numbered = ordinal.number_rows(ev, ["run_id"])
         assert numbered.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first()[:] == (40_000, 0, 39_999)

@@ -1,5 +1,7 @@
 """Trace files: both versions, compression, damage and splitting."""
 
+import gzip
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -163,3 +165,126 @@ def test_records_through_the_data_source(spark, tmp_path, kind):
     direct = spark.read.format("trace").option("table", kind).load(path)
     by_ranges = TF.read_small(spark, path) if kind == "small" else TF.read_large(spark, path)
     assert direct.schema == by_ranges.schema and sorted(map(str, direct.collect())) == sorted(map(str, by_ranges.collect()))
+
+
+# --- members of compressed files ----------------------------------------------
+
+def packed_in_members(path, data, size):
+    path.write_bytes(b"".join(gzip.compress(data[i:i + size]) for i in range(0, len(data), size)))
+    return str(path)
+
+
+@pytest.fixture
+def long_trace():
+    smalls = [[small(i / 100, i, 13, r, 0, i, 4 * i, tag=r) for i in range(3000)] for r in range(3)]
+    larges = [[large(i / 7, i, 23, (r, 1, i, 4, 7), (1, r, i, 4, 8)) for i in range(500)] for r in range(3)]
+    return header(3) + b"".join(section(r, smalls[r], larges[r]) for r in range(3))
+
+
+def test_members_are_read_by_several_tasks(spark, tmp_path, monkeypatch, long_trace):
+    monkeypatch.setattr(TF, "MEMBER_SCAN", 5000)
+    monkeypatch.setattr(TF, "RANGE_RECORDS", 256)
+    path, plain = packed_in_members(tmp_path / "m.gz", long_trace, 20_000), write(tmp_path / "m.trace", long_trace)
+    members = TF.read_members(spark, path).orderBy("start").collect()
+    assert len(members) == -(-len(long_trace) // 20_000) and members[0].start == 0
+    assert [m.plain_start for m in members] == [20_000 * i for i in range(len(members))] and sum(m.plain_size for m in members) == len(long_trace)
+    for read in (TF.read_small, TF.read_large):
+        got, want = read(spark, path, "FAILFAST"), read(spark, plain, "FAILFAST").withColumn("run_id", F.lit("m.gz"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert got.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+
+
+def test_one_member_stays_one_task(spark, tmp_path, long_trace):
+    path = write(tmp_path / "one.gz", long_trace, packed=True)
+    assert TF.read_members(spark, path).count() == 1
+    got = TF.read_small(spark, path)
+    assert got.count() == 9000 and got.withColumn("task", F.spark_partition_id()).select("task").distinct().count() == 1
+
+
+def test_a_gzip_file_inside_a_member_is_no_member(spark, tmp_path):
+    inner = gzip.compress(b"x" * 50)
+    data = b"".join(gzip.compress(part, compresslevel=0) for part in (b"a" * 100 + inner + b"b", inner, b"end"))
+    (tmp_path / "n.gz").write_bytes(data)
+    found = TF.read_members(spark, str(tmp_path / "n.gz")).orderBy("start").collect()
+    assert [m.plain_size for m in found] == [101 + len(inner), len(inner), 3]
+
+
+@pytest.mark.parametrize("cut", [10, 20_000])
+def test_damaged_compressed_files_are_salvaged(spark, tmp_path, long_trace, cut):
+    path = packed_in_members(tmp_path / "d.gz", long_trace[:-cut], 30_000)
+    assert TF.salvage_report(spark, path).first().sections_recovered == 2
+    assert TF.read_small(spark, path).count() == 6000
+    with pytest.raises(Exception):
+        TF.read_small(spark, path, "FAILFAST").count()
+
+
+def test_an_empty_compressed_file_is_unreadable(spark, tmp_path):
+    (tmp_path / "e.gz").write_bytes(b"")
+    write(tmp_path / "good.trace", header(2), *two_ranks())
+    assert rows(TF.salvage_report(spark, str(tmp_path)), "run_id", "status") == [("e.gz", "unreadable")]
+
+
+# --- salvage of many labels ---------------------------------------------------
+
+def test_many_false_labels(spark, tmp_path, monkeypatch):
+    """Labels that do not fit are passed over; labels that fit inside a kept section are no sections."""
+    monkeypatch.setattr(TF, "SCAN_BYTES", 1 << 20)
+    fake = section(7, [])
+    inside = (fake * 100_000)[:-(len(fake) * 200_000 % 40) or None]
+    label = b"P2P Small Type Messages\0" + b"\xff\xff\xff\x7f"
+    first = section(0, [inside[i:i + 40] for i in range(0, len(inside), 40)])
+    path = write(tmp_path / "f.trace", header(2), b"\x01" + first + label * 200_000 + section(1, [small(0, 1, 13, 1, 0)]))
+    found = TF.read_sections(spark, path).orderBy("section_pos").collect()
+    assert [(s.rank, s.section_pos, s.n_small) for s in found] == [(0, 0, len(inside) // 40), (1, 1, 1)]
+
+
+# --- writing ------------------------------------------------------------------
+
+def tables_of(spark, path):
+    anchors = TF._load(spark, path, "anchors").drop("total_ranks")
+    return {"runs": TF.read_runs(spark, path), "processes": TF.read_processes(spark, path), "anchors": anchors,
+            "small": TF.read_small(spark, path), "large": TF.read_large(spark, path)}
+
+
+@pytest.mark.parametrize("options", [{}, {"compressed": True, "member_bytes": 700}])
+def test_written_files_are_the_files_read(spark, tmp_path, good, options):
+    (tmp_path / "t" / "b.trace.gz").unlink()
+    out = tmp_path / "out"
+    TF.write_trace(path=str(out), **tables_of(spark, good), **options)
+    names = sorted(p.name for p in out.iterdir())
+    assert names == ([f"{n}.trace.gz" for n in "ac"] if options else ["a.trace", "c.trace"])
+    for name in names:
+        data = (out / name).read_bytes()
+        want = (tmp_path / "t" / name.removesuffix(".gz")).read_bytes()
+        plain = gzip.decompress(data) if options else data
+        assert plain == (want if name.startswith("a") else want[:68] + b"unknown" + want[75:-100])
+    assert not options or TF.read_members(spark, str(out)).count() > 4
+
+
+def test_ranks_without_records_get_empty_sections(spark, tmp_path, good):
+    tables = tables_of(spark, f"{good}/a.trace")
+    tables["small"] = tables["small"].filter("rank_recording = 1")
+    tables["large"] = tables["large"].limit(0)
+    TF.write_trace(path=str(tmp_path / "out"), **tables)
+    assert rows(TF.read_sections(spark, str(tmp_path / "out"), "FAILFAST"), "rank", "n_small", "n_large") == [(0, 0, 0), (1, 3, 0)]
+
+
+WRONG = {
+    "a rank too many": lambda t: t | {"small": t["small"].withColumn("rank_recording", F.col("rank_recording") + 1)},
+    "no process of a rank": lambda t: t | {"processes": t["processes"].filter("rank = 0")},
+    "an anchor too many": lambda t: t | {"anchors": t["anchors"].unionByName(t["anchors"])},
+    "records without a run": lambda t: t | {"runs": t["runs"].limit(0)},
+    "two rows of a run": lambda t: t | {"runs": t["runs"].unionByName(t["runs"])},
+    "bytes beyond 32 bits": lambda t: t | {"small": t["small"].withColumn("bytes", F.lit(1 << 40))},
+    "a name too long": lambda t: t | {"runs": t["runs"].withColumn("program", F.lit("x" * 1024))},
+    "a null": lambda t: t | {"small": t["small"].withColumn("tag", F.when(F.col("event_id") == 1, F.col("tag")))},
+    "a hidden name": lambda t: {k: v.withColumn("run_id", F.lit(".a")) for k, v in t.items()},
+}
+
+
+@pytest.mark.parametrize("what", WRONG)
+def test_what_the_format_cannot_hold_leaves_no_file(spark, tmp_path, good, what):
+    out = tmp_path / "out"
+    with pytest.raises(Exception):
+        TF.write_trace(path=str(out), **WRONG[what](tables_of(spark, f"{good}/a.trace")))
+    assert not out.exists() or not list(out.iterdir())
