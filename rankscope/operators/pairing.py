@@ -179,18 +179,37 @@ def spread_summary(spreads: DataFrame) -> DataFrame:
 # --- communicators and requests -----------------------------------------------
 
 def translate_ranks(events: DataFrame, comm_members: DataFrame,
-                    ends: tuple[str, ...] = ("sender", "receiver")) -> DataFrame:
-    """World ranks for communicator ranks; negative and unknown ranks pass through."""
-    out = events
+                    ends: tuple[str, ...] = ("sender", "receiver"), peer: Column | None = None) -> DataFrame:
+    """World ranks for communicator ranks; negative and unknown ranks pass through.
+
+    ``comm_members`` has ``run_id``, ``comm``, ``comm_rank`` and ``world_rank``. An intercommunicator joins two groups that count their ranks apart; its members
+    also have a ``side``, 0 or 1, which is null elsewhere. The recording rank's own end of an event is then a rank of its
+    group, the other end one of the remote group. ``peer`` names the other end, by default the sender of a receive and else the receiver.
+    """
+    key = ["run_id", "comm"]
+    if "side" not in comm_members.columns:
+        out = events
+        for end in ends:
+            members = comm_members.select(*key, F.col("comm_rank").alias(end), "world_rank")
+            out = _translated(out.join(members, [*key, end], "left"), end)
+        return out.select(*events.columns)
+    peer = F.when(fx.is_recv_like(), F.lit("sender")).otherwise(F.lit("receiver")) if peer is None else peer
+    own = comm_members.filter(F.col("side").isNotNull()).select(*key, F.col("world_rank").alias("rank_recording"), F.col("side").alias("_own")) \
+        .dropDuplicates([*key, "rank_recording"])
+    out = events.withColumn("_peer", peer).join(own, [*key, "rank_recording"], "left")
     for end in ends:
-        members = comm_members.select("run_id", "comm", F.col("comm_rank").alias(end), "world_rank")
-        out = (out.join(members, ["run_id", "comm", end], "left")
-               .withColumn(end, F.when(F.col(end) < 0, F.col(end))
-                           .otherwise(F.coalesce("world_rank", end)))
-               .drop("world_rank"))
+        # Groups that are no part of an intercommunicator count as side -1 on both sides of the join.
+        wanted = F.coalesce(F.when(F.col("_peer") == end, 1 - F.col("_own")).otherwise(F.col("_own")), F.lit(-1))
+        members = comm_members.select(*key, F.col("comm_rank").alias(end), F.coalesce("side", F.lit(-1)).alias("_side"), "world_rank")
+        out = _translated(out.withColumn("_side", wanted).join(members, [*key, end, "_side"], "left").drop("_side"), end)
     return out.select(*events.columns)
 
 
+def _translated(joined: DataFrame, end: str) -> DataFrame:
+    rank = F.when(F.col(end) < 0, F.col(end)).otherwise(F.coalesce("world_rank", end))
+    return joined.withColumn(end, rank).drop("world_rank")
+
+
 def complete_requests(posted: DataFrame, completions: DataFrame, comm_members: DataFrame | None = None) -> DataFrame:
     """Transfer events of nonblocking requests, stamped with the time they completed.
 

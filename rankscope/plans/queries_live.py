@@ -213,6 +213,35 @@ with fe as (select epoch_us(ts) as us, [13, 18, 23, 26, 29][event_id % 5 + 1] as
                    cast(trunc(value * 100) as bigint) as bytes from events)"""
 
 
+def in_halves(spark: SparkSession, events: DataFrame, stream) -> DataFrame:
+    """What ``stream(source, where)`` has given when the older half, the newer half, and then a tenth of the older half have arrived."""
+    path, where = scratch(spark, "late"), scratch(spark, "late-run")
+    half = events.agg(F.expr("(min(epoch_ns) div 1000 + max(epoch_ns) div 1000) div 2")).first()[0]
+    older, delayed = F.expr(f"epoch_ns div 1000 < {half}"), F.col("event_id") % 10 == 0
+    out = None
+    for part in (events.filter(older & ~delayed), events.filter(~older), events.filter(older & delayed)):
+        part.write.mode("append").parquet(path)
+        out = stream(spark.readStream.schema(events.schema).parquet(path), where)
+    return out
+
+
+def arriving(spark: SparkSession, rows: DataFrame, at: str, stream, slices: int = 2, flush: DataFrame | None = None,
+             ticks: int = 1_000_000) -> DataFrame:
+    """What ``stream(source, where, lateness)`` has given after ``rows`` arrived in slices of their time ``at`` (in ``ticks`` of a second), shuffled, a tenth of
+    each slice with the next one; ``flush`` is a last row far behind them, with which the watermark passes all others."""
+    path, where = scratch(spark, "arriving"), scratch(spark, "arriving-run")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    width = (high - low) // slices + 1
+    number = F.floor((F.col(at) - low) / width) + (F.xxhash64(*rows.columns) % 10 == 0).cast("int")
+    out = None
+    for i in range(slices + 1):
+        rows.filter(number == i).orderBy(F.xxhash64(at)).write.mode("append").parquet(path)
+        if i == slices and flush is not None:
+            flush.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+        out = stream(spark.readStream.schema(rows.schema).parquet(path), where, f"{2 * width * 1000 // ticks + 1} milliseconds")
+    return out
+
+
 @query("st02_late_rows", FEED_SQL + """,
 f as (select epoch_us(ts) as us, event_id % 10 = 0 as delayed from events),
 b as (select (min(us) + max(us)) // 2 as half, max(us) as newest from f)
@@ -220,17 +249,24 @@ select us // 1000000 as second, count(*) as events from f, b
 where not (delayed and us < half and (us // 1000000 + 1) * 1000000 <= newest - 3000000) group by all""")
 def st02(spark, sf):
     """The older half, the newer half, then a tenth of the older half that comes too late for its windows."""
-    path, where = scratch(spark, "late"), scratch(spark, "late-run")
-    events = feed_events(table(spark, sf, "events"))
-    half = events.agg(F.expr("(min(epoch_ns) div 1000 + max(epoch_ns) div 1000) div 2")).first()[0]
-    older, delayed = F.expr(f"epoch_ns div 1000 < {half}"), F.col("event_id") % 10 == 0
-    out = None
-    for part in (events.filter(older & ~delayed), events.filter(~older), events.filter(older & delayed)):
-        part.write.mode("append").parquet(path)
-        seen = feed.with_lateness(spark.readStream.schema(events.schema).parquet(path))
-        counted = seen.groupBy(F.window("event_ts", "1 second").alias("poll")).agg(F.count(F.lit(1)).alias("events"))
-        out = feed.run_once(counted, "update", ["poll"], where)
-    return out.select(F.unix_seconds("poll.start").alias("second"), "events")
+    def counted(source, where):
+        polls = feed.with_lateness(source).groupBy(F.window("event_ts", "1 second").alias("poll")).agg(F.count(F.lit(1)).alias("events"))
+        return feed.run_once(polls, "update", ["poll"], where)
+
+    return in_halves(spark, feed_events(table(spark, sf, "events")), counted).select(F.unix_seconds("poll.start").alias("second"), "events")
+
+
+@query("st02_held_back", FEED_SQL.replace("event_id % 64 as receiver", "event_id % 64 as receiver, event_id % 10 = 0 as delayed, event_id") + """,
+b as (select (min(us) + max(us)) // 2 as half, max(us) as newest from fe)
+select event_id, sender as rank, us from fe, b
+where us <= newest // 1000 * 1000 - 2000000 and not (delayed and us < half and us <= newest // 1000 * 1000 - 5000000)""")
+def st02_held_back(spark, sf):
+    """Two seconds behind the newest event; what comes more than three seconds behind that moment is lost."""
+    def released(source, where):
+        return feed.run_once(stateful.held_back(source, ["rank_recording"]), "append", where=where)
+
+    return in_halves(spark, feed_events(table(spark, sf, "events")), released).select(
+        "event_id", F.col("rank_recording").alias("rank"), F.unix_micros("event_ts").alias("us"))
 
 
 def in_pieces(spark: SparkSession, sf: str, pieces: int = 3) -> DataFrame:
@@ -251,6 +287,16 @@ def st03(spark, sf):
     return out.select(F.unix_micros("frame.end").alias("frame_us"), "call_code", "sender", "receiver", "n")
 
 
+@query("st03_latest_activity", FEED_SQL.replace("event_id % 64 as receiver", "event_id % 64 as receiver, event_id") + """,
+w as (select *, unnest(range(us // 50000 + 1, us // 50000 + 11)) * 50000 as frame_us from fe),
+t as (select frame_us, unnest([sender, receiver]) as rank, code, us, event_id from w where code in (26, 29) or us >= frame_us - 50000)
+select frame_us, rank, arg_max(code, (us, event_id)) as call_code, max(us) as us from t group by all""")
+def st03_latest(spark, sf):
+    out = feed.run_once(feed.sliding_latest(in_pieces(spark, sf), "3650 days").drop("call", "category"), keys=["run_id", "frame", "rank"])
+    # A later trigger may have touched a frame with earlier rows only, never with less than it had: state keeps the latest.
+    return out.select(F.unix_micros("frame.end").alias("frame_us"), "rank", "call_code", F.unix_micros("event_ts").alias("us"))
+
+
 @query("st04_tumbling_summary", FEED_SQL + """
 select us // 1000000 as second, code as call_code, count(*) as events,
   count(*) filter (bytes > 0 and code in (13, 18, 23)) as canonical_events,
@@ -262,16 +308,19 @@ def st04(spark, sf):
 
 
 @query("st07_valid_producers", FEED_SQL + """
-select sender as rank, count(*) filter (sender % 9 <> 8) as kept, count(*) filter (sender % 9 = 8) as rejected from fe group by 1""")
+select sender as rank, count(*) filter (sender % 9 <> 8 and sender % 7 <> 5) as kept, count(*) filter (sender % 9 = 8 or sender % 7 = 5) as rejected,
+  case when sender % 7 = 5 then 'wrong subset rank' when sender % 9 = 8 then 'bad anchor' end as reason from fe group by sender""")
 def st07(spark, sf):
-    anchors = feed_events(table(spark, sf, "events")).select("run_id", F.col("rank_recording").alias("rank")).distinct() \
-        .withColumn("unix_time_zero_ns", F.when(F.col("rank") % 9 == 8, -1).otherwise(1).cast("long"))
-    live_events = feed_events(stream_of(spark, sf, "events"))
-    kept = feed.run_once(feed.valid_producers(live_events, anchors), "append")
-    lost = feed.run_once(feed.rejected_producers(live_events, anchors), "append")
-    return kept.withColumn("ok", F.lit(True)).unionByName(lost.withColumn("ok", F.lit(False))) \
+    """One pass; every ninth rank has no usable anchor, every seventh stands in another's slot."""
+    slots = feed_events(table(spark, sf, "events")).select("run_id", F.col("rank_recording").alias("rank")).distinct().withColumns({
+        "slot": F.col("rank"), "subset_rank": F.when(F.col("rank") % 7 == 5, F.col("rank") + 1).otherwise(F.col("rank")), "anchor_ready": F.lit(True),
+        "unix_time_zero_ns": F.when(F.col("rank") % 9 == 8, -1).otherwise(1).cast("long")})
+    where = scratch(spark, "routed")
+    feed.route_producers(feed_events(stream_of(spark, sf, "events")), slots, f"{where}/out", f"{where}/state").awaitTermination()
+    lost = feed.routed(spark, f"{where}/out", False).withColumn("ok", F.lit(False))
+    return feed.routed(spark, f"{where}/out", True).withColumns({"ok": F.lit(True), "reason": F.lit(None).cast("string")}).unionByName(lost) \
         .groupBy(F.col("rank_recording").alias("rank")) \
-        .agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"))
+        .agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("rejected"), F.max("reason").alias("reason"))
 
 
 @query("st08_retention", """
@@ -306,9 +355,27 @@ def w05(spark, sf):
 
 @query("st06_drop_accounting", COUNTERS_SQL)
 def st06(spark, sf):
-    counters = feed.in_time_order(drop_counters(table(spark, sf, "events")), [F.col("poll_ts"), F.col("dropped_total")])
-    out = feed.run_once(stateful.drop_deltas_stream(counters), "append")
-    return out.select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total")
+    """Polls arrive shuffled, some of them late."""
+    polls = drop_counters(table(spark, sf, "events")).withColumn("us", F.unix_micros("poll_ts"))
+    last = polls.limit(1).withColumns({"producer": F.lit(-1), "poll_ts": F.expr("timestamp'2100-01-01'"), "us": F.lit(0), "dropped_total": F.lit(0)})
+
+    def deltas(source, where, lateness):
+        return feed.run_once(stateful.drop_deltas_stream(source, lateness), "append", where=where)
+
+    return arriving(spark, polls, "us", deltas, flush=last).select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total")
+
+
+@query("st08_expired_days", """
+with d as (select cast(ts as date) as day, (select cast(max(ts) as date) from events) as today from events)
+select day, count(*) as n from d where day >= today - 2 group by day""")
+def st08_expired(spark, sf):
+    """What lies on disk after expiry: the days of the retention period and one of grace."""
+    where = scratch(spark, "daily")
+    feed.write_daily(feed_events(stream_of(spark, sf, "events")), f"{where}/out", f"{where}/state").awaitTermination()
+    newest = table(spark, sf, "events").agg(F.max("ts").alias("t")).first().t
+    feed.expire(spark, f"{where}/out", newest)
+    stored = spark.read.parquet(f"{where}/out")
+    return stored.groupBy(F.expr("date_add(date'1970-01-01', cast(epoch_ns div 86400000000000 as int))").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st01_live_ingest", EVENTS_SQL + """
@@ -321,6 +388,9 @@ def st01(spark, sf):
         F.min(F.unix_micros("event_ts")).alias("first_us"))
 
 
+TICKS = 1 << 21  # of a second; a power of two keeps the times exact, so that no two uses share an instant
+
+
 @query("st05_request_completion", EVENTS_SQL + """,
 po as (select rank_recording as rank, event_id % 31 as handle, call_code, tag, sender, receiver, bytes as cnt, call_code = 22 as is_recv,
          call_code = 22 and event_id % 3 = 0 as wild, (sender + 1) % 64 as src, case when event_id % 4 = 0 then -1 else bytes + 1 end as c
@@ -328,11 +398,15 @@ po as (select rank_recording as rank, event_id % 31 as handle, call_code, tag, s
 select rank as rank_recording, handle, call_code, tag, case when is_recv and wild then src else sender end as sender, receiver,
   case when is_recv and c >= 0 then c else cnt end as cnt from po""")
 def st05(spark, sf):
-    """Posts and completions stream from the stored trace; handles are reused once completed."""
+    """Posts and completions arrive shuffled, some of them late; handles are reused once completed."""
     distinct = F.col("epoch_ns") * 1000 + F.col("event_id") % 997
-    rows = feed.in_time_order(derive_trace(spark, sf).filter("call_code between 18 and 22"), [distinct])
-    posted = posted_requests(rows.withColumn("time", distinct.cast("double"))) \
-        .withColumn("handle", F.col("event_id") % 31)
-    out = feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), forget=False),
-                        "append")
-    return out.select("rank_recording", "handle", "call_code", "tag", "sender", "receiver", "cnt")
+    rows = derive_trace(spark, sf).filter("call_code between 18 and 22").select(
+        "run_id", "rank_recording", "event_id", "call_code", "comm", "tag", "sender", "receiver", "bytes", (distinct / float(TICKS)).alias("time"), distinct.alias("us"))
+    last = rows.limit(1).withColumns({"rank_recording": F.lit(-1), "time": F.lit(9e9), "us": F.lit(0)})
+
+    def completed(source, where, lateness):
+        posted = posted_requests(source).withColumn("handle", F.col("event_id") % 31)
+        return feed.run_once(stateful.complete_requests_stream(posted, request_completions(posted), lateness), "append", where=where)
+
+    return arriving(spark, rows, "us", completed, flush=last, ticks=TICKS).filter("rank_recording >= 0") \
+        .select("rank_recording", "handle", "call_code", "tag", "sender", "receiver", "cnt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankscope.operators import frames, pairing, phases, timeline, topk, topology, traffic
 from rankscope.plans.derived import RUN_ID, derive_trace, table
@@ -193,14 +193,26 @@ def comm_members(events: DataFrame) -> DataFrame:
         .selectExpr("run_id", "1 as comm", "comm_rank", "(comm_rank * 7 + 3) % 60 as world_rank")
 
 
+def two_groups(spark: SparkSession) -> DataFrame:
+    """Members of communicator 2, which joins the ranks below 32 with the others; each group counts from 0."""
+    return spark.range(64).selectExpr(
+        f"'{RUN_ID}' as run_id", "2 as comm", "cast(id % 32 as int) as comm_rank", "cast(if(id < 32, (id * 5 + 1) % 32, 32 + (id * 3 + 2) % 32) as int) as world_rank",
+        "cast(id div 32 as int) as side")
+
+
 @query("j10_translate_ranks", EVENTS_SQL + """,
-tr as (select comm, case when comm = 1 and sender < 60 then (sender * 7 + 3) % 60 else sender end as s,
-              case when comm = 1 and receiver < 60 then (receiver * 7 + 3) % 60 else receiver end as r from ev)
+cm as (select *, case when tag = 7 then 2 else comm end as c, call_code in (14, 22) as is_recv, rank_recording // 32 as own from ev),
+tr as (select c as comm, case when c = 1 and sender < 60 then (sender * 7 + 3) % 60 when c = 2 and sender < 32
+                then case when (own = 1) <> is_recv then 32 + (sender * 3 + 2) % 32 else (sender * 5 + 1) % 32 end else sender end as s,
+              case when c = 1 and receiver < 60 then (receiver * 7 + 3) % 60 when c = 2 and receiver < 32
+                then case when (own = 1) = is_recv then 32 + (receiver * 3 + 2) % 32 else (receiver * 5 + 1) % 32 end else receiver end as r from cm)
 select comm, s as sender, r as receiver, count(*) as n from tr group by all""")
 def j10(spark, sf):
-    ev = derive_trace(spark, sf).select("run_id", "comm", "sender", "receiver")
-    return pairing.translate_ranks(ev, comm_members(ev)).groupBy("comm", "sender", "receiver") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Communicator 1 is one rotated group; transfers of tag 7 go through an intercommunicator."""
+    ev = derive_trace(spark, sf).select("run_id", F.when(F.col("tag") == 7, 2).otherwise(F.col("comm")).alias("comm"), "sender", "receiver",
+                                        "rank_recording", "call_code")
+    members = comm_members(ev).withColumn("side", F.lit(None).cast("int")).unionByName(two_groups(spark))
+    return pairing.translate_ranks(ev, members).groupBy("comm", "sender", "receiver").agg(F.count(F.lit(1)).alias("n"))
 
 
 def posted_requests(events: DataFrame) -> DataFrame:
@@ -221,17 +233,16 @@ def request_completions(posted: DataFrame) -> DataFrame:
 po as (select rank_recording as rank, event_id % 997 as handle, time + (event_id % 1000) * 1e-12::double as t, call_code, comm, tag,
          sender, receiver, bytes as cnt, call_code = 22 as is_recv, call_code = 22 and event_id % 3 = 0 as wild, event_id
        from ev where call_code between 18 and 22),
-co as (select rank, handle, t + 1e-6::double as t, (sender + 1) % 64 as src, case when event_id % 4 = 0 then -1 else cnt + 1 end as c,
-         event_id % 11 = 0 as cancelled from po where event_id % 7 <> 3 or event_id % 5 <> 1),
-uses as (select rank, handle, t, false as done from po union all select rank, handle, t, true from co),
-turns as (select *, lag(t) over w as before, lag(done) over w as after_done from uses window w as (partition by rank, handle order by t, done)),
-own as (select rank, handle, before as posted_t, t from turns where done and not after_done),
-p as (select po.*, own.t as done_t from po join own on po.rank = own.rank and po.handle = own.handle and po.t = own.posted_t),
-q as (select *, t as done_t from co)
-select p.rank as rank_recording, handle, p.call_code, p.tag, case when is_recv and wild then src else sender end as sender, receiver,
-  case when is_recv and c >= 0 then c else p.cnt end as cnt,
-  least(4 * case when is_recv and c >= 0 then c else p.cnt end, 2147483647) as bytes
-from p join q using (rank, handle, done_t) where not cancelled""")
+uses as (select rank, handle, t, false as done, call_code, tag, sender, receiver, cnt, is_recv, wild, null::bigint as src, null::bigint as c, false as cancelled from po
+         union all
+         select rank, handle, t + 1e-6::double, true, null, null, null, null, null, null, null, (sender + 1) % 64,
+                case when event_id % 4 = 0 then -1 else cnt + 1 end, event_id % 11 = 0 from po where event_id % 7 <> 3 or event_id % 5 <> 1),
+turns as (select rank, handle, done, src, c, cancelled, lag({'done': done, 'call_code': call_code, 'tag': tag, 'sender': sender, 'receiver': receiver, 'cnt': cnt,
+                 'is_recv': is_recv, 'wild': wild}) over (partition by rank, handle order by t, done) as p from uses)
+select rank as rank_recording, handle, p.call_code as call_code, p.tag as tag, case when p.is_recv and p.wild then src else p.sender end as sender, p.receiver as receiver,
+  case when p.is_recv and c >= 0 then c else p.cnt end as cnt,
+  least(4 * case when p.is_recv and c >= 0 then c else p.cnt end, 2147483647) as bytes
+from turns where done and not p.done and not cancelled""")
 def j11(spark, sf):
     posted = posted_requests(derive_trace(spark, sf))
     return pairing.complete_requests(posted, request_completions(posted)).select(

@@ -140,54 +140,118 @@ def test_a_window_over_several_triggers_gives_one_row(spark, tmp_path):
     assert rows(out, "call", "events") == [("MPI_SEND", 4)]
 
 
+USE = ("run_id string, rank int, handle long, t double, call_code int, comm int, tag int, sender int, receiver int, "
+       "cnt long, type_size int, is_recv boolean, wildcard boolean, done boolean, status_source int, status_count long, cancelled boolean")
+
+
+def completed_after(spark, path, batches, lateness="3 seconds"):
+    """Requests completed when each batch has arrived, with a last use far behind that lets the watermark pass all."""
+    out, where = None, str(path / "run")
+    for batch in [*batches, [("r", -1, 0, 9e6, *[None] * 9, False, None, None, None)]]:
+        spark.createDataFrame(batch, USE).write.mode("append").parquet(str(path / "rows"))
+        src = spark.readStream.schema(USE).parquet(str(path / "rows"))
+        out = feed.run_once(stateful.complete_requests_stream(src.filter("not done"), src.filter("done"), lateness), "append", where=where)
+    return rows(out, "handle", "posted_time", "local_time", "sender", "receiver", "cnt", "bytes")
+
+
 def test_request_state_spans_triggers(spark, tmp_path):
-    import os
-    ddl = ("run_id string, rank int, handle long, t double, call_code int, comm int, tag int, sender int, receiver int, "
-           "cnt long, type_size int, is_recv boolean, wildcard boolean, done boolean, status_source int, status_count long, "
-           "cancelled boolean")
     post = ("r", 1, 7, 1.0, 22, 0, 5, -1, 1, 10, 4, True, True, False, None, None, None)
     done = ("r", 1, 7, 2.0, None, None, None, None, None, None, None, None, None, True, 3, 6, False)
-    lost = ("r", 1, 8, 2.0, None, None, None, None, None, None, None, None, None, True, 3, 6, False)
-    where = tmp_path / "rows"
-    where.mkdir()
+    lost = ("r", 1, 8, 2.0, *done[4:])
     # The completion of handle 9 comes a trigger before its post, and handle 7 has an abandoned post first.
-    abandoned, early = ("r", 1, 7, 0.5, *post[4:]), ("r", 1, 9, 2.0, *done[4:])
-    behind = ("r", 1, 9, 1.5, *post[4:])
-    for i, batch in enumerate(([abandoned, post, early], [done, lost, behind])):
-        spark.createDataFrame(batch, ddl).coalesce(1).write.json(str(tmp_path / f"b{i}"))
-        part = next(p for p in (tmp_path / f"b{i}").iterdir() if p.name.startswith("part"))
-        target = where / f"{i}.json"
-        target.write_bytes(part.read_bytes())
-        os.utime(target, (1_000_000 + i, 1_000_000 + i))
-    src = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(where))
-    out = feed.run_once(stateful.complete_requests_stream(src.filter("not done"), src.filter("done"), forget=False), "append")
-    assert rows(out, "handle", "posted_time", "local_time", "sender", "receiver", "cnt", "bytes") == [(7, 1.0, 2.0, 3, 1, 6, 24), (9, 1.5, 2.0, 3, 1, 6, 24)]
-
-
-def test_drop_accounting_takes_slices_in_time_order(spark, sf_dir, monkeypatch):
-    """Many triggers in turn, none with the whole table, give what one window over the table gives."""
+    abandoned, early, behind = ("r", 1, 7, 0.5, *post[4:]), ("r", 1, 9, 2.0, *done[4:]), ("r", 1, 9, 1.5, *post[4:])
+    got = completed_after(spark, tmp_path, ([abandoned, early, post], [done, lost, behind]))
+    assert got == [(7, 1.0, 2.0, 3, 1, 6, 24), (9, 1.5, 2.0, 3, 1, 6, 24)]
+
+
+def test_requests_complete_whatever_the_arrival(spark, tmp_path):
+    """Reused handles whose uses arrive shuffled over several triggers, within the lateness."""
+    import random
+    rng, uses, want = random.Random(6), [], []
+    for i in range(60):
+        t = i * 0.5
+        post = ("r", 1, i % 3, t, 18, 0, 5, 2, 1, i, 4, False, False, False, None, None, None)
+        uses.append((t, post))
+        if i % 7 != 6:
+            uses.append((t + 0.25, ("r", 1, i % 3, t + 0.25, *[None] * 9, True, 3, 6, i % 10 == 9)))
+            if i % 10 != 9:
+                want.append((i % 3, t, t + 0.25, 2, 1, i, 4 * i))
+    batches = [[], [], []]
+    for t, use in uses:
+        batches[min(2, int(t // 10 + rng.choice([0, 0, 1])))].append(use)
+    for b in batches:
+        rng.shuffle(b)
+    assert completed_after(spark, tmp_path, batches, "25 seconds") == sorted(want, key=str)
+
+
+def test_late_uses_are_lost(spark, tmp_path):
+    post = ("r", 1, 7, 1.0, 22, 0, 5, -1, 1, 10, 4, True, True, False, None, None, None)
+    done = ("r", 1, 7, 2.0, *[None] * 9, True, 3, 6, False)
+    newer = ("r", 2, 7, 50.0, *post[4:])
+    assert completed_after(spark, tmp_path, ([post, newer], [done])) == []
+
+
+def test_drop_accounting_whatever_the_arrival(spark, sf_dir):
     from rankscope.plans import queries_live as q
     counters = q.drop_counters(q.table(spark, sf_dir, "events"))
-    n = counters.count()
-    monkeypatch.setattr(feed, "SLICE_ROWS", n // 4 + 1)
-    seen, inner = [], stateful.drop_deltas_stream
-    monkeypatch.setattr(stateful, "drop_deltas_stream", lambda s: seen.append(s) or inner(s))
     want = rows(stateful.drop_deltas(counters).select("producer", F.unix_micros("poll_ts").alias("us"), "delta", "dropped_total"),
                 "producer", "us", "delta", "dropped_total")
     assert rows(q.st06(spark, sf_dir), "producer", "us", "delta", "dropped_total") == want
-    sizes = []
-    query = seen[0].writeStream.foreachBatch(lambda b, _: sizes.append(b.agg(F.count("*"), F.min("poll_ts"), F.max("poll_ts")).first())) \
-        .trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert len(sizes) == 4 and max(s[0] for s in sizes) < n / 2 and all(a[2] <= b[1] for a, b in zip(sizes, sizes[1:]))
-
-
-def test_requests_complete_across_slices(spark, sf_dir, monkeypatch):
-    import __spark_entry__ as entry
-    duckdb = pytest.importorskip("duckdb")
-    monkeypatch.setattr(feed, "SLICE_ROWS", 3000)
-    db = duckdb.connect()
-    for name in ("lineitem", "orders"):
-        db.execute(f"create view {name} as from read_parquet('{sf_dir}/{name}.parquet')")
-    want = sorted(db.execute(entry.oracle_sql()["st05_request_completion"]).fetchall())
-    assert sorted(tuple(r) for r in entry.queries()["st05_request_completion"](spark, sf_dir).collect()) == want
+
+
+def feed_rows(spark, rows):
+    """Events of ``(event_id, rank, seconds)``."""
+    made = [("f", r, e, 13, r, (r + 1) % 3, 1, 8, 1, False, int(t * 1e9)) for e, r, t in rows]
+    return store.with_event_ts(spark.createDataFrame(made, "run_id string, rank_recording int, event_id long, call_code int, sender int, receiver int, part int, "
+                                                            "bytes long, cnt long, synthetic_empty boolean, epoch_ns long"))
+
+
+def test_events_are_held_back_and_released_in_order(spark, tmp_path):
+    """Released once the newest event is 2 s later; 4 s late is released at once, 6 s late is lost."""
+    where, path, seen = str(tmp_path / "run"), str(tmp_path / "rows"), []
+    for batch in ([(1, 0, 10.0), (2, 0, 9.0), (3, 0, 11.9)], [(4, 0, 13.0), (5, 1, 15.0), (6, 0, 12.5)], [(7, 0, 11.0), (8, 0, 9.0), (9, 0, 20.0)]):
+        feed_rows(spark, batch).write.mode("append").parquet(path)
+        src = spark.readStream.schema(feed_rows(spark, []).schema).parquet(path)
+        out = feed.run_once(stateful.held_back(src, ["rank_recording"]), "append", where=where)
+        seen.append(sorted(r.event_id for r in out.collect()))
+    assert seen == [[2], [1, 2, 3, 4, 6], [1, 2, 3, 4, 5, 6, 7]]
+
+
+def test_latest_activity_of_a_frame(spark, tmp_path):
+    feed_rows(spark, [(1, 0, 10.01), (2, 1, 10.02), (3, 0, 10.07)]).write.parquet(str(tmp_path / "rows"))
+    src = spark.readStream.schema(feed_rows(spark, []).schema).parquet(str(tmp_path / "rows"))
+    out = feed.run_once(feed.sliding_latest(src, "1 day"), keys=["run_id", "frame", "rank"])
+    got = {(r.ms, r["rank"]): r.us for r in out.select(F.unix_millis("frame.end").alias("ms"), "rank", F.unix_micros("event_ts").alias("us")).collect()}
+    assert got == {(10050, 0): 10_010_000, (10050, 1): 10_020_000, (10050, 2): 10_020_000, (10100, 0): 10_070_000, (10100, 1): 10_070_000}
+
+
+def test_producers_are_routed_in_one_pass_and_a_batch_may_be_repeated(spark, tmp_path):
+    slots = spark.createDataFrame([("f", 0, 0, 0, True, 5), ("f", 1, 1, 0, True, 5), ("f", 2, 2, 2, False, 5), ("f", -1, 3, 3, True, 5), ("f", 4, 4, 4, True, 0),
+                                   ("f", 0, 9, 8, True, 5)], "run_id string, rank int, slot int, subset_rank int, anchor_ready boolean, unix_time_zero_ns long")
+    feed_rows(spark, [(e, e % 6, float(e)) for e in range(12)]).write.parquet(str(tmp_path / "rows"))
+    reads = []
+    for state in ("one", "two"):  # the second run starts anew and writes batch 0 again
+        src = spark.readStream.schema(feed_rows(spark, []).schema).parquet(str(tmp_path / "rows"))
+        query = feed.route_producers(src, slots, str(tmp_path / "out"), str(tmp_path / state))
+        query.awaitTermination()
+        reads.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert reads == [12, 12]
+    assert rows(feed.routed(spark, str(tmp_path / "out"), True), "event_id") == [(0,), (6,)]
+    assert rows(feed.routed(spark, str(tmp_path / "out"), False).filter("event_id < 6"), "event_id", "reason") == [
+        (1, "wrong subset rank"), (2, "anchor not set"), (3, "unknown"), (4, "bad anchor"), (5, "unknown")]
+    assert rows(feed.producer_verdicts(slots).filter("rank_recording < 0"), "reason") == [("bad world rank",)]
+
+
+def test_expired_days_are_removed(spark, tmp_path):
+    from datetime import datetime
+    day = 24 * 3600.0
+    path = str(tmp_path / "daily")
+    feed_rows(spark, [(e, 0, e * day + 60) for e in range(6)]).withColumn("day", F.to_date("event_ts")).write.partitionBy("day").parquet(path)
+    (tmp_path / "daily" / "notes").mkdir()
+    now = datetime(1970, 1, 6, 12)
+    open_read = feed.retained(spark.read.parquet(path), now)
+    before = {p.name: sorted(x.stat().st_mtime_ns for x in p.iterdir()) for p in (tmp_path / "daily").iterdir() if p.is_dir()}
+    assert feed.expire(spark, path, now) == ["1970-01-01", "1970-01-02", "1970-01-03"] and feed.expire(spark, path, now) == []
+    after = {p.name: sorted(x.stat().st_mtime_ns for x in p.iterdir()) for p in (tmp_path / "daily").iterdir() if p.is_dir()}
+    assert after == {k: v for k, v in before.items() if k not in ("day=1970-01-01", "day=1970-01-02", "day=1970-01-03")}
+    assert open_read.count() == 1 and feed.expire(spark, str(tmp_path / "none"), now) == []
