@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from rankscope.llm import words as W
 
-CACHED = 300_000  # words whose ids a worker remembers
-JOINED = 2_000    # words encoded in one call
+CACHED = 1_500_000  # words whose ids a worker remembers, about 30 bytes each
+JOINED = 1_000      # words encoded in one call
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -33,35 +33,49 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.prints = np.empty(0, np.uint64)  # of known words, sorted
+        self.known = np.empty(0, np.int32)    # their places in begins
         self.ids = np.empty(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 16, np.int64)  # of the ids of each known word, one more at the end
 
-    def _learn(self, prints: list[int], words: list[str]) -> None:
-        for at in range(0, len(words), JOINED):
-            part = words[at:at + JOINED]
-            places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            word = np.searchsorted(places, np.array([a for a, _ in coded.offsets], np.int64), "right") - 1
-            n = len(self.known)
-            used = int(self.begins[n])
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of words, entered behind those of the known ones; the words are joined by blanks and encoded many at a time."""
+        sizes = ends - starts
+        places = np.concatenate([[0], np.cumsum(sizes + 1)])
+        joined = np.full(places[-1], 0x20, np.uint8)
+        within = np.arange(places[-1] - len(starts)) - np.repeat(places[:-1] - np.arange(len(starts)), sizes)
+        joined[np.repeat(places[:-1], sizes) + within] = data[np.repeat(starts, sizes) + within]
+        letters = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])  # characters before each byte
+        count = len(self.known)
+        self.begins = _room(self.begins, count + len(starts) + 1)
+        for at in range(0, len(starts), JOINED):
+            n = min(JOINED, len(starts) - at)
+            coded = self.tokenizer.encode(joined[places[at]:places[at + n]].tobytes().decode(), add_special_tokens=False)
+            firsts = letters[places[at:at + n]] - letters[places[at]]
+            word = np.searchsorted(firsts, np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded)), "right") - 1
+            used = int(self.begins[count + at])
             self.ids = _room(self.ids, used + len(word))
             self.ids[used:used + len(word)] = coded.ids
-            self.begins = _room(self.begins, n + len(part) + 1)
-            self.begins[n:n + len(part) + 1] = used + np.searchsorted(word, np.arange(len(part) + 1))
-            self.known.update(zip(prints[at:at + len(part)], range(n, n + len(part))))
+            self.begins[count + at:count + at + n + 1] = used + np.searchsorted(word, np.arange(n + 1))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the place where each row begins (one more at the end)."""
         data, offsets = W.texts(column)
         starts, ends, first = W.spans(data, offsets, W.SPACES)
         prints, at, which = np.unique(W.fingerprints(data, starts, ends), return_index=True, return_inverse=True)
-        keys = prints.tolist()
         if len(self.known) > CACHED:
             self._forget()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        self._learn([keys[i] for i in new], [bytes(data[starts[at[i]]:ends[at[i]]]).decode() for i in new])
-        known = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        place = np.searchsorted(self.prints, prints)
+        met = np.zeros(len(prints), bool)
+        if len(self.prints):
+            met = self.prints[np.minimum(place, len(self.prints) - 1)] == prints
+        new = np.flatnonzero(~met)
+        self._learn(data, starts[at[new]], ends[at[new]])
+        known = np.empty(len(prints), np.int64)
+        known[met] = self.known[place[met]]
+        known[new] = len(self.known) + np.arange(len(new))
+        self.prints = np.insert(self.prints, place[new], prints[new])
+        self.known = np.insert(self.known, place[new], known[new].astype(np.int32))
         begin, lengths = self.begins[known], self.begins[known + 1] - self.begins[known]
         per_word = lengths[which]
         until = np.concatenate([[0], np.cumsum(per_word)])
