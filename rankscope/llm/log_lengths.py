@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankscope.llm import words as W
+from rankscope.llm.stage import written
 from rankscope.llm.tokens import encoder
 
 SPAN = 1024  # lengths whose running sums one window task makes
@@ -28,8 +29,8 @@ def log_length_histogram(logs: DataFrame, tokenizer: str = "word_bpe_49k.json")
             lengths, n = np.unique(np.diff(begins), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64()), pa.array(n, pa.int64())], ["length", "n"])
 
-    counts = (logs.select("log").mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_logs"))
-              .withColumn("n_tokens", F.col("length") * F.col("n_logs")).withColumn("span", F.expr(f"length div {SPAN}")))
+    counted = written(logs.select("log").mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_logs")), "lengths")
+    counts = (counted.withColumn("n_tokens", F.col("length") * F.col("n_logs")).withColumn("span", F.expr(f"length div {SPAN}")))
     later = Window.orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per SPAN lengths
     spans = (counts.groupBy("span").agg(F.sum("n_logs").alias("l"), F.sum("n_tokens").alias("t"))
              .select("span", F.coalesce(F.sum("l").over(later), F.lit(0)).alias("logs_after"),
