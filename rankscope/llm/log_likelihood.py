@@ -224,7 +224,7 @@ def _scores_by_slices(blocks: DataFrame, total: int, slices: int, parts: DataFra
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(rate, "row long, score double")
 
 
-def score_likelihood(logs: DataFrame) -> DataFrame:
+def score_likelihood(logs: DataFrame, keep_log: bool = True) -> DataFrame:
     """Log10 probability of every log, by a model of the logs of ``learned_from``.
 
     ``logs`` has ``log_id`` and ``log`` string; null is empty. Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end.
@@ -234,20 +234,22 @@ def score_likelihood(logs: DataFrame) -> DataFrame:
     read from it, each token has (1 - ``BIGRAM_SHARE``) of its smoothed share and ``BIGRAM_SHARE`` of its share after the token before it. The filter holds every
     n-gram and grows with them. Above ``SHARED_SLICES`` its slices stay where they are and lookups are joined with them; what is read is the same.
 
-    Returns the columns of ``logs`` with ``held_out``, ``n_tokens``, ``n_known`` (c > 0), ``train_tokens`` (N), ``base_score`` and ``score``. Every row is scored on its own; repeated
+    Returns the columns of ``logs`` (without ``log`` unless ``keep_log``) with ``held_out``, ``n_tokens``, ``n_known`` (c > 0), ``train_tokens`` (N), ``base_score`` and ``score``. Every row is scored on its own; repeated
     rows count as often as they stand there. Nothing to learn from gives N = V = 0 and all shares 1. No rows give no rows. Columns named like a result are replaced.
     """
     spark = logs.sparkSession
     counts = written(ngram_counts(logs.filter(learned_from(F.col("log_id")))), "counts")
     words = counts.filter("n = 1")
-    sizes = words.groupBy(F.least("times", F.lit(1 << 16)).alias("times")).agg(F.count(F.lit(1)).alias("v"), F.sum("times").alias("total")).collect()
+    # Tokens by range of their counts, 16 to a doubling: about a thousand rows whatever the input.
+    sizes = words.groupBy(F.floor(F.log2("times") * 16).alias("range")).agg(
+        F.min("times").alias("least"), F.count(F.lit(1)).alias("v"), F.sum("times").alias("total")).collect()
     n_all, v_all = sum(r["total"] for r in sizes), sum(r["v"] for r in sizes)
-    least, held = (1 << 16), 0
-    for times, v, _ in sorted(map(tuple, sizes), reverse=True):
-        held += v
+    least, held = (1 << 63) - 1, 0  # with more than HEAD tokens in the highest range, workers hold none
+    for r in sorted(sizes, key=lambda r: -r["least"]):
+        held += r["v"]
         if held > HEAD:
             break
-        least = times
+        least = r["least"]
     head = words.filter(F.col("times") >= least).select("gram", "times").toArrow()
     order = np.argsort(head.column("gram").to_numpy().view(np.uint64))
     frequent = head.column("gram").to_numpy().view(np.uint64)[order], head.column("times").to_numpy()[order]
@@ -255,7 +257,8 @@ def score_likelihood(logs: DataFrame) -> DataFrame:
     split = slices > SHARED_SLICES
     shared = spark.sparkContext.broadcast((*frequent, None if split else _held(slices, parts)))
     total = n_all + v_all + 1
-    kept = carried(logs, [*RESULTS, "row", "block", "rest"])
+    kept = [c for c in carried(logs, [*RESULTS, "row", "block", "rest"]) if keep_log or c != "log"]
+    stored = list(dict.fromkeys([*kept, "log"])) if split else kept  # slices are looked up with the texts at hand
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -274,15 +277,15 @@ def score_likelihood(logs: DataFrame) -> DataFrame:
             score = pa.nulls(batch.num_rows, pa.float64()) if model is None else \
                 pa.array(np.add.reduceat(_smoothed(tokens, first, total, model.counts), first[:-1]))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in kept], pa.array(row + np.arange(batch.num_rows)), pa.array(np.full(batch.num_rows, row)), pa.array(np.diff(first), pa.int64()),
+                [*[batch.column(k) for k in stored], pa.array(row + np.arange(batch.num_rows)), pa.array(np.full(batch.num_rows, row)), pa.array(np.diff(first), pa.int64()),
                  pa.array(np.add.reduceat(c > 0, first[:-1], dtype=np.int64)), pa.array(np.add.reduceat(np.log10(c + 1.0), first[:-1])),
                  score, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rest, pa.int64()))],
-                [*kept, "row", "block", "n_tokens", "known", "part", "score", "rest"])
+                [*stored, "row", "block", "n_tokens", "known", "part", "score", "rest"])
             row += batch.num_rows
 
     fields = [("row", T.LongType()), ("block", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("part", T.DoubleType()), ("score", T.DoubleType()),
               ("rest", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*[logs.schema[k] for k in kept], *[T.StructField(k, t) for k, t in fields]])
+    schema = T.StructType([*[logs.schema[k] for k in stored], *[T.StructField(k, t) for k, t in fields]])
     scored = written(logs.select(*dict.fromkeys([*kept, "log"])).mapInArrow(run, schema), "scored")
     own = scored.drop("rest", "block")
     if split:

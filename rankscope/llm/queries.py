@@ -75,8 +75,7 @@ def op9_log_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = log_likelihood.score_likelihood(_logs(spark, sf_dir).select("log_id", "log"))
-    return scored.drop("log").withColumnRenamed("log_id", "doc_id")
+    return log_likelihood.score_likelihood(_logs(spark, sf_dir), keep_log=False).withColumnRenamed("log_id", "doc_id")
 
 
 def op11_call_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
