@@ -66,11 +66,11 @@ def _joined(data: np.ndarray, offsets: np.ndarray, overlap: int) -> tuple[np.nda
     return out, token_starts, token_ends, per_row
 
 
-def _chunk_bounds(prints: np.ndarray, per_row: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_bounds(prints: np.ndarray, per_row: np.ndarray, overlap: int, trigger: int, farthest: int) -> tuple[np.ndarray, np.ndarray]:
     """First token of every chunk, and the token where the next chunk of the row begins; a row without words has none."""
     grams = W.grams(prints, overlap)
     cut = np.zeros(len(prints) + 1, bool)
-    cut[:len(grams)] = grams % np.uint64(TRIGGER) == 0
+    cut[:len(grams)] = grams % np.uint64(trigger) == 0
     for k in range(overlap):  # not among the breaks that end a row
         cut[per_row[1:] - 1 - k] = False
     begins, ends = per_row[:-1], per_row[1:] - overlap
@@ -78,9 +78,9 @@ def _chunk_bounds(prints: np.ndarray, per_row: np.ndarray, overlap: int) -> tupl
     cut[begins] = True
     cut[ends] = True  # no chunk begins here; it closes the row's last one
     places = np.flatnonzero(cut)
-    wide = np.diff(places) > FARTHEST
+    wide = np.diff(places) > farthest
     if wide.any():
-        more = [np.arange(places[i] + FARTHEST, places[i + 1], FARTHEST) for i in np.flatnonzero(wide)]
+        more = [np.arange(places[i] + farthest, places[i + 1], farthest) for i in np.flatnonzero(wide)]
         cut[np.concatenate(more)] = True
         places = np.flatnonzero(cut)
     closing = np.zeros(len(prints) + 1, bool)
@@ -89,7 +89,7 @@ def _chunk_bounds(prints: np.ndarray, per_row: np.ndarray, overlap: int) -> tupl
     return places[opens], places[np.flatnonzero(opens) + 1]
 
 
-def parse_chunks(logs: DataFrame, longest: int = 3, unknown: str = "und") -> DataFrame:
+def parse_chunks(logs: DataFrame, longest: int = 3, unknown: str = "und", trigger: int = TRIGGER, farthest: int = FARTHEST) -> DataFrame:
     """The dictionary of the parse: ``(run_id, chunk, times)``, distinct chunks of each run with their numbers of occurrences.
 
     A chunk's words are joined by one blank, a line break stands between pieces. The last ``longest - 1`` tokens belong to the next chunk.
@@ -100,7 +100,7 @@ def parse_chunks(logs: DataFrame, longest: int = 3, unknown: str = "und") -> Dat
         for batch in W.blocks(batches, "log", W.BLOCK // 4):
             data, offsets = W.texts(batch.column("log"))
             out, starts, ends, per_row = _joined(data, offsets, overlap)
-            first, following = _chunk_bounds(W.fingerprints(out, starts, ends), per_row, overlap)
+            first, following = _chunk_bounds(W.fingerprints(out, starts, ends), per_row, overlap, trigger, farthest)
             text = out.tobytes()
             chunks = [text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[following + overlap - 1].tolist())]
             row = np.searchsorted(per_row, first, "right") - 1
@@ -142,15 +142,15 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int = W.BLOCK // 2) -> It
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def count_phrases(chunks: DataFrame, sizes: list[int], longest: int, within: DataFrame | None = None) -> DataFrame:
+def count_phrases(chunks: DataFrame, sizes: list[int], longest: int, within: DataFrame | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(run_id, words, phrase, n)``: occurrences of all phrases of ``sizes`` words in the dictionary ``chunks``.
 
     Size 0 gives the number of words of a run under the empty phrase. With ``within``, a table ``(run_id, phrase)``, only phrases are
-    counted whose first and last parts of one word less are in it; they are looked up in a table of ``FILTER_BITS`` bits, which may let
+    counted whose first and last parts of one word less are in it; they are looked up in a table of ``filter_bits`` bits, which may let
     others through but misses none.
     """
     overlap = longest - 1
-    held = chunks.sparkSession.sparkContext.broadcast(_bits(within)) if within is not None else None
+    held = chunks.sparkSession.sparkContext.broadcast(_bits(within, filter_bits)) if within is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8) if held is not None else None
@@ -195,12 +195,12 @@ def n_words_of(phrase: Column) -> Column:
 
 
 def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % np.uint64(FILTER_BITS)
+    at = keys % np.uint64(8 * len(bits))
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def _bits(phrases: DataFrame) -> bytes:
-    """Bits set at the fingerprints of ``(run_id, phrase)``. Tasks make the pieces of the table; the driver puts at most 16 MB together."""
+def _bits(phrases: DataFrame, filter_bits: int) -> bytes:
+    """Bits set at the fingerprints of ``(run_id, phrase)``. Tasks make the pieces of the table; the driver puts them together, by default 16 MB."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.texts(batch.column("phrase"))
@@ -212,7 +212,7 @@ def _bits(phrases: DataFrame) -> bytes:
             prints, marks = W.fingerprints(data, starts, ends), _run_marks(batch.column("run_id"))
             for size in np.unique(n):
                 of = np.flatnonzero(n == size)
-                at[of] = _keyed(W.grams(prints, int(size))[first[:-1][of]], marks[of]) % np.uint64(FILTER_BITS)
+                at[of] = _keyed(W.grams(prints, int(size))[first[:-1][of]], marks[of]) % np.uint64(filter_bits)
             at = np.unique(at).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // PIECE), pa.array((at % PIECE).astype(np.int32))], ["piece", "bit"])
 
@@ -227,8 +227,8 @@ def _bits(phrases: DataFrame) -> bytes:
 
     pieces = (phrases.select("run_id", "phrase").mapInArrow(place, "piece long, bit int")
               .groupBy("piece").agg(F.collect_set("bit").alias("bits")).mapInArrow(gather, "piece long, bits binary"))
-    out = bytearray(FILTER_BITS // 8)
-    for row in pieces.toLocalIterator():  # at most FILTER_BITS / PIECE rows of 8 KB
+    out = bytearray(filter_bits // 8)
+    for row in pieces.toLocalIterator():  # at most filter_bits / PIECE rows of 8 KB
         out[row["piece"] * PIECE // 8:(row["piece"] + 1) * PIECE // 8] = row["bits"]
     return bytes(out)
 
@@ -237,7 +237,8 @@ def _part(words: Column, first: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
-def call_phrases(logs: DataFrame, longest: int = 3, at_least: int = 10, share: int = 50, best: int = 2000, unknown: str = "und") -> DataFrame:
+def call_phrases(logs: DataFrame, longest: int = 3, at_least: int = 10, share: int = 50, best: int = 2000, unknown: str = "und",
+                 trigger: int = TRIGGER, farthest: int = FARTHEST, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The phrases of each run whose words stand together more often than their parts suggest.
 
     ``logs`` has ``run_id`` string and ``log`` string (``records.rank_logs`` makes such rows); other columns are ignored. A-Z are lower-cased, logs are cut into
@@ -248,14 +249,15 @@ def call_phrases(logs: DataFrame, longest: int = 3, at_least: int = 10, share: i
 
     Returns each run's ``best`` by score, count (larger first) and phrase (bytes): ``run_id``, ``rank`` from 1, ``phrase``, ``n_phrase``, ``n_first``, ``n_rest``, ``n_words`` (all of
     the run), ``score``. Counts are exact. Null and empty logs have no words; a null ``run_id`` is the run ``unknown``; equal rows count as often as they
-    stand; no rows give no rows. Shorter phrases are counted first; longer ones only where their parts are frequent. The bits that say
+    stand; no rows give no rows. ``trigger`` and ``farthest`` shape the
+    chunks and change no result. Shorter phrases are counted first; longer ones only where their parts are frequent. The bits that say
     so are 16 MB at every size: on a corpus that fills them, more rare phrases are counted and then dropped, nothing is lost.
     """
-    chunks = written(parse_chunks(logs, longest, unknown), "chunks")
+    chunks = written(parse_chunks(logs, longest, unknown, trigger, farthest), "chunks")
     frequent = written(count_phrases(chunks, [0, 1, 2], longest).filter((F.col("words") == 0) | (F.col("n") >= at_least)), "phrases")
     for size in range(3, longest + 1):
         shorter = frequent.filter(F.col("words") == size - 1)
-        longer = count_phrases(chunks, [size], longest, shorter).filter(F.col("n") >= at_least)
+        longer = count_phrases(chunks, [size], longest, shorter, filter_bits).filter(F.col("n") >= at_least)
         frequent = frequent.unionByName(written(longer, "phrases"))
     candidates = frequent.filter("words > 1").withColumn("split", F.split("phrase", " "))
     known = frequent.filter("words > 0").select("run_id", "phrase", "n")
