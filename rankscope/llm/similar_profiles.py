@@ -28,7 +28,7 @@ def _packed(profiles: DataFrame, scale: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("v")
-            values, bounds = column.values.to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy()
+            values, bounds = column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
             rows = [values[a:z] for a, z in zip(bounds, bounds[1:])]
             length = [float(np.sqrt((x.astype(np.float64) ** 2).sum())) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("profile_id"), pa.array([x.tobytes() for x in rows], pa.binary()),
@@ -59,21 +59,21 @@ def similar_profiles(profiles: DataFrame, is_query: Column, k: int = 20, scale:
     shares = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = rows.agg(F.percentile_approx("length", F.array(*map(F.lit, shares)), 1000)).first()[0] or []
     bucket = sum((F.col("length") <= edge).cast("int") for edge in edges) if edges else F.lit(0)
-    held = {b: n for b, n in rows.groupBy(bucket.alias("b")).count().collect()}
+    held = {r.b: (-(-r.n // SLICE), r.longest) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()}
     slices = F.lit(1)
-    for b, n in held.items():
-        slices = F.when(bucket == b, -(-n // SLICE)).otherwise(slices)
+    for b, (n, _) in held.items():
+        slices = F.when(bucket == b, n).otherwise(slices)
     placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("slice", F.pmod(F.xxhash64("profile_id"), slices).cast("int"))
     first = min(held, default=0)
     queries = written(rows.join(asking, "profile_id", "left_semi"), "queries")
     groups = 1 + queries.count() // QUERIES
     asked = queries.select(F.col("profile_id").alias("query_id"), "vector", "width", "length",
                            F.pmod(F.xxhash64("profile_id"), F.lit(groups)).cast("int").alias("part"))
-    best = _best(asked.withColumn("bound", F.lit(None).cast("double")), placed.filter(F.col("bucket") == first), {first: held.get(first, 0)}, groups, k)
+    best = _best(asked.withColumn("bound", F.lit(None).cast("double")), placed.filter(F.col("bucket") == first), {first: held.get(first, (1, 0.0))}, groups, k)
     best = written(best, "best")
     bounds = best.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")) \
                  .select("query_id", F.try_element_at("s", F.lit(k)).cast("double").alias("bound"))
-    others = {b: n for b, n in held.items() if b != first}
+    others = {b: x for b, x in held.items() if b != first}
     if others:
         more = _best(asked.join(bounds, "query_id", "left"), placed.filter(F.col("bucket") != first), others, groups, k)
         best = best.unionByName(more)
@@ -82,12 +82,15 @@ def similar_profiles(profiles: DataFrame, is_query: Column, k: int = 20, scale:
                .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "t.profile_id", (-F.col("t.less")).alias("score"))
 
 
-def _best(asked: DataFrame, placed: DataFrame, held: dict[int, int], groups: int, k: int) -> DataFrame:
-    """The ``k`` best of every slice for every query, none that cannot beat the query's bound."""
-    cells = [F.struct(F.lit(b).alias("bucket"), F.lit(s).alias("slice")) for b, n in held.items() for s in range(-(-n // SLICE))]
-    if not cells:
-        cells = [F.struct(F.lit(0).alias("bucket"), F.lit(0).alias("slice"))]
-    left = asked.select("*", F.explode(F.array(*cells)).alias("cell")).select("*", "cell.bucket", "cell.slice").drop("cell")
+def _best(asked: DataFrame, placed: DataFrame, held: dict[int, tuple[int, float]], groups: int, k: int) -> DataFrame:
+    """The ``k`` best of every slice for every query, none that cannot beat the query's bound.
+
+    ``held`` has the slices and the longest length of each bucket. A query goes to the slices of those buckets alone in which a product can reach its bound.
+    """
+    buckets = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(n).alias("slices"), F.lit(longest).alias("longest")) for b, (n, longest) in held.items()])
+    reach = F.filter(buckets, lambda c: F.col("bound").isNull() | (F.col("bound") <= F.col("length") * c["longest"] * (1 + 1e-9)))
+    left = (asked.select("*", F.explode(reach).alias("cell")).select("*", "cell.bucket", F.explode(F.sequence(F.lit(0), F.col("cell.slices") - 1)).alias("slice"))
+            .drop("cell"))
     right = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def run(queries: pa.Table, slice_: pa.Table) -> pa.Table:
@@ -104,7 +107,8 @@ def _best(asked: DataFrame, placed: DataFrame, held: dict[int, int], groups: int
 def _table(table: pa.Table, width: int, name: str) -> dict[str, np.ndarray]:
     rows = table.filter(pc.equal(table.column("width"), width)).sort_by(name)
     out = {"id": rows.column(name).to_numpy(), "length": rows.column("length").to_numpy(),
-           "v": np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.int32).reshape(rows.num_rows, width).astype(np.float64)}
+           "whole": np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.int64).reshape(rows.num_rows, width)}
+    out["v"] = out["whole"].astype(np.float64)
     if "bound" in rows.column_names:
         out["bound"] = rows.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
     return out
@@ -116,7 +120,8 @@ def _search(queries: dict[str, np.ndarray], held: dict[str, np.ndarray], k: int)
     if not len(held["id"]) or not len(queries["id"]):
         return out
     longest = held["length"].max()
-    bound = np.where(np.isnan(queries["bound"]), -np.inf, queries["bound"])
+    # A bound beyond 2^53 was rounded; the next number below it never drops a tie.
+    bound = np.where(np.isnan(queries["bound"]), -np.inf, np.nextafter(queries["bound"], -np.inf))
     reach = queries["length"] * longest
     with np.errstate(divide="ignore", invalid="ignore"):
         cosine = np.where(reach > 0, bound / reach, np.where(bound > 0, np.inf, -np.inf))
@@ -128,7 +133,7 @@ def _search(queries: dict[str, np.ndarray], held: dict[str, np.ndarray], k: int)
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = np.where(bound[flat] > 0, bound[flat] / queries["length"][flat], 0)
             keep = np.flatnonzero(held["length"] >= need.min() * (1 - 1e-9))
-            _take(queries, held, flat, keep, queries["v"][flat] @ held["v"][keep].T, bound, k, out)
+            _take(queries, held, flat, keep, _products(queries, flat, held, keep), bound, k, out)
         for q in steep:
             v, size = queries["v"][q], queries["length"][q]
             at, c = int(np.argmax(np.abs(v))), min(1.0, float(cosine[q]))
@@ -139,10 +144,17 @@ def _search(queries: dict[str, np.ndarray], held: dict[str, np.ndarray], k: int)
             # An angle within arccos(c) of the query leaves this range for the coordinate, on the side away from the query only beyond c.
             ok = (own >= share * c - spread) if share >= 0 else (own <= share * c + spread)
             keep = np.flatnonzero(ok & (held["length"] * size >= bound[q] * (1 - 1e-9)))
-            _take(queries, held, np.array([q]), keep, v[None] @ held["v"][keep].T, bound, k, out)
+            _take(queries, held, np.array([q]), keep, _products(queries, np.array([q]), held, keep), bound, k, out)
     return out
 
 
+def _products(queries: dict, some: np.ndarray, held: dict, keep: np.ndarray) -> np.ndarray:
+    """Exact products: in doubles where lengths tell that no sum passes 2^52, else in 64-bit integers."""
+    if len(keep) and queries["length"][some].max() * held["length"][keep].max() >= 2.0 ** 52:
+        return queries["whole"][some] @ held["whole"][keep].T
+    return queries["v"][some] @ held["v"][keep].T
+
+
 def _take(queries: dict, held: dict, some: np.ndarray, keep: np.ndarray, products: np.ndarray, bound: np.ndarray, k: int, out: list) -> None:
     for q, scores in zip(some, products):
         ok = np.flatnonzero((scores >= bound[q]) & (held["id"][keep] != queries["id"][q]))

@@ -52,6 +52,31 @@ def test_search_for_parallel_profiles_prunes_by_coordinate(spark):
     assert found(spark, rows, 3) == plain_search(rows, lambda i: i % 5 == 0, 3)
 
 
+def test_search_with_large_components_is_exact(spark):
+    """Components up to a billion and products beyond 2^53, ties and neighbours one apart among them."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), (rng.integers(-(10 ** 9), 10 ** 9, 4) / 64).tolist()) for i in range(120)]
+    rows += [(120 + i, [1e7, 1e7, 1e7 + i / 64, 3.0]) for i in range(40)] + [(160, [1e8, 1.0, 0.0, 0.0]), (165, [3.0, 1.0, 0.0, 0.0])] + [(170, [1e8, 1.0]), (171, [3.0, 1.0])]
+    assert found(spark, rows, 7) == {q: top for q, top in plain_search(rows, lambda i: i % 5 == 0, 7).items() if top}
+    assert found(spark, [(170, [1e8, 1.0]), (171, [3.0, 1.0])], 7) == {170: [(171, 1228800004096)]}
+
+
+def test_search_prunes_before_the_shuffle(spark):
+    """Queries that no short bucket can serve do not go there; the plan holds a bucket, not a slice, per literal."""
+    rows = [(i, [float(1 + 1000 * (i < 40)), float(i % 7) / 9]) for i in range(400)]
+    assert found(spark, rows, 3) == plain_search(rows, lambda i: i % 5 == 0, 3)
+
+
+def test_search_of_traffic_profiles(spark):
+    links = spark.createDataFrame([("r", s, d, (s * 7 + d * 3) % 11 * 100) for s in range(6) for d in range(6)], "run_id string, sender int, receiver int, bytes long")
+    made = records.traffic_profiles(links, 6)
+    rows = [(r.profile_id, list(r.profile)) for r in made.collect()]
+    got = {}
+    for r in similar_profiles.similar_profiles(made, F.lit(True), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.profile_id, r.score))
+    assert got == plain_search(rows, lambda i: True, 3) and len(got) == 6
+
+
 def test_search_of_few_or_no_profiles(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5])]
     assert found(spark, rows, 20) == {0: [(1, 2048)]}
