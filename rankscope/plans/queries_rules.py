@@ -138,7 +138,12 @@ def h02(spark, sf):
     return frames.link_highlights(topk.top_links(t.events, t.runs, link_table=t.links)).drop("run_id")
 
 
-@query("h03_issue_focus")
+@query("h03_issue_focus", METRICS_SQL + f""", found as ({_ISSUES}),
+one as (select type, case {SEVERITY.format('score')} when 'critical' then 400 when 'warning' then 300 else 200 end as priority
+        from found order by score desc, ord limit 1),
+top as (select sender, receiver from links order by bytes desc, seen limit 1)
+select rank as sender, null as receiver, 0 as bytes, priority, type as reason from one, (select distinct unnest([sender, receiver]) as rank from top)
+union all select sender, receiver, 0, priority, type from one, top""")
 def h03(spark, sf):
     """Issues name no ranks or pairs of their own; the largest link's ends stand in for them."""
     t = trace(spark, sf, share=True)
@@ -179,6 +184,16 @@ def q03(spark, sf):
     return quality.broken_bookends(t.events, t.runs.withColumn("total_ranks", F.lit(67))).select("rank")
 
 
+@query("q03_lost_first_calls", EVENTS_SQL + """
+select rank_recording as rank from ev group by rank_recording having count(*) filter (call_code = 13) % 2 = 1""")
+def q03_lost(spark, sf):
+    """Ranks with an odd number of sends have lost their Init row."""
+    t = trace(spark, sf)
+    odd = t.events.groupBy("run_id", "rank_recording").agg((F.count_if(F.col("call_code") == 13) % 2 == 1).alias("odd"))
+    kept = t.events.join(odd, ["run_id", "rank_recording"]).filter(~((F.col("call_code") == S.INIT) & F.col("odd")))
+    return quality.broken_bookends(kept, t.runs).select("rank")
+
+
 @query("q04_expect_rows", EVENTS_SQL + """
 select label, n, found from (
   select 'sends in comm 1' as label, 0 as n, count(*) filter (call_code = 13 and comm = 1) as found from ev
