@@ -10,11 +10,15 @@ from rankscope.llm.stage import written
 
 
 def _as_logs(docs: DataFrame) -> DataFrame:
-    return docs.withColumnsRenamed({"doc_id": "log_id", "text": "log"})
+    """Documents as call logs; further columns get names that no operator gives or takes."""
+    others = [F.col(c).alias(f"_column{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id").alias("log_id"), F.col("text").alias("log"), *others)
 
 
 def _as_documents(logs: DataFrame, columns: list[str]) -> DataFrame:
-    return logs.withColumnsRenamed({"log_id": "doc_id", "log": "text"}).select(*columns)
+    """Logs as documents with ``columns``, in the order in which ``_as_logs`` met them."""
+    names = {"doc_id": "log_id", "text": "log"}
+    return logs.select(*[F.col(names.get(c, f"_column{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of earlier documents; ``n_chars`` follows the text."""
-    kept = repeated_calls.drop_repeated_calls(_as_logs(docs))
-    return _as_documents(kept.withColumn("n_chars", F.char_length("log").cast("long")), docs.columns)
+    kept = _as_documents(repeated_calls.drop_repeated_calls(_as_logs(docs)), docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
