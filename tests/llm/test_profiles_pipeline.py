@@ -91,7 +91,7 @@ def test_profiles_of_ranks(spark):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 10 and "pipeline" in names
+    assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 13 and "pipeline" in names
     assert set(oracles.ORACLE) <= set(entry.oracle_sql()) <= set(names)
 
 
@@ -128,3 +128,35 @@ def test_stages_against_plain_versions(spark, sf_dir):
     pieces = corpus_pipeline.packing(spark, clean, sf_dir)
     sums = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all"))
     assert sums.filter("n <> all").count() == 0 and sums.count() == clean.count()
+
+
+def odd_documents(spark, rows):
+    """Documents with null and repeated ids, odd texts, and columns named like those of the operators."""
+    clashing = ["log", "log_id", "features", "score", "held_out", "words", "n_hit", "candidates", "hits", "dropped_keys", "of_log", "component_id", "kept", "row"]
+    ddl = "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{c} string" for c in clashing)
+    return spark.createDataFrame([(i, t, "en", len(t or ""), *[f"given {c}" for c in clashing]) for i, t in rows], ddl)
+
+
+ODD_DOCUMENTS = [(1, None), (2, ""), (3, " \n\n"), (None, "a row without number " * 5), (None, None), (4, "x" * 70_000), (5, "one two three four five six " * 4),
+                 (5, "one two three four five six " * 4), (6, "one two three four five six " * 4), (7, "go " * 3000)]
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf_dir):
+    docs = odd_documents(spark, ODD_DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert all(r.score == "given score" and r.log == "given log" and r.words == "given words" for r in got), name
+        if name == "decontaminate":
+            assert len(got) == len(ODD_DOCUMENTS)
+    near = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 5, 7)] + [(True, 0)] * 2
+    pieces = corpus_pipeline.packing(spark, docs, sf_dir)
+    assert pieces.filter("start = 0").count() == len(ODD_DOCUMENTS)
+
+
+def test_stages_take_no_documents(spark, sf_dir):
+    none = odd_documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0, name
