@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankscope.operators import timeline, traffic
 from rankscope.plans import analysis
 from rankscope.plans.derived import derive_trace, derived_runs, table
+from rankscope.plans.queries_rules import _ISSUES as ISSUES_SQL, _PATTERNS as PATTERNS_SQL, SEVERITY
 from rankscope.plans.queries_scalar import trace_anchors
 from rankscope.plans.queries_traffic import HIST_SQL
 from rankscope.plans.queries_views import CHUNK, MOMENT, map_nodes, posted_requests, request_completions
-from rankscope.plans.registry import EVENTS_SQL, METRICS_SQL, query, trace
+from rankscope.plans.registry import EVENTS_SQL, METRICS_SQL, TO, query, trace
 from rankscope.session import scratch
 from rankscope.sources import hardware, live, store
 from rankscope.streaming import live as feed, stateful
@@ -62,6 +63,47 @@ def k03(spark, sf):
     return analysis.analysis_document(analysis.analyse(t), runs, topology, trace_anchors(t.events), statistics, chunks)
 
 
+# Fields of the document that hold whole numbers or text, by section; SQL gives the same as (section, position, field, value).
+DOCUMENT_FIELDS = {
+    "metadata": ["total_ranks"], "topology": ["hostname"], "time_anchors": ["unix_time_zero_ns"], "statistics": ["call", *traffic.BIN_COLUMNS, "total"],
+    "chunks": ["n_events"], "analysis.summary": ["total_events", "canonical_transfer_events", "canonical_transfer_bytes", "completion_events", "barrier_events"],
+    "analysis.per_rank": ["events", "completion_events", "canonical_bytes_out", "canonical_bytes_in", "distinct_out_peers", "touch_bytes"],
+    "analysis.top_links": ["comm", "sender", "receiver", "messages", "bytes"], "analysis.collective_roots": ["root", "events", "bytes"],
+    "analysis.top_ranks_by_touch_bytes": ["rank", "bytes"], "analysis.barrier_spreads": ["barrier_index"], "analysis.patterns": ["type", "description"],
+    "analysis.issues": ["type", "severity", "description"]}
+
+
+def _document_sql() -> str:
+    """Every field of ``DOCUMENT_FIELDS`` from the tables."""
+    bins = ", ".join(f"count(*) filter (bin = {i} and not synthetic_empty) as {c}" for i, c in enumerate(traffic.BIN_COLUMNS))
+    total = "count(*) filter (bin is not null and not synthetic_empty) as total"
+    sources = {
+        "metadata": "select 0 as position, 64 as total_ranks",
+        "topology": "select rank_recording as position, min('node ' || (rank_recording // 8) || ',x=' || (rank_recording % 3)) as hostname from ev group by 1",
+        "time_anchors": "select distinct rank_recording as position, case when rank_recording % 9 = 8 then 0 else 1700000000000000000 + (rank_recording * 31 % 17) * 1000003 end as unix_time_zero_ns from ev",
+        "statistics": f"select call_code as position, call, {bins}, {total} from ev group by all",
+        "chunks": f"select chunk_id as position, count(*) as n_events from (select (row_number() over (order by {TO}) - 1) // {CHUNK} as chunk_id from ev) group by 1",
+        "analysis.summary": "select 0 as position, total_events, canonical_events as canonical_transfer_events, canonical_bytes as canonical_transfer_bytes, completion_events, barrier_events from m",
+        "analysis.per_rank": "select rank as position, events, completion_events, canonical_bytes_out, canonical_bytes_in, distinct_out_peers, touch_bytes from ranks_t join acts using (rank)",
+        "analysis.top_links": "select row_number() over (order by bytes desc, seen) as position, * from links qualify position <= 20",
+        "analysis.collective_roots": "select row_number() over (order by bytes desc, seen) as position, * from roots",
+        "analysis.top_ranks_by_touch_bytes": "select row_number() over (order by touch_bytes desc, rank) as position, rank, touch_bytes as bytes from ranks_t qualify position <= 10",
+        "analysis.barrier_spreads": "select barrier_index as position, barrier_index from spreads",
+        "analysis.patterns": f"select row_number() over (order by ord) as position, type, description from ({PATTERNS_SQL})",
+        "analysis.issues": f"select row_number() over (order by score desc, ord) as position, type, {SEVERITY.format('score')} as severity, description from ({ISSUES_SQL})"}
+    rows = [f"select '{section}' as section, cast(position as bigint) as position, unnest([{', '.join(repr(f) for f in fields)}]) as field, "
+            f"unnest([{', '.join(f'cast({f} as varchar)' for f in fields)}]) as value from ({sources[section]})" for section, fields in DOCUMENT_FIELDS.items()]
+    return METRICS_SQL + " " + " union all ".join(rows)
+
+
+@query("k03_document_values", _document_sql())
+def k03_values(spark, sf):
+    """What the document says, read back from its lines: all whole numbers and texts of its sections."""
+    wanted = F.array(*[F.lit(f"{section}/{field}") for section, fields in DOCUMENT_FIELDS.items() for field in fields])
+    told = k03(spark, sf).select("section", "position", F.explode(F.from_json("json", "map<string,string>")).alias("field", "value"))
+    return told.filter(F.array_contains(wanted, F.concat_ws("/", "section", "field")))
+
+
 @query("k04_hardware_map", "select n_name as hostname, 1 + n_nationkey % 2 as cpus, 1 + n_nationkey % 3 as cores_per_cpu from nation")
 def k04(spark, sf):
     path = scratch(spark, "map")
