@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ranksc
     return spark
 
 
+_made: list[list[str]] = []  # folders made inside each open ``temporary_tables``, innermost last
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder that every executor can reach.
 
     The session's ``spark.checkpoint.dir`` is used. Only a session whose tasks all run in this process may go
-    without; it gets a temporary folder.
+    without; it gets a temporary folder. Inside ``temporary_tables`` the folder is removed at the end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
@@ -35,7 +40,25 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rankscope-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove all tables that are written down on the way to a result, once the block that made and stored the result is left.
+
+    A result that was not stored cannot be read afterwards: its plan reads those tables.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

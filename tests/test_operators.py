@@ -330,3 +330,53 @@ def test_cancelled_request_leaves_only_its_wait(spark):
     extra = ev.unionByName(events(spark, [(1, 1, 4, 22, 0, 1, 1, 4)]))
     assert rows(quality.cancelled_leftovers(extra, cancelled), "problem") == [("transfer row present",)]
     assert rows(quality.cancelled_leftovers(ev.filter("call_code <> 24"), cancelled), "problem") == [("wait row missing",)]
+
+
+def test_numbers_carry_over_pieces(spark):
+    """Keys that fill several pieces, end inside one, or hold nulls are numbered as one window would."""
+    keys = [("a", i) for i in range(900)] + [("b", i) for i in range(3)] + [(None, i) for i in range(500)] + [("c", 7)] * 40 + [("d", i) for i in range(1, 700)]
+    df = spark.createDataFrame([(k, i % 2, i, n) for n, (k, i) in enumerate(keys)], "k string, side int, at int, id int").repartition(9)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    got = ordinal.number_rows(df, ["k"], within=["side"], order=[F.col("at"), F.col("id")])
+    pieces = ordinal.ranged(df, ["k", "side"], [F.col("at"), F.col("id")]).select("_piece").distinct().count()
+    found = {r.id: r.ordinal for r in got.collect()}
+    spark.conf.unset(setting)
+    want, seen = {}, {}
+    for k, side, at, n in sorted(((k, i % 2, i, n) for n, (k, i) in enumerate(keys)), key=lambda r: (r[0] or "", r[1], r[2], r[3])):
+        want[n] = seen[k, side] = seen.get((k, side), -1) + 1
+    assert found == want and pieces > 4
+    assert ordinal.number_rows(df.limit(0), ["k"], order=[F.col("at")]).count() == 0
+
+
+def test_all_kinds_numbered_at_once_equal_each_alone(spark, sf_dir):
+    ev = derive_trace(spark, sf_dir)
+    turns = pairing.calls_in_turn(ev)
+    assert rows(pairing.pair_p2p(ev, turns=turns), "comm", "sender", "receiver", "tag", "ordinal") == rows(pairing.pair_p2p(ev), "comm", "sender", "receiver", "tag", "ordinal")
+    assert rows(pairing.pair_bcast(ev, turns), "comm", "root", "ordinal", "local", "diff") == rows(pairing.pair_bcast(ev), "comm", "root", "ordinal", "local", "diff")
+    assert rows(pairing.barrier_spreads(ev, derived_runs(spark), turns), "barrier_index", "spread") == rows(pairing.barrier_spreads(ev, derived_runs(spark)), "barrier_index", "spread")
+
+
+def test_ranks_of_an_intercommunicator(spark):
+    """Peers are ranks of the remote group, own ends of the local one; unknown, negative and unlisted ones pass through."""
+    members = [("r", 5, i, 10 + i, 0) for i in range(3)] + [("r", 5, i, 20 + i, 1) for i in range(3)] + [("r", 1, 0, 7, None)]
+    events = [(5, 10, 13, 0, 2), (5, 21, 14, 2, 1), (5, 21, 13, 1, 9), (5, 11, 22, -1, 1), (5, 99, 13, 0, 1), (1, 7, 13, 0, 3), (0, 4, 13, 4, 2)]
+    df = spark.createDataFrame([("r", *e) for e in events], "run_id string, comm int, rank_recording int, call_code int, sender int, receiver int")
+    known = spark.createDataFrame(members, "run_id string, comm int, comm_rank int, world_rank int, side int")
+    got = rows(pairing.translate_ranks(df, known), "comm", "rank_recording", "sender", "receiver")
+    assert got == sorted([(5, 10, 10, 22), (5, 21, 12, 21), (5, 21, 21, 9), (5, 11, -1, 11), (5, 99, 0, 1), (1, 7, 7, 3), (0, 4, 4, 2)], key=str)
+
+
+def test_tables_on_the_way_are_removed(spark, tmp_path):
+    from rankscope.session import scratch, temporary_tables
+    with temporary_tables(spark):
+        path = scratch(spark, "gone")
+        spark.range(3).write.parquet(path)
+        with temporary_tables(spark):
+            inner = scratch(spark, "inner")
+            spark.range(3).write.parquet(inner)
+        with pytest.raises(Exception):
+            spark.read.parquet(inner)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
