@@ -32,7 +32,7 @@ TEMPLATES = {
     "cc0": ("licensed under cc0 1 0 universal", "cc0 1 0"),
     "public-domain": ("released into the public domain", "public domain"),
 }
-RARE = 3       # words of each notice that are looked up
+LOOKED_UP = 2  # words of a notice's mandatory phrase whose places are intersected
 
 RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
@@ -43,7 +43,7 @@ def _print(word: str) -> int:
 
 
 class Notices:
-    """Postings of the rarest words of every notice, by the logs each word stands in.
+    """Postings of the words of every notice's mandatory phrase, and the weight of each word, by the logs it stands in.
 
     A notice is a label, its words, and where its mandatory phrase begins and ends among them.
     """
@@ -51,35 +51,49 @@ class Notices:
     def __init__(self, n_logs: int, logs_with: dict[int, int]):
         notices = [(label, phrase, phrase) for phrase, label in BASE.items()]
         notices += [(label, text, phrase) for label, (text, phrase) in TEMPLATES.items()]
+        self.idf = {w: float(np.log((1 + n_logs) / (1 + n))) + 1e-6 for w, n in logs_with.items()}
         self.labels, self.words, self.must, self.weights = [], [], [], []
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for number, (label, text, phrase) in enumerate(notices):
+        self.places_of: list[dict[int, int]] = []  # of each notice: word of the mandatory phrase, its place among the notice's words
+        for label, text, phrase in notices:
             words, inner = [_print(w) for w in text.split()], [_print(w) for w in phrase.split()]
             begin = next(i for i in range(len(words)) if words[i:i + len(inner)] == inner)
-            idf = [float(np.log((1 + n_logs) / (1 + logs_with.get(w, 0)))) + 1e-6 for w in words]
             self.labels.append(label)
             self.words.append(words)
             self.must.append((begin, begin + len(inner)))
-            self.weights.append(idf)
-            # A word of the mandatory phrase is always among those looked up, so no place of it is missed.
-            inside = max(range(begin, begin + len(inner)), key=lambda i: idf[i])
-            others = sorted((i for i in range(len(words)) if i != inside), key=lambda i: -idf[i])
-            for at in [inside, *others[:RARE - 1]]:
-                self.postings[words[at]].append((number, at))
-        self.rare = np.array(sorted(self.postings), np.uint64)
-
-    def places(self, prints: list[int], rare_at: list[int]) -> dict[int, dict[int, float]]:
+            self.weights.append([self.idf[w] for w in words])
+            self.places_of.append({w: begin + i for i, w in reversed(list(enumerate(inner)))})
+        self.vocabulary = np.array(sorted({w for places in self.places_of for w in places}), np.uint64)
+
+    def starts(self, at: np.ndarray, words: np.ndarray) -> dict[int, np.ndarray]:
+        """For each notice, where it may begin in a log that has the vocabulary's ``words`` at the places ``at``.
+
+        The log's own rarest words go first: from the highest weight on, a word is looked up while a notice whose whole mandatory phrase
+        is among the log's words still lacks words. A notice's lists of places, each shifted by its word's place in the notice, are intersected.
+        """
+        kinds, first = np.unique(words, return_inverse=True)
+        own = {int(w): at[first == i] for i, w in enumerate(kinds)}
+        lacking = {n: min(LOOKED_UP, len(places)) for n, places in enumerate(self.places_of) if places.keys() <= own.keys()}
+        found: dict[int, np.ndarray] = {}
+        for word in sorted(own, key=lambda w: (-self.idf[w], w)):
+            for n in [n for n, left in lacking.items() if left and word in self.places_of[n]]:
+                begins = own[word] - self.places_of[n][word]
+                found[n] = begins if n not in found else np.intersect1d(found[n], begins)
+                lacking[n] -= 1
+            if not any(lacking.values()):
+                break
+        return found
+
+    def places(self, prints: list[int], at: np.ndarray, words: np.ndarray) -> dict[int, dict[int, float]]:
         """For each notice, the starts of its mandatory phrase in the log and the share of the notice found there, by weight."""
-        votes: set[tuple[int, int]] = {(number, at - place) for at in rare_at for number, place in self.postings[prints[at]]}
         found: dict[int, dict[int, float]] = defaultdict(dict)
-        for number, start in votes:
+        for number, starts in self.starts(at, words).items():
             low, high = self.must[number]
-            words = self.words[number]
-            if start + low < 0 or prints[start + low:start + high] != words[low:high]:
-                continue
-            weights = self.weights[number]
-            met = sum(weights[i] for i in range(len(words)) if 0 <= start + i < len(prints) and prints[start + i] == words[i])
-            found[number][start + low] = met / sum(weights)
+            words_of, weights = self.words[number], self.weights[number]
+            for start in starts.tolist():
+                if start + low < 0 or prints[start + low:start + high] != words_of[low:high]:
+                    continue
+                met = sum(weights[i] for i in range(len(words_of)) if 0 <= start + i < len(prints) and prints[start + i] == words_of[i])
+                found[number][start + low] = met / sum(weights)
         return found
 
 
@@ -112,9 +126,9 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def scan_notices(logs: DataFrame) -> DataFrame:
     """Find licence notices that programs print into their logs.
 
-    ``logs`` has ``log`` string. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case; null is empty. A positional index holds the words
-    of each notice that the fewest logs have (one pass counts them over all logs). A log's occurrences of these words vote for the place where the
-    notice would begin; each voted place is checked: its mandatory phrase must stand there word for word.
+    ``logs`` has ``log`` string. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case; null is empty. One pass counts the logs that each word
+    of the notices stands in. Of each log its own rarest notice words are looked up, as many as the notices need that it can hold; their places, shifted by the
+    words' places in a notice, are intersected, and at each common start the mandatory phrase must stand word for word.
 
     Returns the columns of ``logs`` with ``n_words``; ``n_base`` (places of ``BASE`` phrases), ``first_word`` and ``last_word`` (smallest and largest start of one, null without),
     ``base_labels`` and ``labels`` (with those of ``TEMPLATES``; distinct, sorted, joined by commas), and ``score`` (largest share of a notice found, by
@@ -126,12 +140,13 @@ def scan_notices(logs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.blocks(batches, "log"):
             prints, first = _words(batch)
-            at = np.flatnonzero(np.isin(prints, index.rare))
+            at = np.flatnonzero(np.isin(prints, index.vocabulary))
             bounds = np.searchsorted(at, first)
             out: dict[str, list] = {c: [] for c in RESULTS}
             for i in range(batch.num_rows):
                 a, z = first[i], first[i + 1]
-                found = index.places(prints[a:z].tolist(), (at[bounds[i]:bounds[i + 1]] - a).tolist()) if bounds[i] < bounds[i + 1] else {}
+                own = at[bounds[i]:bounds[i + 1]]
+                found = index.places(prints[a:z].tolist(), own - a, prints[own]) if len(own) else {}
                 base = sorted(start for number in found if number < len(BASE) for start in found[number])
                 for column, value in zip(out.values(), (
                         int(z - a), len(base), base[0] if base else None, base[-1] if base else None,

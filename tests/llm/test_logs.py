@@ -194,6 +194,30 @@ def test_notices(spark, logs):
     assert notices.scan_notices(frame(spark, {})).count() == 0
 
 
+def test_notices_against_every_place(spark):
+    """Labels and scores by trying every notice at every place of texts made of notice words, cut, repeated and overlapping."""
+    rng = random.Random(12)
+    known = [(label, p, p) for p, label in notices.BASE.items()] + [(label, text, must) for label, (text, must) in notices.TEMPLATES.items()]
+    pool = [w for _, text, _ in known for w in text.split()]
+    texts = {i: " ".join(rng.choice([rng.choice(known)[1], rng.choice(known)[2], rng.choice(pool), "cc by", "x"]) for _ in range(rng.randrange(1, 25))) for i in range(150)}
+    texts |= {200: "permission " * 50 + "permission to use copy modify", 201: "cc by " * 2000, 202: "by cc", 203: None}
+    having = {w: sum(w in brute.prose(t) for t in texts.values()) for w in set(pool)}
+    idf = {w: np.log((1 + len(texts)) / (1 + n)) + 1e-6 for w, n in having.items()}
+    got = by_id(notices.scan_notices(frame(spark, texts)), "labels", "score")
+    for i, text in texts.items():
+        w, labels, best = brute.prose(text), set(), 0.0
+        for label, notice, must in known:
+            own, inner = notice.split(), must.split()
+            low = next(k for k in range(len(own)) if own[k:k + len(inner)] == inner)
+            for at in range(len(w)):
+                if w[at:at + len(inner)] == inner:
+                    labels.add(label)
+                    begin = at - low
+                    met = sum(idf[x] for k, x in enumerate(own) if 0 <= begin + k < len(w) and w[begin + k] == x)
+                    best = max(best, met / sum(idf[x] for x in own))
+        assert got[i][0] == ",".join(sorted(labels)) and got[i][1] == pytest.approx(best), text
+
+
 def test_benchmark_calls(spark, logs):
     known = {1: list(logs.values())[3], 2: "MPI_Isend 3", 3: None, 4: "", 5: " ".join(brute.prose(list(logs.values())[10])[4:30]), 6: "no such words at all here"}
     bench = frame(spark, known, "benchmark_id long, log string")
