@@ -149,7 +149,7 @@ def filter_slices(counts: DataFrame) -> tuple[int, DataFrame]:
 
 def _held(slices: int, parts: DataFrame) -> CountFilter:
     bits = np.zeros((slices, SLICE_BITS // 8), np.uint8)
-    for at, data in parts.collect():
+    for at, data in written(parts, "slices").toLocalIterator():  # made by all tasks at once, then fetched a few at a time
         bits[at] = np.frombuffer(data, np.uint8)
     return CountFilter(bits)
 
