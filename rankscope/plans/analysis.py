@@ -131,6 +131,7 @@ def analysis_summary_table(trace: Trace) -> DataFrame:
     """The printed summary as (line, label, value, note) rows."""
     m = report_metrics(trace)
     none = F.lit(None).cast("string")
+    # The labels of the printed summary.
     counts = [("Total events", "total_events", True),
               ("Canonical transfers", "canonical_events", True),
               ("Canonical transfer bytes", "canonical_bytes", False),

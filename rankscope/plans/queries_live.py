@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankscope.operators import timeline, traffic
 from rankscope.plans import analysis
-from rankscope.plans.derived import derive_trace, derived_runs, table
+from rankscope.plans.derived import RUN_ID, derive_trace, derived_runs, table
 from rankscope.plans.queries_rules import _ISSUES as ISSUES_SQL, _PATTERNS as PATTERNS_SQL, SEVERITY
 from rankscope.plans.queries_scalar import trace_anchors
 from rankscope.plans.queries_traffic import HIST_SQL
@@ -56,7 +56,7 @@ def k03(spark, sf):
     t = trace(spark, sf, share=True)
     path = scratch(spark, "blueprint")
     hardware.write_hardware_map(map_nodes(spark, sf), path, "cluster")
-    runs = t.runs.crossJoin(hardware.read_hardware_metadata(spark, path).select("hardware_blueprint"))
+    runs = t.runs.join(hardware.read_hardware_metadata(spark, path).select(F.lit(RUN_ID).alias("run_id"), "hardware_blueprint"), "run_id", "left")
     topology = hosted(spark, sf).groupBy("run_id", F.col("rank_recording").alias("rank")).agg(F.min("host").alias("hostname"))
     statistics = traffic.histogram_totals(traffic.message_histogram(t.events), t.runs)
     chunks = timeline.chunk_index(timeline.with_chunk_id(t.events, CHUNK))

@@ -19,6 +19,7 @@ RECV, SENDRECV, BARRIER, BCAST, REDUCE = 14, 23, 26, 27, 28
 ALLREDUCE, GATHER, SCATTER, ALLGATHER = 29, 30, 31, 32
 INIT, FINALIZE = 39, 40
 
+# Call families, by which calls are counted and matched.
 SEND_LIKE = [13, 15, 16, 17, 18, 19, 20, 21]
 RECV_LIKE = [14, 22]
 COMPLETION = [24, 25, 33, 34, 35, 36, 37, 38]
@@ -30,7 +31,7 @@ GLOBAL = [29, 32]
 BINS = ["< 128B", "128B - 1KB", "1KB - 64KB", "64KB - 1MB", "1MB - 16MB", "> 16MB"]
 BIN_EDGES = [128, 1024, 65536, 1048576, 16777216]
 
-# Two events further apart than this count as late, in seconds.
+# Fixed value: two events further apart than this count as late, in seconds.
 TIMING_THRESHOLD = 0.001
 
 RUNS = T.StructType([
