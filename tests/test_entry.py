@@ -9,7 +9,7 @@ from rankscope.plans import catalog
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {name for name in entry.queries() if name in catalog.QUERIES}
-    assert own - set(entry.oracle_sql()) == {"k03_analysis_document", "h03_issue_focus"}
+    assert own - set(entry.oracle_sql()) == {"k03_analysis_document"}
 
 
 def test_flagship_query(spark):
